@@ -25,8 +25,8 @@ from paperloom.llm.common import small_batches
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces that a worker keeps between batches; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a worker keeps between batches (about 150 bytes each); beyond it the cache starts anew.
+CACHE_PIECES = 800_000
 
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
@@ -140,90 +140,88 @@ def pair_indexed_ids(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 class PieceCache:
     """Values of whole texts, put together from the values of their pieces.
 
-    value: gives the value (bytes) of each of a list of new pre-tokens. Pieces are looked up by text;
-    those not met before are split into pre-tokens, and the distinct new ones go to `value` at once.
+    learn: gives the values (bytes) of a list of pieces not met before, a leading space included.
     special: texts that count as one unit wherever they stand, with their values.
     """
 
-    def __init__(self, value: Callable[[list[bytes]], list[bytes]], special: dict[str, bytes], most: int = CACHE_PIECES):
-        import regex
-
-        self.value, self.special, self.most = value, special, most
-        self.findall = regex.compile(PATTERN).findall
-        self.units: dict[str, bytes] = {}
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], special: dict[str, bytes], most: int = CACHE_PIECES):
+        self.learn, self.special, self.most = learn, special, most
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in special) + ")") if special else None
 
-    def _learn(self, fresh: set[str]) -> None:
-        """fresh: pieces, a leading space included."""
-        if len(self.units) > self.most:
-            self.units.clear()
-        cut = {piece: self.findall(piece) for piece in fresh}
-        new = list({u for us in cut.values() for u in us}.difference(self.units))
-        values = self.value([u.encode() for u in new])
-        self.units.update(zip(new, values, strict=True))
-        units = self.units
-        for piece, us in cut.items():
-            value = units[us[0]] if len(us) == 1 else b"".join([units[u] for u in us])
-            if piece[0] == " ":
-                self.spaced[piece[1:]] = value
-            self.first[piece] = value
+    def _runs(self, text: str) -> list[str]:
+        if self.split_special and any(s in text for s in self.special):
+            return self.split_special.split(text)
+        return [text]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The value of each text, its pieces' values strung together."""
-        if len(self.first) > self.most:
-            self.first.clear()
-            self.spaced.clear()
+        for cache in (self.first, self.spaced):
+            if len(cache) > self.most:
+                cache.clear()
+        first, spaced, special = self.first, self.spaced, self.special
         parts: list[list[tuple[str, list[str]] | bytes]] = []
         heads: set[str] = set()
         tails: set[str] = set()
         for text in texts:
-            if self.split_special and self.special and any(s in text for s in self.special):
-                runs = self.split_special.split(text)
-            else:
-                runs = [text]
             mine: list[tuple[str, list[str]] | bytes] = []
-            for run in runs:
-                if not run:
-                    continue
-                if run in self.special:
-                    mine.append(self.special[run])
-                    continue
-                words = _CUT.split(run) if _ODD_SPACE.search(run) else run.split(" ")
-                head = words[0]
-                if head:
-                    heads.add(head)
-                del words[0]
-                tails.update(words)
-                mine.append((head, words))
+            for run in self._runs(text):
+                if run in special:
+                    mine.append(special[run])
+                elif run:
+                    words = _CUT.split(run) if _ODD_SPACE.search(run) else run.split(" ")
+                    head = words[0]
+                    del words[0]
+                    if head:
+                        heads.add(head)
+                    tails.update(words)
+                    mine.append((head, words))
             parts.append(mine)
-        fresh = heads.difference(self.first)
-        fresh.update([" " + w for w in tails.difference(self.spaced)])
-        if fresh:
-            self._learn(fresh)
-        first, spaced = self.first, self.spaced.__getitem__
-        out = []
+        new = list(heads.difference(first))
+        first.update(zip(new, self.learn(new), strict=True))
+        new = list(tails.difference(spaced))
+        spaced.update(zip(new, self.learn([" " + w for w in new]), strict=True))
+        find, out = spaced.__getitem__, []
         for mine in parts:
-            values = []
+            values: list[bytes] = []
             for part in mine:
                 if isinstance(part, bytes):
                     values.append(part)
-                    continue
-                head, words = part
-                if head:
-                    values.append(first[head])
-                values += map(spaced, words)
+                else:
+                    if part[0]:
+                        values.append(first[part[0]])
+                    values += map(find, part[1])
             out.append(b"".join(values))
         return out
 
 
+class Units:
+    """Values of pieces by way of their pre-tokens: `value` gets each distinct new pre-token once."""
+
+    def __init__(self, value: Callable[[list[bytes]], list[bytes]], most: int = CACHE_PIECES):
+        import regex
+
+        self.value, self.most = value, most
+        self.findall = regex.compile(PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        cut = [self.findall(piece) for piece in pieces]
+        new = list({u for units in cut for u in units}.difference(self.known))
+        known = self.known
+        known.update(zip(new, self.value([u.encode() for u in new]), strict=True))
+        return [known[units[0]] if len(units) == 1 else b"".join([known[u] for u in units]) for units in cut]
+
+
 class Codec:
     """Encodes and decodes whole texts."""
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        self.cache = PieceCache(lambda words: pair_indexed_ids(words, v), {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.added.items()})
+        self.cache = PieceCache(Units(lambda words: pair_indexed_ids(words, v)), {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.added.items()})
         self.table = [v.pieces.get(i, b"") for i in range(max(v.pieces) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:

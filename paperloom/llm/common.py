@@ -32,10 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     A folder of this machine is used only where spark.checkpoint.dir is unset, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in spark.checkpoint.dir; one of this machine only where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperloom-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import bpe
+from paperloom.llm import bpe, exact_dedup, simhash, token_store
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -20,12 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store.store_folder(spark)
+    token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), out, end_id=0)
+    return token_store.read_tokens(spark, out).withColumnRenamed("key", "doc_id")
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
 
-SQL: dict[str, str] = {}
+#: A-Z and a-z for translate(): lower() would change other letters as well.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL: dict[str, str] = {
+    "op6_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+    """,
+}
