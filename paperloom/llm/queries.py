@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, exact_dedup, html_text, mixing, quality_rules, simhash, token_store
+from paperloom.llm import bpe, exact_dedup, html_text, mixing, quality_rules, repeats, simhash, token_store
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,6 +44,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
 }
