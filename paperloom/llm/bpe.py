@@ -26,7 +26,7 @@ from paperloom.llm.common import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces that a worker keeps between batches (about 150 bytes each); beyond it the cache starts anew.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.bpe import PieceCache, text_slices
+from paperloom.llm.bpe import CACHE_PIECES, PieceCache, text_slices
 
 #: Bits of each level; the last takes what is left of 32.
 WIDTHS = (8, 8, 16)
@@ -30,6 +30,8 @@ WIDTHS = (8, 8, 16)
 STEP = 512
 #: Tokens of a shard; a longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
+#: Marks that the byte-level pattern never joins to a letter before them; an apostrophe may be.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: New pieces that go to the library in one text.
 PIECES_A_TEXT = 500
 
@@ -121,10 +123,9 @@ def library_encoder(path: str) -> PieceCache:
         def alone(pieces: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        def learn(pieces: list[str]) -> list[bytes]:
+        def encode(pieces: list[str]) -> list[bytes]:
             """Pieces that begin with a space and hold no other white space go in many to a text, a line each: a line end between such pieces is a token of its own."""
-            lines = [i for i, p in enumerate(pieces) if p[0] == " " and len(p.split()) == 1 and p[-1:].strip()]
-            lines = [i for i in lines if pieces[i][1:].isprintable()]
+            lines = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and p.isprintable() and " " not in p[1:]]
             found: list[bytes] = [b""] * len(pieces)
             groups = [lines[i : i + PIECES_A_TEXT] for i in range(0, len(lines), PIECES_A_TEXT)] if len(newline) == 1 else []
             for e, group in zip(tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), groups, strict=True):
@@ -141,6 +142,17 @@ def library_encoder(path: str) -> PieceCache:
                 found[i] = ids
             return found
 
+        stems: dict[str, bytes] = {}
+
+        def learn(pieces: list[str]) -> list[bytes]:
+            """Marks after a letter are pre-tokens of their own, so words that differ in them only go to the library once."""
+            if len(stems) > CACHE_PIECES:
+                stems.clear()
+            cut = [(s, p[len(s) :]) if (s := p.rstrip(MARKS)) and s[-1].isalpha() else (p, "") for p in pieces]
+            new = list({part for both in cut for part in both if part}.difference(stems))
+            stems.update(zip(new, encode(new), strict=True))
+            return [stems[stem] + stems[marks] if marks else stems[stem] for stem, marks in cut]
+
         special = {t.content: np.uint32(i).astype("<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         _ENCODERS[path] = PieceCache(learn, special)
     return _ENCODERS[path]
