@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, mixed, shared_folder
+from paperloom.llm.common import broadcast_if_small, cut, mixed, shared_folder, small_batches
 
 WINDOW = 100
 GRAM = 32
 #: Bytes of text whose hashes a task holds at a time.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 #: Segments that a task holds before it sends them on; equal ones among them are sent once.
-HELD = 600_000
+HELD = 300_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -58,7 +58,7 @@ _POWERS: list[Powers] = []
 
 def powers(n: int) -> list[Powers]:
     if not _POWERS or len(_POWERS[0].up) <= n:
-        _POWERS[:] = [Powers(b, max(n, PIECE_BYTES + 200_000)) for b in _BASES]
+        _POWERS[:] = [Powers(b, max(n, PIECE_BYTES + 300_000)) for b in _BASES]
     return _POWERS
 
 
@@ -123,7 +123,7 @@ _ALONE, _SIGN, _KNOWN, _REPEAT = 0, 1, 2, 3
 #: Different segments that share a string and are still compared in one task; beyond it their windows are dealt out one by one.
 CROWD = 40_000
 #: Windows that a task compares at a time, about.
-WINDOWS_AT_ONCE = 1_500_000
+WINDOWS_AT_ONCE = 800_000
 
 
 def _pos(at: np.ndarray, th: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def _first_digits(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, 2_000_000):
             keys, ths = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for data, text, at, start, length in pieces([t.encode() for t in texts], window):
                 run_no, first, count, g, sh = segments(data, start, length, window, gram)
@@ -383,6 +383,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, g
     each by itself against what starts earlier; the same place at the same key is not earlier, so equal rows keep what either keeps. An empty table
     gives an empty result; other columns are passed over. Whole copies of an earlier text are found first, by two 64-bit hashes, and go whole.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("key"), text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(11), text).alias("h2"))
