@@ -142,8 +142,8 @@ def _level(good: list[float], bad: list[float]) -> float:
     cuts = sorted([*good, *bad])
     cost = 5.0 * np.searchsorted(good, cuts) / len(good) + (len(bad) - np.searchsorted(bad, cuts)) / len(bad)
     best = np.flatnonzero(cost == cost.min())
-    i = int(best[-1])
-    return (cuts[i] + (cuts[i - 1] if i else cuts[i])) / 2
+    low, high = cuts[max(0, int(best[0]) - 1)], cuts[int(best[-1])]
+    return (low + high) / 2
 
 
 def _noisy(scores: np.ndarray, level: float, marks: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, lowered
+from paperloom.llm.common import broadcast_if_small, cut, lowered, mixed
 from paperloom.llm.components import connected_components
 
 #: Reference fingerprints of the distance table.
@@ -81,36 +81,38 @@ def meeting_masks(radius: int, blocks: int) -> list[int]:
 
 
 def links_within(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """Links u, v between the distinct fingerprints of `prints` (column fp), enough of them to connect all pairs within the radius.
+    """Links space, u, v between the distinct fingerprints of `prints` (columns space and fp), enough of them to connect all pairs within
+    the radius (at most 2). Fingerprints of different spaces never meet.
 
     Where up to MEETING fingerprints meet, all pairs within the radius are linked. Where more do, they are linked through shared
     neighbours instead: two fingerprints are within 2 bits exactly if some value is within one bit of both, so each
     sends itself and its 64 one-bit neighbours, and those that share a value are linked to the least of them: the work
-    grows in proportion, and no pairs are made. For a radius above 2 larger groups are linked by pairs as well.
+    grows in proportion, and no pairs are made.
     """
+    if not 0 <= radius <= 2 < blocks:
+        raise ValueError("the radius is 0, 1 or 2, and there are more blocks")
     masks = meeting_masks(radius, blocks)
     table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()]
-    placed = prints.select("fp", F.array(*table).alias("far"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "place"))
-    sizes = placed.groupBy("mask", "place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = cut(sizes)
-    crowded = sizes.filter(F.col("n") > MEETING) if radius <= 2 else sizes.filter(F.lit(False))
-    few = sizes.filter(F.col("n") <= MEETING) if radius <= 2 else sizes
+    places = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "place")
+    placed = prints.select("space", "fp", F.array(*table).alias("far"), places)
+    where = ["space", "mask", "place"]
+    sizes = cut(placed.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    crowded, few = sizes.filter(F.col("n") > MEETING), sizes.filter(F.col("n") <= MEETING)
     n = sizes.count()
-    met = placed.join(broadcast_if_small(few.select("mask", "place"), 24, n), ["mask", "place"], "left_semi")
+    met = placed.join(broadcast_if_small(few.select(*where), 32, n), where, "left_semi")
     a, b = met.alias("a"), met.alias("b")
-    near: Column = F.lit(True)
+    near: Column = F.col("a.fp") < F.col("b.fp")
+    for c in where:
+        near = near & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     for i in range(PIVOTS):
         near = near & (F.abs(F.col("a.far")[i] - F.col("b.far")[i]) <= radius)
-    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, same & near).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
-    pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    if radius > 2:
-        return pairs
-    many = placed.join(broadcast_if_small(crowded.select("mask", "place"), 24, n), ["mask", "place"], "left_semi").select("fp").distinct()
+    pairs = a.join(b, near).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    pairs = pairs.select("a.space", F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    many = placed.join(broadcast_if_small(crowded.select(*where), 32, n), where, "left_semi").select("space", "fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    near_values = many.select("fp", F.explode(flips).alias("value"))
-    least = near_values.groupBy("value").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("vs")).filter(F.size("vs") > 1)
-    shared = least.select("u", F.explode("vs").alias("v")).filter("u != v")
+    near_values = many.select("space", "fp", F.explode(flips).alias("value"))
+    least = near_values.groupBy("space", "value").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("vs")).filter(F.size("vs") > 1)
+    shared = least.select("space", "u", F.explode("vs").alias("v")).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, radius))
     return pairs.union(shared)
 
 
@@ -123,7 +125,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int
     """
     rows = cut(fingerprints(docs, shingle, key=key))
     classes = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    linked = cut(connected_components(cut(links_within(classes.select("fp"), radius, blocks))))
+    linked = cut(connected_components(cut(links_within(classes.select(F.lit(0).alias("space"), "fp"), radius, blocks))))
     n = linked.count()
     part = classes.join(broadcast_if_small(linked.withColumnRenamed("node", "fp"), 24, n), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # only classes that have links can have a smaller key elsewhere
@@ -132,3 +134,73 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int
     same = classes.join(broadcast_if_small(ids.select("fp"), 16, n), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     found = rows.join(ids.union(same), "fp")
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_prints(docs: DataFrame, spaces: int) -> DataFrame:
+    """key, id (hash of key and text) and one fingerprint of the set of words for each space."""
+    import xxhash
+
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            prints = np.zeros((len(texts), spaces), np.int64)
+            for i, t in enumerate(texts):
+                words = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(lowered(t.encode()).split())], np.uint64)
+                for k in range(spaces if len(words) else 0):
+                    bits = np.unpackbits(mixed(words + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    prints[i, k] = np.packbits(bits * 2 > len(words), bitorder="little").view(np.int64)[0]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.ravel()), spaces).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "id", "fps"])
+
+    return docs.mapInArrow(run, f"key {kind}, id long, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and the distinct hashes of the word shingles; a text of fewer words has one shingle."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            sets = []
+            for t in texts:
+                words = lowered(t.encode()).split()
+                cut_up = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in cut_up], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, spaces: int = 6, key: str = "doc_id") -> DataFrame:
+    """id and component (its smallest id) for rows that have a near copy. id: xxhash64 of key and text.
+
+    Two texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more. Candidates are
+    texts whose word sets have fingerprints within 2 bits in one of several spaces (independent hashes). The members of a class of equal
+    fingerprints meet its first and its last member, two candidates a member and not all pairs; classes meet by their first members. Every candidate is verified by its shingles. Rows that repeat key and text are one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    ided = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), text).alias("id"), text.alias("text"))
+    prints = cut(_word_prints(ided, spaces))
+    members = prints.select("id", F.posexplode("fps").alias("space", "fp")).distinct()
+    classes = cut(members.groupBy("space", "fp").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")))
+    links = links_within(classes.select("space", "fp"))
+    rep = classes.select("space", "fp", "rep")
+    between = links.join(rep.select("space", F.col("fp").alias("u"), F.col("rep").alias("a")), ["space", "u"]).join(rep.select("space", F.col("fp").alias("v"), F.col("rep").alias("b")), ["space", "v"])
+    within = members.join(classes.filter("n > 1"), ["space", "fp"])
+    star = within.select(F.col("rep").alias("a"), F.col("id").alias("b")).union(within.select(F.col("last").alias("a"), F.col("id").alias("b")))
+    pairs = between.select("a", "b").union(star).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(_shingle_sets(ided.join(broadcast_if_small(ends, 16, 2 * pairs.count()), "id", "left_semi"), shingle).dropDuplicates(["id"]))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return connected_components(cut(near)).select(F.col("node").alias("id"), "component")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near copies, the one whose id is smallest; columns as they were. Rows without words have no near copies; an empty table stays empty."""
+    groups = cut(near_copy_groups(docs, similarity, shingle, key=key).filter("id != component").select(F.col("id").alias("_gone")))
+    marked = docs.withColumn("_id", F.xxhash64(F.col(key), F.coalesce("text", F.lit(""))))
+    return marked.join(broadcast_if_small(groups, 16, groups.count()), F.col("_id") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ import xxhash
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.queries import QUERIES
-from paperloom.llm.simhash import fingerprint, links_within, near_groups
+from paperloom.llm.simhash import drop_near_copies, fingerprint, links_within, near_groups
 from tests.llm.conftest import ODD
 
 
@@ -62,11 +62,11 @@ def test_links_connect_as_all_pairs_do(spark, seed):
         prints |= {p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(8)}
     hub = rng.getrandbits(64)
     prints |= {hub ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(300)}  # crowded places
-    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = links_within(spark.createDataFrame(signed, "fp long")).collect()
+    signed = [(0, p - (1 << 64) if p >> 63 else p) for p in prints]
+    links = links_within(spark.createDataFrame(signed, "space int, fp long")).collect()
     mask = (1 << 64) - 1
     assert all((r.u & mask ^ r.v & mask).bit_count() <= 2 for r in links)
-    found = {r.node & mask: r.component & mask for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    found = {r.node & mask: r.component & mask for r in connected_components(spark.createDataFrame([(r.u, r.v) for r in links], "u long, v long")).collect()}
     got, want = defaultdict(set), defaultdict(set)
     for p, c in components(prints).items():
         want[c].add(p)
@@ -91,3 +91,34 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op4_simhash_near_dedup"](spark, sf).collect()]
     assert sorted(map(repr, got)) == expected(rows)
+
+
+def test_near_copies_by_shingles(spark):
+    """Planted copies against all pairs: what goes has a near copy, and nearly all near copies go."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randint(40, 300))]
+        texts.append(words)
+        for _ in range(rng.randint(0, 4)):
+            copy = list(words)
+            for _ in range(rng.randint(0, len(words) // 50)):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(copy)
+    rows = [(i, " ".join(w), "x") for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    kept = {r.doc_id for r in kept.collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    have = {x for p in near for x in p}
+    assert {i for i in range(len(texts)) if i not in have} <= kept
+    left = [p for p in near if set(p) <= kept]
+    assert len(left) <= 0.05 * len(near)
+
+
+def test_near_copies_of_odd_rows(odd, none):
+    assert {r.doc_id for r in drop_near_copies(odd).collect()} >= {3, 7, 8, 9, None}
+    assert drop_near_copies(odd).columns == odd.columns
+    assert drop_near_copies(none).count() == 0
