@@ -219,9 +219,10 @@ class Units:
 class Codec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         self.vocabulary = v = Vocabulary(path)
-        self.cache = PieceCache(Units(lambda words: pair_indexed_ids(words, v)), {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.added.items()})
+        special = {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.added.items()}
+        self.cache = PieceCache(Units(lambda words: pair_indexed_ids(words, v), pieces), special, pieces)
         self.table = [v.pieces.get(i, b"") for i in range(max(v.pieces) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -232,14 +233,14 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, pieces: int = CACHE_PIECES) -> Codec:
     """One for each worker and file, kept between tasks."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    if (path, pieces) not in _CODECS:
+        _CODECS[path, pieces] = Codec(path, pieces)
+    return _CODECS[path, pieces]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -283,16 +284,16 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
 
 
-def encode_digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", pieces: int = CACHE_PIECES) -> DataFrame:
     """As encode_decode, but with SHA-256 digests made where the ids are, so that no ids leave the worker.
 
-    Returns key, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex).
+    pieces: how many a worker keeps between batches. Returns key, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex).
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, pieces)
         for part, texts in text_slices(batches):
             ids = own.encode(texts)
             yield pa.RecordBatch.from_arrays(
