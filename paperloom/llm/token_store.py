@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.bpe import CACHE_PIECES, PieceCache, text_slices
+from paperloom.llm.bpe import PieceCache, Units, byte_letters, text_slices
 
 #: Bits of each level; the last takes what is left of 32.
 WIDTHS = (8, 8, 16)
@@ -30,10 +31,6 @@ WIDTHS = (8, 8, 16)
 STEP = 512
 #: Tokens of a shard; a longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
-#: Marks that the byte-level pattern never joins to a letter before them; an apostrophe may be.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: New pieces that go to the library in one text.
-PIECES_A_TEXT = 500
 
 LEVEL = "struct<width: int, n: long, chunks: binary, more: binary, ranks: binary>"
 SHARD = f"part int, shard int, first long, n_tokens long, keys array<{{key}}>, offsets binary, levels array<{LEVEL}>"
@@ -107,54 +104,21 @@ _ENCODERS: dict[str, PieceCache] = {}
 
 
 def library_encoder(path: str) -> PieceCache:
-    """Whole texts encoded by the tokenizers library; equal pieces of texts go to it once."""
-    if path not in _ENCODERS:
-        import os
+    """Whole texts encoded by the tokenizers library's model, which gets each distinct pre-token once.
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    The library's own pre-tokenizer keeps track of offsets, which takes most of its time; the byte-level pattern and letters are applied here instead.
+    """
+    if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        newline = tokenizer.encode("\n", add_special_tokens=False).ids
-
-        def alone(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            """Pieces that begin with a space and hold no other white space go in many to a text, a line each: a line end between such pieces is a token of its own."""
-            lines = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and p.isprintable() and " " not in p[1:]]
-            found: list[bytes] = [b""] * len(pieces)
-            groups = [lines[i : i + PIECES_A_TEXT] for i in range(0, len(lines), PIECES_A_TEXT)] if len(newline) == 1 else []
-            for e, group in zip(tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), groups, strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
-                if len(ends) != len(group):
-                    raise ValueError("a line end of joined pieces is not a token of its own")
-                raw, at = ids.tobytes(), 0
-                for i, end in zip(group, ends, strict=True):
-                    found[i] = raw[4 * at : 4 * end]
-                    at = end + 1
-            rest = [i for i, f in enumerate(found) if not f]
-            for i, ids in zip(rest, alone([pieces[i] for i in rest]), strict=True):
-                found[i] = ids
-            return found
-
-        stems: dict[str, bytes] = {}
-
-        def learn(pieces: list[str]) -> list[bytes]:
-            """Marks after a letter are pre-tokens of their own, so words that differ in them only go to the library once."""
-            if len(stems) > CACHE_PIECES:
-                stems.clear()
-            cut = [(s, p[len(s) :]) if (s := p.rstrip(MARKS)) and s[-1].isalpha() else (p, "") for p in pieces]
-            new = list({part for both in cut for part in both if part}.difference(stems))
-            stems.update(zip(new, encode(new), strict=True))
-            return [stems[stem] + stems[marks] if marks else stems[stem] for stem, marks in cut]
-
-        special = {t.content: np.uint32(i).astype("<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceCache(learn, special)
+        model, letters = tokenizer.model, {byte: letter for letter, byte in byte_letters().items()}
+
+        def value(words: list[bytes]) -> list[bytes]:
+            return [array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in words]
+
+        special = {t.content: array("I", [i]).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        _ENCODERS[path] = PieceCache(Units(value), special)
     return _ENCODERS[path]
 
 
