@@ -88,7 +88,7 @@ def a6(spark, sf):
 
 
 # rendered papers must read back as the rows they came from; part papers (number 3n) ask two parts a question
-_MAINS = "(CASE WHEN paper_id % 3 = 0 THEN (ordinal + 1) // 2 ELSE ordinal END)"
+_MAINS = "(CASE WHEN paper_id % 3 = 0 THEN (ordinal + 1) // 2 ELSE ordinal END)::BIGINT"
 _SECTION = "CASE WHEN paper_id % 2 <> 0 THEN NULL WHEN ordinal < 3 THEN 'SECTION A' ELSE 'SECTION B - Long Answer Questions' END"
 _PLAIN = "rtrim(text, '.')"
 
@@ -185,7 +185,7 @@ def c3(spark, sf):
     return C.mains(C.sectioned(C.paper_lines(E.rendered(spark, sf)))).filter("number is not null").select("paper_id", "number", "main_ord")
 
 
-_LEAVES = f"leaves AS (SELECT paper_id, ordinal, {_MAINS} AS main_ord, CASE WHEN paper_id % 3 = 0 THEN 2 - ordinal % 2 ELSE 0 END AS sub_ord, 'Q' || {_MAINS} || CASE WHEN paper_id % 3 <> 0 THEN '' WHEN ordinal % 2 = 1 THEN '(a)' ELSE '(b)' END AS question_number, {_PLAIN} AS text, marks, {_SECTION} AS section FROM pq)"
+_LEAVES = f"leaves AS (SELECT paper_id, ordinal, {_MAINS} AS main_ord, (CASE WHEN paper_id % 3 = 0 THEN 2 - ordinal % 2 ELSE 0 END)::BIGINT AS sub_ord, 'Q' || {_MAINS} || CASE WHEN paper_id % 3 <> 0 THEN '' WHEN ordinal % 2 = 1 THEN '(a)' ELSE '(b)' END AS question_number, {_PLAIN} AS text, marks, {_SECTION} AS section FROM pq)"
 
 
 @query("c4_levels", f"WITH {X.PQ}, {_LEAVES} SELECT paper_id, main_ord, sub_ord, question_number FROM leaves WHERE sub_ord > 0")
