@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import small_batches
+from paperloom.llm.common import SLICE_BYTES, small_batches
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -243,7 +243,7 @@ def codec(path: str, pieces: int = CACHE_PIECES) -> Codec:
     return _CODECS[path, pieces]
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches of about `most` bytes of text, with their texts; null is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))

@@ -14,10 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 #: UTF-8 bytes of text that a task works on at a time, whatever the batch holds.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
-#: Rows of an Arrow batch: with documents of 100 kB each a batch stays near 100 MB.
-ARROW_ROWS = 1_000
+#: Rows and bytes of an Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1_000, "8m"
 
 #: A side is broadcast only below this many bytes, counted before the join.
 BROADCAST_BYTES = 8_000_000
@@ -47,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that very long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def text_column(df: DataFrame, name: str = "text") -> DataFrame:

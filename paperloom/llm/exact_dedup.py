@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, lowered
+from paperloom.llm.common import broadcast_if_small, cut, lowered, small_batches
 
 #: Bits of a fingerprint: at 10^11 texts, one in 2,800 texts that have no copy is checked for nothing.
 PRINT_BITS = 48
@@ -129,6 +129,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     suspects; texts are grouped by their bytes, combined in each task first, so a text with many copies sends one row a task.
     """
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     prints = cut(_prints(docs, key))
     rows = prints.count()
     suspects = cut(_suspects(prints, max(4, -(-rows // OWNER_PRINTS))))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
+from paperloom.llm.common import small_batches
 
 # Frequent function words of the languages in the corpus.
 STOP_WORDS = frozenset(
@@ -187,6 +188,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     Null and empty pages have the empty text; a null key or url stays null; repeated rows stay; an empty table gives an
     empty result; other columns are passed over. No shuffle: each task works on its own rows.
     """
+    small_batches(pages.sparkSession)
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (key, url))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import cut, mixed
+from paperloom.llm.common import cut, mixed, small_batches
 from paperloom.llm.repeats import powers
 
 #: Buckets of each kind of n-gram: words, word pairs, four bytes in a row.
@@ -90,7 +90,7 @@ def _roles(labels: DataFrame, key: str) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for part, texts in text_slices(batches, 2_000_000):
+    for part, texts in text_slices(batches, 1_000_000):
         yield part, [t.encode() for t in texts]
 
 
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[Model,
 
     Without labelled good texts every ratio is 0 and the level is below all scores, so that all texts stay.
     """
+    small_batches(docs.sparkSession)
     roles = F.broadcast(cut(_roles(labels, key)))  # about MAX_LABELLED rows at most
     rows = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     marked = rows.join(roles, F.col("key") == F.col("_key"), "left").select("key", "role", "text")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, lowered, mixed
+from paperloom.llm.common import broadcast_if_small, cut, lowered, mixed, small_batches
 from paperloom.llm.components import connected_components
 
 #: Reference fingerprints of the distance table.
@@ -123,6 +123,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int
     have fingerprint 0 and are linked like any other. A null key takes part and gets its component's smallest key; null only if the component has no other.
     Repeated rows stay, each with the same component. An empty table gives an empty result; other columns are passed over.
     """
+    small_batches(docs.sparkSession)
     rows = cut(fingerprints(docs, shingle, key=key))
     classes = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
     linked = cut(connected_components(cut(links_within(classes.select(F.lit(0).alias("space"), "fp"), radius, blocks))))
@@ -181,6 +182,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """
     text = F.coalesce("text", F.lit(""))
     ided = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), text).alias("id"), text.alias("text"))
+    small_batches(docs.sparkSession)
     prints = cut(_word_prints(ided, spaces))
     members = prints.select("id", F.posexplode("fps").alias("space", "fp")).distinct()
     classes = cut(members.groupBy("space", "fp").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")))
