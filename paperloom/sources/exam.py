@@ -10,8 +10,16 @@ CHAPTERS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 CURRENT_YEAR = 2001
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than there are cores, dealt out to all cores; a larger table stays as its files are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() <= 4 * cores and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
