@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, exact_dedup, html_text, importance, mixing, quality_rules, repeats, simhash, token_counts, token_store
+from paperloom.sources.exam import spread
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
