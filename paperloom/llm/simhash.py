@@ -8,6 +8,7 @@ is then further apart; survivors are verified bit by bit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +25,12 @@ from paperloom.llm.components import connected_components
 PIVOTS = 12
 #: Fingerprints that meet at one place and are still compared with each other; larger groups go by shared neighbours.
 MEETING = 64
+#: Shingles that COMMON of the texts with one id in SAMPLE share come last in the order of shingles, LAST of them at most. Any order gives the same pairs.
+SAMPLE, COMMON, LAST = 16, 8, 100_000
+#: Rows of one side of a join that share a key and go to one task; more are dealt out by salt.
+DEALT = 256
+#: Longs of the parity bits of a set: for every text, and for those of the pairs that are left.
+PARITIES, MORE_PARITIES = 16, 256
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -137,68 +144,161 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_prints(docs: DataFrame, spaces: int) -> DataFrame:
-    """key, id (hash of key and text) and one fingerprint of the set of words for each space."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the lower-cased text's word shingles, ascending; a text of fewer words has one shingle."""
     import xxhash
 
-    kind = docs.schema["key"].dataType.simpleString()
+    words = np.array([xxhash.xxh64_intdigest(w) for w in lowered(text).split()], np.uint64)
+    if not len(words):
+        return words
+    n = min(shingle, len(words))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for i in range(n):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
+    return np.unique(out)
+
+
+def _parities(x: np.ndarray, longs: int) -> np.ndarray:
+    """For each of 64 * longs parts of all hashes, whether the set has an odd number of them."""
+    return np.packbits(np.bincount((x % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1).view(np.int64)
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, the distinct hashes of the word shingles, their number and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            prints = np.zeros((len(texts), spaces), np.int64)
-            for i, t in enumerate(texts):
-                words = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(lowered(t.encode()).split())], np.uint64)
-                for k in range(spaces if len(words) else 0):
-                    bits = np.unpackbits(mixed(words + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    prints[i, k] = np.packbits(bits * 2 > len(words), bitorder="little").view(np.int64)[0]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.ravel()), spaces).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "id", "fps"])
+            sets = [shingle_set(t.encode(), shingle).view(np.int64) for t in texts]
+            odd = [_parities(x.view(np.uint64), MORE_PARITIES) for x in sets]
+            columns = [part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "size", "odd"])
 
-    return docs.mapInArrow(run, f"key {kind}, id long, fps array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>, size int, odd array<long>")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and the distinct hashes of the word shingles; a text of fewer words has one shingle."""
+def _least_shared(similarity: float, size: int) -> int:
+    """Shingles that a set of this size shares with any near copy."""
+    return max(1, math.ceil(similarity * size - 1e-9))
+
+
+def _prefixes(docs: DataFrame, similarity: float, shingle: int, last: np.ndarray) -> DataFrame:
+    """id, size, a hash of the whole set, parities of 64 * PARITIES parts of the set, and the first size - _least_shared + 1 shingles of the set, in the order of their hashes with
+    those in `last` at the end: near copies share one of these at least. Texts without words are left out."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            sets = []
-            for t in texts:
-                words = lowered(t.encode()).split()
-                cut_up = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in cut_up], np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+            sizes, whole, firsts = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), []
+            odd = np.zeros((len(texts), PARITIES), np.int64)
+            for i, t in enumerate(texts):
+                x = shingle_set(t.encode(), shingle)
+                sizes[i], whole[i] = len(x), np.uint64(xxhash.xxh64_intdigest(x.tobytes())).view(np.int64)
+                odd[i] = _parities(x, PARITIES)
+                if len(last) and len(x):
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
+                firsts.append(x[: len(x) - _least_shared(similarity, len(x)) + 1].view(np.int64) if len(x) else x.view(np.int64))
+            odds = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), PARITIES).cast(pa.list_(pa.int64()))
+            columns = [part.column(0), pa.array(sizes), pa.array(whole), odds, pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole", "odd", "first"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, size int, whole long, odd array<long>, first array<long>").filter("size > 0")
+
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that come last, ascending: those that many texts of a sample share. They only set the order."""
+    some = _shingle_sets(docs.filter(F.pmod("id", F.lit(SAMPLE)) == 0), shingle).select(F.explode("shingles").alias("token"))
+    counted = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    tokens = [r.token for r in counted.orderBy(F.desc("n"), "token").limit(LAST).collect()]  # LAST rows at most
+    return np.sort(np.array(tokens, np.int64).view(np.uint64))
+
+
+def _with_sets(pairs: DataFrame, side: str, sets: DataFrame, name: str) -> DataFrame:
+    """pairs with the set of their `side`; a text in many pairs has its set repeated, and its pairs dealt out by salt."""
+    other = "b" if side == "a" else "a"
+    salts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("salts"))
+    many = cut(salts.filter("salts > 1"))
+    wide = broadcast_if_small(many, 16, many.count())
+    dealt = pairs.join(wide, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1)))).drop("salts")
+    held = sets.select(F.col("id").alias(side), F.col("shingles").alias(name)).join(wide, side, "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    return dealt.join(held, [side, "salt"]).drop("salt")
+
+
+def _possible(pairs: DataFrame, prints: DataFrame, similarity: float, longs: int = PARITIES) -> DataFrame:
+    """The pairs that may be alike: each parity in which two sets differ is a shingle that only one of them has."""
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    n = ends.count()
+    bits = cut(prints.select("id", "size", "odd").join(broadcast_if_small(ends, 16, n), "id", "left_semi").dropDuplicates(["id"]))
+    one, two = (broadcast_if_small(bits.select(F.col("id").alias(x), F.struct("size", "odd").alias(y)), 40 + 8 * longs, n) for x, y in (("a", "x"), ("b", "y")))
+    if longs > PARITIES:
+        differ = F.aggregate(F.zip_with("x.odd", "y.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    else:
+        differ = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(longs)), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) * (F.col("x.size") + F.col("y.size")) + 1e-9
+    return cut(pairs.join(one, "a").join(two, "b").filter(differ <= most).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """u and v of the pairs a, b whose sets are alike by `similarity`."""
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = cut(_shingle_sets(docs.join(broadcast_if_small(ends, 16, ends.count()), "id", "left_semi"), shingle).dropDuplicates(["id"]))
+    pairs = _possible(pairs, sets, similarity, MORE_PARITIES)
+    both = _with_sets(_with_sets(pairs, "a", sets, "x"), "b", sets, "y")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9)
+    return cut(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, spaces: int = 6, key: str = "doc_id") -> DataFrame:
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
     """id and component (its smallest id) for rows that have a near copy. id: xxhash64 of key and text.
 
-    Two texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more. Candidates are
-    texts whose word sets have fingerprints within 2 bits in one of several spaces (independent hashes). The members of a class of equal
-    fingerprints meet its first and its last member, two candidates a member and not all pairs; classes meet by their first members. Every candidate is verified by its shingles. Rows that repeat key and text are one.
+    Two texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more; groups are the
+    connected components of all such pairs, and no pair is missed. Near copies share a shingle among the first of both sets
+    in a common order (prefix filter), so only texts that share such a shingle, and whose sizes and places of it leave room
+    for the similarity, are candidates. Texts of equal sets are one. First each text is verified against one text of each shared shingle,
+    the one with the fewest shingles of its own; then all candidates that are not in one group by then are verified as well. A pair that is
+    never verified is in one group already. Rows that repeat key and text are one.
     """
     text = F.coalesce("text", F.lit(""))
-    ided = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), text).alias("id"), text.alias("text"))
+    ided = docs.select(F.xxhash64(F.col(key), text).alias("id"), text.alias("text"))
     small_batches(docs.sparkSession)
-    prints = cut(_word_prints(ided, spaces))
-    members = prints.select("id", F.posexplode("fps").alias("space", "fp")).distinct()
-    classes = cut(members.groupBy("space", "fp").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")))
-    links = links_within(classes.select("space", "fp"))
-    rep = classes.select("space", "fp", "rep")
-    between = links.join(rep.select("space", F.col("fp").alias("u"), F.col("rep").alias("a")), ["space", "u"]).join(rep.select("space", F.col("fp").alias("v"), F.col("rep").alias("b")), ["space", "v"])
-    within = members.join(classes.filter("n > 1"), ["space", "fp"])
-    star = within.select(F.col("rep").alias("a"), F.col("id").alias("b")).union(within.select(F.col("last").alias("a"), F.col("id").alias("b")))
-    pairs = between.select("a", "b").union(star).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_shingle_sets(ided.join(broadcast_if_small(ends, 16, 2 * pairs.count()), "id", "left_semi"), shingle).dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return connected_components(cut(near)).select(F.col("node").alias("id"), "component")
+    prints = cut(_prefixes(ided, similarity, shingle, _common(ided, shingle)))
+    same = cut(prints.groupBy("whole", "size").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep != most"))
+    copies = cut(prints.join(broadcast_if_small(same.drop("most"), 24, same.count()), ["whole", "size"]).filter("id != rep").select("rep", "id").distinct())
+    alone = prints.join(broadcast_if_small(copies.select("id"), 16, copies.count()), "id", "left_anti")
+    places = alone.select("id", "size", F.size("first").alias("firsts"), F.posexplode("first").alias("at", "token"))
+    shared = cut(places.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = cut(places.join(broadcast_if_small(shared, 24, shared.count()), "token"))
+    lone = cut(met.groupBy("id").agg((F.max("firsts") - F.count(F.lit(1))).alias("lone")))
+    central = met.join(broadcast_if_small(lone, 24, lone.count()), "id")
+
+    c = F.col
+
+    def room(x: str, y: str) -> Column:
+        """Sizes, and places of the first shared shingle, leave room for the similarity."""
+        needed = similarity / (1 + similarity) * (c(f"{x}.size") + c(f"{y}.size")) - 1e-9
+        return F.least(c(f"{x}.size") - c(f"{x}.at"), c(f"{y}.size") - c(f"{y}.at"), c(f"{x}.size"), c(f"{y}.size")) >= needed
+
+    hubs = cut(central.groupBy("token").agg(F.min(F.struct("lone", "id", "size", "at")).alias("hub")))
+    stars = met.alias("own").join(broadcast_if_small(hubs, 48, hubs.count()), "token").filter("own.id != hub.id").filter(room("own", "hub"))
+    tried = cut(stars.select(F.least("own.id", "hub.id").alias("a"), F.greatest("own.id", "hub.id").alias("b")).distinct())
+    links = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    links = links.union(_verified(_possible(tried, prints, similarity), ided, similarity, shingle))
+
+    groups = cut(connected_components(cut(links)))
+    placed = met.join(broadcast_if_small(groups, 24, groups.count()), met["id"] == groups["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.select("id", "size", "at", "token", "n", "component")
+    apart = cut(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token"))
+    open_ = cut(placed.join(broadcast_if_small(apart, 16, apart.count()), "token", "left_semi").withColumn("salts", F.ceil(F.col("n") / DEALT).cast("int")))
+    one = open_.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("one")
+    two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("two")
+    smaller = (c("one.size") < c("two.size")) | ((c("one.size") == c("two.size")) & (c("one.id") < c("two.id")))
+    on = (c("one.token") == c("two.token")) & (c("one.salt") == c("two.salt")) & (c("one.component") != c("two.component"))
+    rest = one.join(two, on & smaller & room("one", "two")).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    near = _verified(_possible(rest, prints, similarity), ided, similarity, shingle)
+    return connected_components(cut(links.union(near))).select(F.col("node").alias("id"), "component")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:

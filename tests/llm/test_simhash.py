@@ -122,3 +122,19 @@ def test_near_copies_of_odd_rows(odd, none):
     assert {r.doc_id for r in drop_near_copies(odd).collect()} >= {3, 7, 8, 9, None}
     assert drop_near_copies(odd).columns == odd.columns
     assert drop_near_copies(none).count() == 0
+
+
+def test_near_copies_alike_to_an_original_only(spark):
+    """Copies that are 0.8 alike to their original and not to each other, many at each shared shingle: one row of the group stays."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    texts = [words]
+    for c in range(300):
+        copy = list(words)
+        for k, at in enumerate(rng.sample(range(10, 190, 6), 3)):
+            copy[at] = f"new{c}x{k}"
+        texts.append(copy)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string")
+    assert drop_near_copies(docs).count() == 1
