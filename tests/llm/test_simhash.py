@@ -138,3 +138,35 @@ def test_near_copies_alike_to_an_original_only(spark):
     rng.shuffle(order)
     docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string")
     assert drop_near_copies(docs).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_near_copies_just_above_the_similarity(spark, seed):
+    """Pairs edited with a new word each time, most between 0.8 and 0.9 alike, among boilerplate that many texts share: each group keeps one row."""
+    rng = random.Random(seed)
+    footer = [f"foot{i}" for i in range(8)]
+    texts = []
+    for t in range(120):
+        words = [rng.choice(footer) if rng.random() < 0.02 else f"t{t}w{rng.randrange(400)}" for _ in range(rng.randint(3, 300))]
+        words += footer if t % 2 else []
+        texts.append(words)
+        for c in range(rng.randint(1, 2)):
+            copy = list(words)
+            for k in range(rng.randint(0, 1 + len(words) // 45)):
+                copy[rng.randrange(len(copy))] = f"new{t}x{c}x{k}"
+            texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    just = sum(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in near)
+    assert just >= 40
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        parent[root(a)] = root(b)
+    kept = [r.doc_id for r in drop_near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()]
+    assert sorted(root(i) for i in kept) == sorted(i for i in range(len(sets)) if root(i) == i)
