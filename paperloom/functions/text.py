@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 BANNERS = ("nitr", "national institute of technology rourkela", "best of luck", "all the best", "time allowed", "max marks", "watermark", "confidential")
 ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
 
+# Starts of noise lines, and the prefixes that a wording loses before it is compared.
 NOISE_STARTS = r"page\s*[-:\s]*\d+(\s*(of|/)\s*\d+)?\s*$|pg\.?\s*\d+\s*$|registration\s*no|roll\s*no|sem(ester)?\s*exam"
 
+PREFIXES = (r"^\s*(?:q|question)\s*\d+[\s.:,\-]*", r"^\s*\d+[.:\-]+\s*", r"^\s*(?:\([a-z0-9]+\)|[a-z0-9]+[).:\-])\s*")
+
 # Exam instructions, also used by the validator.
 INSTRUCTIONS = (
     r"answer\s+all\s+(the\s+)?questions",
@@ -84,9 +87,8 @@ def normal_number(number: Column) -> Column:
 def normal_text(text: Column) -> Column:
     """The form in which wordings are compared."""
     text = F.lower(F.coalesce(text, F.lit("")))
-    text = F.regexp_replace(text, r"^\s*(?:q|question)\s*\d+[\s.:,\-]*", "")
-    text = F.regexp_replace(text, r"^\s*\d+[.:\-]+\s*", "")
-    text = F.regexp_replace(text, r"^\s*(?:\([a-z0-9]+\)|[a-z0-9]+[).:\-])\s*", "")
+    for prefix in PREFIXES:
+        text = F.regexp_replace(text, prefix, "")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.trim(F.regexp_replace(text, r"(?U)[^\w\s()]", ""))
 

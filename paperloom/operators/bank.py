@@ -39,6 +39,7 @@ def exact_groups(questions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("occurrences"),
         F.avg("marks").alias("avg_marks"),
         F.max("marks").alias("max_marks"),
+        F.sum("marks").alias("sum_marks"),
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
         F.count_distinct("year").alias("n_years"),
@@ -85,17 +86,29 @@ def classified(groups: DataFrame, topic_rows: DataFrame) -> DataFrame:
     return joined.withColumn("topic", topic).drop("_topics", "_best")
 
 
-def denominators(questions: DataFrame, groups: DataFrame, total_marks: DataFrame | None = None) -> DataFrame:
-    """Per session the distinct years, papers, most occurrences and most marks; total marks of the context go before the latter."""
-    base = questions.groupBy("session_id").agg(F.count_distinct("year").alias("s_years"), F.count_distinct("paper_id").alias("s_papers"), F.max("marks").alias("s_marks"))
-    most = groups.groupBy("session_id").agg(F.max("occurrences").alias("s_occurrences"))
-    rows = base.join(most, "session_id")
-    if total_marks is not None:
-        rows = rows.join(total_marks.select("session_id", "total_marks"), "session_id", "left").withColumn("s_marks", F.coalesce("total_marks", "s_marks")).drop("total_marks")
+def denominators(papers: DataFrame, groups: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Of each session of papers the distinct known years, papers, most occurrences of a group, and marks: total_marks of the context if above 0, else the most of any
+    group. Papers and sessions without questions count as well."""
+    base = papers.groupBy("session_id").agg(F.count_distinct("year").alias("s_years"), F.count(F.lit(1)).alias("s_papers"))
+    most = groups.groupBy("session_id").agg(F.max("occurrences").alias("s_occurrences"), F.max("max_marks").alias("s_marks"))
+    rows = base.join(most, "session_id", "left")
+    if contexts is not None:
+        given = contexts.select("session_id", F.when(F.col("total_marks") > 0, F.col("total_marks")).alias("_total"))
+        rows = rows.join(given, "session_id", "left").withColumn("s_marks", F.coalesce("_total", "s_marks")).drop("_total")
     positive = lambda c, d: F.when(F.col(c) > 0, F.col(c)).otherwise(d)
     return rows.select("session_id", *[positive(c, F.lit(d)).alias(c) for c, d in (("s_years", 1), ("s_papers", 1), ("s_occurrences", 1), ("s_marks", 10.0))])
 
 
+def in_clusters(groups: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Groups (with idx) with cluster_id, cluster_size and confidence of the clusters of similar wordings."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("session_id", "seed"))
+    of = clusters.select("session_id", "idx", F.concat_ws("_", F.lit("c"), F.col("session_id").cast("string"), F.col("seed").cast("string")).alias("cluster_id"), "confidence", size.cast("int").alias("cluster_size"))
+    return groups.join(of, ["session_id", "idx"])
+
+
+# The weights of the factors, the limits of the levels and the wording of the reasons.
+
+
 def factors(rows: DataFrame, current_year: int) -> DataFrame:
     """Six factors of groups that have J1's and J2's columns (cluster_size among them)."""
     recency = F.when(F.col("last_year").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 100.0 - 20.0 * (current_year - F.col("last_year"))))
@@ -150,12 +163,14 @@ def scored(groups: DataFrame, sessions: DataFrame, current_year: int) -> DataFra
     return rows.withColumn("priority_reason", explanation())
 
 
-def session_totals(questions: DataFrame, groups: DataFrame) -> DataFrame:
-    """K1-K3: papers, questions, distinct clusters (groups without one count alone) and repeat rate of each session."""
-    raw = questions.groupBy("session_id").agg(F.count_distinct("paper_id").alias("total_papers"), F.count(F.lit(1)).alias("total_questions"))
+def session_totals(papers: DataFrame, questions: DataFrame, groups: DataFrame) -> DataFrame:
+    """K1-K3: papers, questions, distinct clusters (groups without one count alone) and repeat rate of each session of papers, those without questions included."""
+    all_papers = papers.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_papers"))
+    raw = questions.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_questions"))
     unique = groups.groupBy("session_id").agg(F.count_distinct(F.coalesce("cluster_id", "content_hash")).alias("unique_questions"))
+    rows = all_papers.join(raw, "session_id", "left").join(unique, "session_id", "left").fillna(0, ["total_questions", "unique_questions"])
     rate = F.when(F.col("total_questions") > 0, to_tenth(100.0 * (1 - F.col("unique_questions") / F.col("total_questions")))).otherwise(0.0)
-    return raw.join(unique, "session_id").withColumn("repeat_rate", rate)
+    return rows.withColumn("repeat_rate", rate)
 
 
 def level_distribution(bank: DataFrame) -> DataFrame:
@@ -168,8 +183,8 @@ def level_distribution(bank: DataFrame) -> DataFrame:
 
 
 def topic_weightage(bank: DataFrame, topic_rows: DataFrame) -> DataFrame:
-    """K5: occurrences and marks of every topic of a session, and their shares of the session's."""
-    per = bank.groupBy("session_id", "topic").agg(F.sum("occurrences").alias("n"), F.sum(F.coalesce(F.col("avg_marks"), F.lit(0.0)) * F.col("occurrences")).alias("m"))
+    """K5: occurrences and marks of every topic of a session, and their shares of the session's; null marks count as 0."""
+    per = bank.groupBy("session_id", "topic").agg(F.sum("occurrences").alias("n"), F.sum(F.coalesce(F.col("sum_marks"), F.lit(0.0))).alias("m"))
     rows = topic_rows.join(per, ["session_id", "topic"], "left").fillna({"n": 0, "m": 0.0})
     whole = Window.partitionBy("session_id")
     share = lambda c: F.when(F.sum(c).over(whole) > 0, to_tenth(100.0 * F.col(c) / F.sum(c).over(whole))).otherwise(0.0)
@@ -227,5 +242,5 @@ def gated(rows: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def year_label() -> Column:
-    """L11"""
-    return F.when(F.col("first_year") == F.col("last_year"), F.col("first_year").cast("string")).otherwise(F.concat_ws("–", F.col("first_year").cast("string"), F.col("last_year").cast("string")))
+    """Null where no year is known."""
+    return F.when(F.col("first_year").isNull(), F.lit(None).cast("string")).when(F.col("first_year") == F.col("last_year"), F.col("first_year").cast("string")).otherwise(F.concat_ws("–", F.col("first_year").cast("string"), F.col("last_year").cast("string")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from paperloom.sources.checkpoints import cut
+from paperloom.sources.checkpoints import broadcast_if_small, cut
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -68,19 +68,74 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
-def similar_pairs(groups: DataFrame, scorer: Scorer = token_set, threshold: float = 0.84) -> DataFrame:
+def token_set_bound(a: Column, b: Column) -> Column:
+    """No less than the token-set ratio, by built-in functions: the part of it that needs a common subsequence is bounded by the lengths of what
+    isn't shared and by the characters that stand on one side only."""
+    x, y = tokens(a), tokens(b)
+    joined = lambda t: F.array_join(F.array_sort(t), " ")
+    pieces = F.transform(F.array(F.struct(joined(F.array_intersect(x, y)).alias("s"), joined(F.array_except(x, y)).alias("p"), joined(F.array_except(y, x)).alias("q"))), _bound_of)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.get(pieces, F.lit(0)))
+
+
+def _bound_of(c: Column) -> Column:
+    s, p, q = (F.length(c[n]) for n in ("s", "p", "q"))
+    k = F.when(s > 0, 1).otherwise(0)
+    rest = lambda x, y: F.length(F.call_function("translate", c[x], F.concat(c[y], F.lit(" ")), F.lit("")))
+    odd = rest("p", "q") + rest("q", "p")
+    by_tokens = F.when(s > 0, F.greatest(1 - (k + p) / (2 * s + k + p), 1 - (k + q) / (2 * s + k + q))).otherwise(0.0)
+    return F.when((s > 0) & ((p == 0) | (q == 0)), 1.0).otherwise(F.greatest(by_tokens, 1 - F.greatest(F.abs(p - q), odd) / (2 * (s + k) + p + q)))
+
+
+#: Wordings of a session that meet the same number of others in one task; a larger session is dealt out in blocks of so many.
+BLOCK = 256
+
+
+def _numbered(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct wordings (w, text), and groups as session_id, idx, w."""
+    words = cut(groups.select(F.col("canonical_text").alias("text")).distinct().withColumn("w", F.monotonically_increasing_id()))
+    return words, groups.join(words, F.col("canonical_text") == F.col("text")).select("session_id", "idx", "w")
+
+
+def scored_pairs(pairs: DataFrame, words: DataFrame, scorer: Scorer, threshold: float, bound: Scorer | None = None) -> DataFrame:
+    """a, b and score of pairs of numbers of wordings at or above the threshold. bound: no less than the score; pairs whose bound is below the threshold aren't scored."""
+    small = broadcast_if_small(words, 200)
+    texts = pairs.join(small.select(F.col("w").alias("a"), F.col("text").alias("x")), "a").join(small.select(F.col("w").alias("b"), F.col("text").alias("y")), "b")
+    if bound is not None:
+        texts = texts.filter(bound(F.col("x"), F.col("y")) >= threshold - 1e-9)
+    # numbers of wordings say nothing of their order; scores may depend on which text is first
+    first, second = F.least("x", "y"), F.greatest("x", "y")
+    return texts.select("a", "b", scorer(first, second).alias("score")).filter(F.col("score") >= threshold)
+
+
+def similar_pairs(groups: DataFrame, scorer: Scorer = token_set, threshold: float = 0.84, bound: Scorer | None = token_set_bound) -> DataFrame:
     """H3: session_id, i, j (places in the session, i < j) and score of groups (session_id, idx, canonical_text) at or above the threshold.
 
-    Wordings recur across sessions, so each distinct pair of wordings is scored once, whatever sessions it
-    comes up in. Pairs within a session meet by an equi-join on it; sessions hold one course's distinct wordings, a bounded set.
+    Pairs meet as numbers: wordings recur across sessions, so each distinct pair of them is scored once, whatever sessions it comes up in. A session's
+    groups are dealt out in blocks of BLOCK, and a block meets each other one in a task of its own. bound (of the scorer; None for scorers without) prunes before Python.
     """
-    a = groups.select("session_id", F.col("idx").alias("i"), F.col("canonical_text").alias("x"))
-    b = groups.select("session_id", F.col("idx").alias("j"), F.col("canonical_text").alias("y"))
-    pairs = a.join(b, "session_id").filter("i < j")
-    distinct = pairs.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
-    scores = distinct.withColumn("score", scorer(F.col("lo"), F.col("hi"))).filter(F.col("score") >= threshold)
-    keyed = pairs.withColumns({"lo": F.least("x", "y"), "hi": F.greatest("x", "y")})
-    return keyed.join(scores, ["lo", "hi"]).select("session_id", "i", "j", "score")
+    words, placed = _numbered(groups)
+    placed = cut(placed)
+    blocks = placed.groupBy("session_id").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    many = cut(blocks.filter("blocks > 1"))
+    dealt = placed.join(broadcast_if_small(many, 16), "session_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.col("idx") % F.col("blocks"))
+    one = dealt.select("session_id", "idx", "w", F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q")).alias("one")
+    two = dealt.select("session_id", "idx", "w", F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q")).alias("two")
+    c = F.col
+    met = one.join(two, ["session_id", "p", "q"]).filter((c("p") < c("q")) | (c("one.idx") < c("two.idx")))
+    pairs = met.select("session_id", F.least("one.idx", "two.idx").alias("i"), F.greatest("one.idx", "two.idx").alias("j"), F.least("one.w", "two.w").alias("a"), F.greatest("one.w", "two.w").alias("b"))
+    scores = cut(scored_pairs(pairs.select("a", "b").distinct(), words, scorer, threshold, bound))
+    return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
+
+
+def scores_in_order(groups: DataFrame, scorer: Scorer = token_set) -> DataFrame:
+    """H2: session_id, i, j and score of groups that follow each other in their session."""
+    words, placed = _numbered(groups)
+    before = Window.partitionBy("session_id").orderBy("idx")
+    pairs = placed.select("session_id", F.col("idx").alias("j"), F.lag("idx").over(before).alias("i"), F.lag("w").over(before).alias("v"), "w").filter("i is not null")
+    pairs = cut(pairs.select("session_id", "i", "j", F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+    scores = cut(scored_pairs(pairs.select("a", "b").distinct(), words, scorer, 0.0))
+    return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
 
 
 def greedy_clusters(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -17,6 +17,7 @@ from paperloom.operators import similarity as H
 from paperloom.plans import sql as X
 from paperloom.sources import exam as E
 from paperloom.sources import files as W
+from paperloom.sources.checkpoints import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,9 +49,9 @@ def a1(spark, sf):
     return I.manifest(_files(spark, sf))
 
 
-@query("a2_intake_dedup", f"WITH {X.PAPERS}, y AS (SELECT session_id, paper_id, 'Exam ' || year || '.pdf' AS filename FROM papers) SELECT session_id, filename, min(paper_id) AS paper_id FROM y GROUP BY session_id, filename")
+@query("a2_intake_dedup", f"WITH {X.PAPERS}, y AS (SELECT session_id, paper_id, 'Exam ' || held || '.pdf' AS filename FROM papers) SELECT session_id, filename, min(paper_id) AS paper_id FROM y GROUP BY session_id, filename")
 def a2(spark, sf):
-    files = E.papers(spark, sf).select("session_id", "paper_id", F.format_string("Exam %d.pdf", "year").alias("filename"))
+    files = E.papers(spark, sf).select("session_id", "paper_id", F.format_string("Exam %d.pdf", "held").alias("filename"))
     return I.first_by_name(files, "paper_id")
 
 
@@ -188,41 +189,91 @@ def c3(spark, sf):
 _LEAVES = f"leaves AS (SELECT paper_id, ordinal, {_MAINS} AS main_ord, (CASE WHEN paper_id % 3 = 0 THEN 2 - ordinal % 2 ELSE 0 END)::BIGINT AS sub_ord, 'Q' || {_MAINS} || CASE WHEN paper_id % 3 <> 0 THEN '' WHEN ordinal % 2 = 1 THEN '(a)' ELSE '(b)' END AS question_number, {_PLAIN} AS text, marks, {_SECTION} AS section FROM pq)"
 
 
-@query("c4_levels", f"WITH {X.PQ}, {_LEAVES} SELECT paper_id, main_ord, sub_ord, question_number FROM leaves WHERE sub_ord > 0")
+# what the labels of E.LABELS are read as: second and third level, and the warnings that they raise
+_READ = (
+    (("a", None), ("a", "i"), ("a", "ii"), ("b", None), ("b", "i"), ("b", "iii"), ("c", None)),
+    (("h", None), ("i", None), ("j", None), ("k", None), ("l", None), ("m", None), ("n", None)),
+    (("1", None), ("2", None), ("3", None), ("4", None), ("5", None), ("6", None), ("9", None)),
+    (("I", None), ("I", "1"), ("I", "2"), ("II", None), ("II", "1"), ("II", "5"), ("III", None)),
+    (("u", None), ("v", None), ("w", None), ("x", None), ("x", "1"), ("v", None), ("y", None)),
+)
+_READ = (*_READ[:4], (*_READ[4][:5], ("y", None), ("z", None)))
+_WARNED = {(0, 5): "Warning: Missing subquestion ii in Q", (2, 2): "2>3", (2, 5): "5>6", (2, 6): "Warning: Missing subquestion 7, 8 in Q", (3, 5): "Warning: Missing subquestion 2, 3, 4 in Q", (4, 5): "v>y", (4, 6): "y>z"}
+
+
+def _label_rows() -> str:
+    rows = []
+    for kind, read in enumerate(_READ):
+        for place, (upper, lower) in enumerate(read):
+            last = [x for x, _ in read[: place + 1]]
+            # ordinals count new nodes of the second level, and those of the third below the latest
+            subs = sum(1 for x, y in read[: place + 1] if y is None)
+            below = 0 if lower is None else sum(1 for x, y in read[: place + 1] if x == last[-1] and y is not None)
+            warned = _WARNED.get((kind, place), "")
+            if ">" in warned:
+                old, new = warned.split(">")
+                warned = f"Broken alphabet sequence near Q#. Corrected duplicate '{old}' to '{new}'."
+            elif warned:
+                warned += "#."
+            rows.append(f"({kind}, {place}, {subs}, {below}, {X.q(upper)}, {X.q(lower) if lower else 'NULL'}, {X.q(warned)}, {X.q(E.LABELS[kind][place])})")
+    return "lb(kind, place, sub_ord, subsub_ord, upper, lower, warned, written) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_DEEP = f"WITH {X.PQ}, {_label_rows()}, dp AS (SELECT paper_id, ordinal, text, marks, (ordinal - 1) // 7 + 1 AS main_ord, lb.* FROM pq JOIN lb ON kind = paper_id % 5 AND place = (ordinal - 1) % 7)"
+
+
+@query(
+    "c4_levels",
+    f"{_DEEP} SELECT paper_id, main_ord, sub_ord, subsub_ord, 'Q' || main_ord || '(' || upper || ')' || coalesce('(' || lower || ')', '') AS question_number, marks FROM dp UNION ALL SELECT DISTINCT paper_id, main_ord, 0, 0, 'Q' || main_ord, NULL FROM dp",
+)
 def c4(spark, sf):
-    node_rows, _ = C.parsed(E.rendered(spark, sf))
-    return node_rows.filter("sub_ord > 0").select("paper_id", "main_ord", F.col("sub_ord").cast("long").alias("sub_ord"), "question_number")
+    """All nodes of papers with three levels, romans beside letters, repeated and missing labels."""
+    node_rows, _ = C.parsed(E.rendered_deep(spark, sf))
+    return node_rows.select("paper_id", "main_ord", "sub_ord", "subsub_ord", "question_number", "marks")
+
+
+@query("c4b_ambiguous_labels", f"{_DEEP} SELECT paper_id, main_ord, ordinal, coalesce(lower, upper) AS label, CASE WHEN lower IS NULL THEN 2 ELSE 3 END AS level FROM dp WHERE lower(written) IN ('i', 'v', 'x')")
+def c4b(spark, sf):
+    """How the labels i, v and x of those papers are read: as letters on the second level, or as romans."""
+    _, rows = C.parsed(E.rendered_deep(spark, sf).withColumn("text", F.regexp_replace("text", r"(?m)^\((i|v|x|I)\)", "($1) odd $1:")))
+    found = rows.filter("label is not null").withColumn("odd", F.regexp_extract("piece", "^odd ([ivxI]):", 1)).filter("odd != ''")
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("line_no"))
+    numbered = rows.filter("label is not null").select("paper_id", "line_no", place.alias("ordinal"))
+    return found.join(numbered, ["paper_id", "line_no"]).select("paper_id", "main_ord", "ordinal", "label", F.when(F.col("subsub_ord") > 0, 3).otherwise(2).alias("level"))
 
 
-@query("c5_sequence_warnings")
+@query("c5_sequence_warnings", f"{_DEEP} SELECT paper_id, main_ord, sub_ord, subsub_ord, coalesce(lower, upper) AS label, replace(warned, '#', main_ord::VARCHAR) AS warning FROM dp WHERE warned <> ''")
 def c5(spark, sf):
-    """Papers whose part labels all say (a): the second is mended, with a warning."""
-    papers = E.rendered(spark, sf).filter("paper_id % 3 = 0").withColumn("text", F.replace("text", F.lit("(b) "), F.lit("(a) ")))
-    _, rows = C.parsed(papers)
-    return rows.filter("warning is not null").select("paper_id", "main_ord", "label", "warning")
+    """Repeated labels, which are mended, and missing ones."""
+    _, rows = C.parsed(E.rendered_deep(spark, sf))
+    return rows.filter("warning is not null").select("paper_id", "main_ord", "sub_ord", "subsub_ord", "label", "warning")
+
+
+_ALL_NODES = f"WITH {X.PQ}, {_LEAVES}, mn AS (SELECT paper_id, main_ord, count(*) AS parts FROM leaves WHERE paper_id % 3 = 0 GROUP BY ALL)"
 
 
-@query("c6_continuations", f"WITH {X.PQ}, {_LEAVES} SELECT paper_id, main_ord, sub_ord, text || ' and go on' AS text FROM leaves WHERE sub_ord > 0 OR paper_id % 3 <> 0")
+@query("c6_continuations", f"{_ALL_NODES} SELECT paper_id, main_ord, sub_ord, text || CASE WHEN marks IS NULL THEN '' ELSE ' and go on' END AS text FROM leaves UNION ALL SELECT paper_id, main_ord, 0, 'Answer the following' FROM mn")
 def c6(spark, sf):
-    """Papers with a line of text after each question's or part's own."""
+    """A line of text after each question or part that has marks."""
     papers = E.rendered(spark, sf).withColumn("text", F.regexp_replace("text", r"(?m)(?:\.)? (\(\d+ marks\))$", " $1\nand go on"))
     node_rows, _ = C.parsed(papers)
-    return node_rows.filter("sub_ord > 0 or paper_id % 3 != 0").select("paper_id", "main_ord", F.col("sub_ord").cast("long").alias("sub_ord"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return node_rows.select("paper_id", "main_ord", F.col("sub_ord").cast("long").alias("sub_ord"), F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
-@query("c7_marks_distribution", f"WITH {X.PQ}, {_LEAVES}, n AS (SELECT *, count(*) OVER (PARTITION BY paper_id, main_ord) AS k FROM leaves WHERE sub_ord > 0) SELECT paper_id, main_ord, sub_ord, CASE WHEN k = 1 THEN 7.0 WHEN k = 2 THEN 7.0 END::DOUBLE AS marks FROM n")
+@query("c7_marks_distribution", f"{_ALL_NODES} SELECT paper_id, main_ord, sub_ord, CASE WHEN sub_ord > 0 THEN 7.0::DOUBLE ELSE marks END AS marks FROM leaves UNION ALL SELECT paper_id, main_ord, 0, 7.0::DOUBLE * parts FROM mn")
 def c7(spark, sf):
-    """Part papers whose marks stand as a product on the question."""
+    """In papers that ask in parts the marks stand as a product on the question."""
     plain = F.regexp_replace("text", r" \(\d+ marks\)", "")
-    papers = E.rendered(spark, sf).filter("paper_id % 3 = 0").withColumn("text", F.regexp_replace(plain, "the following:", "the following: [2x7]"))
-    node_rows, _ = C.parsed(papers.withColumn("text", F.regexp_replace("text", r"\[2x7\](\n\(a\) [^\n]*)(?=\n(?:Page|SECTION|Q)|$)", "[1x7]$1")))
-    return node_rows.filter("sub_ord > 0").select("paper_id", "main_ord", F.col("sub_ord").cast("long").alias("sub_ord"), "marks")
+    product = F.regexp_replace(plain, "the following:", "the following: [2x7]")
+    single = F.regexp_replace(product, r"\[2x7\](\n\(a\) [^\n]*)(?=\n(?:Page|SECTION|Q)|$)", "[1x7]$1")
+    node_rows, _ = C.parsed(E.rendered(spark, sf).withColumn("text", F.when(F.col("paper_id") % 3 == 0, single).otherwise(F.col("text"))))
+    return node_rows.select("paper_id", "main_ord", F.col("sub_ord").cast("long").alias("sub_ord"), "marks")
 
 
-@query("c8_nested_documents", f"WITH {X.PQ}, {_LEAVES} SELECT paper_id, count(DISTINCT main_ord) AS questions, count(*) FILTER (sub_ord > 0) AS parts, string_agg(question_number || '=' || marks::INT, ',' ORDER BY ordinal) AS listing FROM leaves GROUP BY paper_id")
+@query("c8_nested_documents", f"WITH {X.PQ}, {_LEAVES} SELECT paper_id, count(DISTINCT main_ord) AS questions, count(*) FILTER (sub_ord > 0) AS parts, string_agg(question_number || '=' || coalesce((marks::INT)::VARCHAR, '-'), ',' ORDER BY ordinal) AS listing FROM leaves GROUP BY paper_id")
 def c8(spark, sf):
     node_rows, _ = C.parsed(E.rendered(spark, sf))
-    line = lambda x: F.concat(x["number"], F.lit("="), x["marks"].cast("int").cast("string"))
+    line = lambda x: F.concat(x["number"], F.lit("="), F.coalesce(x["marks"].cast("int").cast("string"), F.lit("-")))
     items = F.flatten(F.transform("questions", lambda x: F.when(F.size(F.coalesce(x["subquestions"], F.array())) > 0, F.transform(x["subquestions"], line)).otherwise(F.array(line(x)))))
     parts = F.aggregate("questions", F.lit(0).cast("long"), lambda s, x: s + F.size(F.coalesce(x["subquestions"], F.array())))
     return C.nested(node_rows).select("paper_id", F.size("questions").cast("long").alias("questions"), parts.alias("parts"), F.array_join(items, ",").alias("listing"))
@@ -230,11 +281,11 @@ def c8(spark, sf):
 
 @query(
     "c9_missing_mains",
-    f"WITH {X.PQ}, h AS (SELECT DISTINCT paper_id, ordinal FROM pq WHERE paper_id % 3 <> 0 AND ordinal NOT IN (2, 4)), r AS (SELECT paper_id, list_filter([2, 4], lambda x: x < max(ordinal)) AS gaps FROM h GROUP BY paper_id) SELECT paper_id, CASE WHEN len(gaps) = 1 THEN 'Warning: Missing question Q' || gaps[1] || '.' ELSE 'Warning: Missing questions Q2, Q4.' END AS warning FROM r WHERE len(gaps) > 0",
+    f"WITH {X.PQ}, h AS (SELECT DISTINCT paper_id, {_MAINS} AS main FROM pq), k AS (SELECT * FROM h WHERE main NOT IN (2, 4)), r AS (SELECT paper_id, list_filter([2, 4], lambda x: x < max(main)) AS gaps FROM k GROUP BY paper_id) SELECT paper_id, CASE WHEN len(gaps) = 1 THEN 'Warning: Missing question Q' || gaps[1] || '.' ELSE 'Warning: Missing questions Q2, Q4.' END AS warning FROM r WHERE len(gaps) > 0",
 )
 def c9(spark, sf):
     """Papers without their second and fourth question."""
-    papers = E.rendered(spark, sf).filter("paper_id % 3 != 0").withColumn("text", F.regexp_replace("text", r"(?m)^Q[24]\. [^\n]*$", ""))
+    papers = E.rendered(spark, sf).withColumn("text", F.regexp_replace("text", r"(?m)^Q[24]\. [^\n]*$", ""))
     _, rows = C.parsed(papers)
     return C.missing_mains(rows)
 
@@ -330,7 +381,7 @@ def f1(spark, sf):
     return E.papers(spark, sf).select("paper_id", I.filename_year(F.col("filename")).alias("year"))
 
 
-_PAGE1 = "concat('Held ', year + 8, ' in hall ', paper_id % 3000, ' for the class of ', year + 12)"
+_PAGE1 = "concat('Held ', held + 8, ' in hall ', paper_id % 3000, ' for the class of ', held + 12)"
 
 
 @query("f2_page_year", f"WITH {X.PAPERS} SELECT paper_id, list_filter(list_transform(regexp_extract_all({_PAGE1}, '\\b(20[0-3]\\d|199\\d)\\b', 1), lambda x: x::INT), lambda x: x BETWEEN 2010 AND 2032)[1] AS year FROM papers")
@@ -378,19 +429,25 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return B.hashed(E.questions(spark, sf))
 
 
-def _contexts(spark: SparkSession, sf: str) -> DataFrame:
-    return E.papers(spark, sf).select("session_id").distinct().withColumn("chapters", F.array(*[F.lit(c) for c in E.CHAPTERS]))
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups with idx, their places in the session; read more than once, so cut."""
+    return cut(H.indexed(B.exact_groups(_questions(spark, sf))))
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return B.classified(B.exact_groups(_questions(spark, sf)), B.topics(_contexts(spark, sf)))
+    return B.classified(B.exact_groups(_questions(spark, sf)), B.topics(E.contexts(spark, sf)))
+
+
+def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups with the clusters of similar wordings that they belong to."""
+    groups = _groups(spark, sf)
+    return B.in_clusters(groups, H.greedy_clusters(groups, H.similar_pairs(groups)))
 
 
 def _bank(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores with every group a cluster of its own."""
-    qs, groups = _questions(spark, sf), _classified(spark, sf)
-    rows = groups.withColumns({"cluster_size": F.lit(1), "cluster_id": F.lit(None).cast("string")})
-    return B.scored(rows, B.denominators(qs, B.exact_groups(qs)), E.CURRENT_YEAR)
+    """The scored groups of all sessions, with clusters and topics. Questions are read once; all else comes from the groups."""
+    groups, contexts = cut(_clustered(spark, sf)), E.contexts(spark, sf)
+    return B.scored(B.classified(groups, B.topics(contexts)), B.denominators(E.papers(spark, sf), groups, contexts), E.CURRENT_YEAR)
 
 
 @query("g2_exact_groups", f"{X.GROUPS} SELECT session_id, content_hash, occurrences FROM g")
@@ -414,53 +471,52 @@ def g5(spark, sf):
     return B.occurrences(qs, B.exact_groups(qs))
 
 
-def _indexed(spark: SparkSession, sf: str) -> DataFrame:
-    return H.indexed(B.exact_groups(_questions(spark, sf))).select("session_id", "idx", "content_hash", "canonical_text", "place")
-
-
-_IDX = f"{X.GROUPS}, pl AS (SELECT session_id, content_hash, min((paper_id, ordinal)) AS place FROM q GROUP BY session_id, content_hash), ix AS (SELECT session_id, content_hash, canonical_text, (row_number() OVER (PARTITION BY session_id ORDER BY place, content_hash) - 1)::INT AS idx FROM g JOIN pl USING (session_id, content_hash)), tx AS (SELECT *, list_distinct(list_filter(string_split(canonical_text, ' '), lambda x: x <> '')) AS tok FROM ix)"
+_IDX = f"{X.GROUPS}, {X.IX}, tx AS (SELECT *, list_distinct(list_filter(string_split(canonical_text, ' '), lambda x: x <> '')) AS tok FROM ix)"
 _JACCARD = "len(list_intersect(a.tok, b.tok)) / (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))"
 
 
 @query("h1_pluggable_scorer", f"{_IDX} SELECT a.session_id, a.idx AS i, b.idx AS j, {_JACCARD} AS score FROM tx a JOIN tx b ON a.session_id = b.session_id AND a.idx < b.idx WHERE {_JACCARD} >= 0.6")
 def h1(spark, sf):
-    return H.similar_pairs(_indexed(spark, sf), H.token_jaccard, 0.6)
+    return H.similar_pairs(_groups(spark, sf), H.token_jaccard, 0.6, bound=H.token_jaccard)
 
 
-@query("h2_token_set_scores")
+@query(
+    "h2_token_set_scores",
+    f"{X.GROUPS}, {X.IX}, nx AS (SELECT a.session_id, a.idx AS i, b.idx AS j, least(a.canonical_text, b.canonical_text) AS x, greatest(a.canonical_text, b.canonical_text) AS y FROM ix a JOIN ix b ON a.session_id = b.session_id AND b.idx = a.idx + 1), want AS (SELECT x, y FROM nx), {X.SC} SELECT session_id, i, j, round(score, 9) AS score FROM nx JOIN sc USING (x, y)",
+)
 def h2(spark, sf):
-    """All scores between the wordings that the sessions know."""
-    return H.similar_pairs(_indexed(spark, sf), H.token_set, 0.0)
+    """Scores of the groups that follow each other in their sessions."""
+    return H.scores_in_order(_groups(spark, sf)).withColumn("score", F.round("score", 9))
 
 
-@query("h3_similar_pairs")
+@query("h3_similar_pairs", f"{X.GROUPS}, {X.ED} SELECT session_id, i, j, round(score, 9) AS score FROM ed")
 def h3(spark, sf):
-    return H.similar_pairs(_indexed(spark, sf))
+    return H.similar_pairs(_groups(spark, sf)).withColumn("score", F.round("score", 9))
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    groups = _indexed(spark, sf)
+    groups = _groups(spark, sf)
     return groups, H.greedy_clusters(groups, H.similar_pairs(groups))
 
 
-@query("h4_greedy_clusters")
+@query("h4_greedy_clusters", f"{X.CLUSTERS} SELECT session_id, idx, seed FROM cc")
 def h4(spark, sf):
     return _clusters(spark, sf)[1].select("session_id", "idx", "seed")
 
 
-@query("h5_representatives")
+@query("h5_representatives", f"{X.CLUSTERS} SELECT session_id, seed, first(idx ORDER BY length(canonical_text) DESC, idx <> seed, idx) AS representative, count(*) AS cluster_size FROM cc GROUP BY session_id, seed")
 def h5(spark, sf):
     return H.representatives(*_clusters(spark, sf))
 
 
-@query("h6_membership_confidence")
+@query("h6_membership_confidence", f"{X.CLUSTERS} SELECT session_id, idx, seed, round(confidence, 9) AS confidence FROM cc")
 def h6(spark, sf):
-    return _clusters(spark, sf)[1]
+    return _clusters(spark, sf)[1].withColumn("confidence", F.round("confidence", 9))
 
 
 @query("i1_topics", f"WITH {X.PAPERS}, t AS (SELECT DISTINCT session_id FROM papers) SELECT session_id, (unnest(generate_series(1, 8)) - 1)::INT AS topic_idx, unnest([{', '.join(X.q(c) for c in E.CHAPTERS)}]) AS topic FROM t")
 def i1(spark, sf):
-    return B.topics(_contexts(spark, sf))
+    return B.topics(E.contexts(spark, sf))
 
 
 _ALL_TOPICS = [*E.CHAPTERS, *B.DEFAULT_CHAPTERS]
@@ -470,7 +526,7 @@ _PACKED = " || ".join(f"CASE WHEN contains(lower(topic), {X.q(w)}) THEN [{', '.j
 
 @query("i2_topic_keywords", f"WITH {X.PAPERS}, t AS (SELECT session_id, unnest([{', '.join(X.q(c) for c in _ALL_TOPICS)}]) AS topic FROM (SELECT DISTINCT session_id FROM papers)) SELECT session_id, topic, array_to_string({_OWN} || {_PACKED}, '|') AS keywords FROM t")
 def i2(spark, sf):
-    rows = _contexts(spark, sf).withColumn("chapters", F.array(*[F.lit(c) for c in _ALL_TOPICS]))
+    rows = E.contexts(spark, sf).withColumn("chapters", F.array(*[F.lit(c) for c in _ALL_TOPICS]))
     return B.topics(rows).select("session_id", "topic", F.array_join(B.topic_keywords(F.col("topic")), "|").alias("keywords"))
 
 
@@ -495,13 +551,12 @@ def i5(spark, sf):
     return _with_chapters(spark, sf, ["gear", "Quantum Ethics"])
 
 
-@query("j1_session_denominators", f"{X.GROUPS}, {X.S} SELECT session_id, s_years, s_papers, s_occurrences, s_marks FROM s JOIN so USING (session_id)")
+@query("j1_session_denominators", f"{X.GROUPS}, {X.S} SELECT session_id, s_years, s_papers, s_occurrences, s_marks FROM sn")
 def j1(spark, sf):
-    qs = _questions(spark, sf)
-    return B.denominators(qs, B.exact_groups(qs))
+    return B.denominators(E.papers(spark, sf), B.exact_groups(_questions(spark, sf)), E.contexts(spark, sf))
 
 
-@query("j2_group_inputs", f"{X.BANK} SELECT session_id, content_hash, occurrences, n_years, 1 AS cluster_size, topic FROM bank")
+@query("j2_group_inputs", f"{X.BANK} SELECT session_id, content_hash, occurrences, n_years, cluster_size, topic FROM bank")
 def j2(spark, sf):
     return _bank(spark, sf).select("session_id", "content_hash", "occurrences", "n_years", "cluster_size", "topic")
 
@@ -517,17 +572,16 @@ for _n, _c in (("j3_frequency", "f_freq"), ("j4_recency", "f_recency"), ("j5_mar
 
 # ---- rollups -----------------------------------------------------------------------------------------------------------------
 
-_TOTALS = "SELECT session_id, count(DISTINCT paper_id) AS total_papers, count(*) AS total_questions, count(DISTINCT content_hash) AS unique_questions, floor(100.0::DOUBLE * (1 - count(DISTINCT content_hash) / count(*)) * 10 + 0.5) / 10 AS repeat_rate FROM q GROUP BY session_id"
+_TOTALS = f"{X.CLUSTERS}, tp AS (SELECT session_id, count(*) AS total_papers FROM papers GROUP BY session_id), tq AS (SELECT session_id, count(*) AS n FROM q GROUP BY session_id), tu AS (SELECT session_id, count(DISTINCT cluster_id) AS n FROM cc GROUP BY session_id), k AS (SELECT session_id, total_papers, coalesce(tq.n, 0) AS total_questions, coalesce(tu.n, 0) AS unique_questions, CASE WHEN coalesce(tq.n, 0) > 0 THEN floor(100.0::DOUBLE * (1 - tu.n / tq.n) * 10 + 0.5) / 10 ELSE 0.0::DOUBLE END AS repeat_rate FROM tp LEFT JOIN tq USING (session_id) LEFT JOIN tu USING (session_id))"
 
 
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
-    qs = _questions(spark, sf)
-    return B.session_totals(qs, B.exact_groups(qs).withColumn("cluster_id", F.lit(None).cast("string")))
+    return B.session_totals(E.papers(spark, sf), E.questions(spark, sf), _clustered(spark, sf))
 
 
 for _n, _cs in (("k1_totals", ["total_papers", "total_questions"]), ("k2_unique_questions", ["unique_questions"]), ("k3_repeat_rate", ["repeat_rate"])):
     QUERIES[_n] = lambda spark, sf, cs=_cs: _totals(spark, sf).select("session_id", *cs)
-    SQL[_n] = f"{X.QUESTIONS}, k AS ({_TOTALS}) SELECT session_id, {', '.join(_cs)} FROM k"
+    SQL[_n] = f"{_TOTALS} SELECT session_id, {', '.join(_cs)} FROM k"
 
 _LEVEL_ROWS = f"{X.BANK}, lv AS (SELECT session_id, unnest([{', '.join(X.q(x) for x in B.LEVELS)}]) AS level, unnest([1, 2, 3, 4, 5]) AS place FROM (SELECT DISTINCT session_id FROM bank)), n AS (SELECT lv.session_id, level, place, count(content_hash) AS n FROM lv LEFT JOIN bank ON bank.session_id = lv.session_id AND priority_level = level GROUP BY ALL)"
 
@@ -544,14 +598,12 @@ def k7(spark, sf):
 
 @query(
     "k5_topic_weightage",
-    f"""{X.BANK}, t AS (SELECT session_id, unnest([{", ".join(X.q(c) for c in E.CHAPTERS)}]) AS topic FROM (SELECT DISTINCT session_id FROM papers)), o AS (SELECT t.session_id, t.topic, count(q.paper_id) AS n, coalesce(sum(q.marks), 0)::BIGINT AS m FROM t LEFT JOIN bank b ON b.session_id = t.session_id AND b.topic = t.topic LEFT JOIN q ON q.session_id = b.session_id AND q.content_hash = b.content_hash GROUP BY ALL),
+    f"""{X.GROUPS}, bank AS (SELECT session_id, content_hash, {X.TOPIC} AS topic FROM g), t AS (SELECT session_id, unnest([{", ".join(X.q(c) for c in E.CHAPTERS)}]) AS topic FROM (SELECT DISTINCT session_id FROM papers)), o AS (SELECT t.session_id, t.topic, count(q.paper_id) AS n, coalesce(sum(q.marks), 0)::BIGINT AS m FROM t LEFT JOIN bank b ON b.session_id = t.session_id AND b.topic = t.topic LEFT JOIN q ON q.session_id = b.session_id AND q.content_hash = b.content_hash GROUP BY ALL),
     w AS (SELECT *, sum(n) OVER (PARTITION BY session_id)::DOUBLE AS sn, sum(m) OVER (PARTITION BY session_id)::DOUBLE AS sm FROM o)
     SELECT session_id, topic, n AS occurrences, m AS marks, CASE WHEN sn > 0 THEN floor(100.0::DOUBLE * n / sn * 10 + 0.5) / 10 ELSE 0.0 END AS occurrence_share, CASE WHEN sm > 0 THEN floor(100.0::DOUBLE * m / sm * 10 + 0.5) / 10 ELSE 0.0 END AS marks_share FROM w""",
 )
 def k5(spark, sf):
-    per = _questions(spark, sf).join(_classified(spark, sf).select("session_id", "content_hash", "topic"), ["session_id", "content_hash"])
-    asked = per.groupBy("session_id", "topic").agg(F.count(F.lit(1)).alias("occurrences"), F.avg("marks").alias("avg_marks"))
-    return B.topic_weightage(asked, B.topics(_contexts(spark, sf)))
+    return B.topic_weightage(_classified(spark, sf), B.topics(E.contexts(spark, sf)))
 
 
 @query("k6_year_trend", f"{X.QUESTIONS} SELECT session_id, year, count(*) AS occurrences FROM q WHERE year IS NOT NULL GROUP BY session_id, year")
@@ -589,13 +641,11 @@ def l8(spark, sf):
     return B.timeline(groups, B.occurrences(qs, groups), E.papers(spark, sf))
 
 
-@query("l8_cluster_timeline")
+@query("l8_cluster_timeline", f"{X.CLUSTERS} SELECT a.session_id, a.content_hash, filename, ordinal, year, marks FROM cc a JOIN cc b ON a.session_id = b.session_id AND a.seed = b.seed JOIN q ON q.session_id = b.session_id AND q.content_hash = b.content_hash")
 def l8_clusters(spark, sf):
     """As l8, over clusters of similar wordings."""
-    groups, clusters = _clusters(spark, sf)
-    ids = clusters.select("session_id", "idx", F.concat_ws("_", F.lit("cluster"), F.col("session_id").cast("string"), F.col("seed").cast("string")).alias("cluster_id"))
-    qs = _questions(spark, sf)
-    return B.timeline(groups.join(ids, ["session_id", "idx"]), B.occurrences(qs, groups), E.papers(spark, sf))
+    groups = _clustered(spark, sf)
+    return B.timeline(groups, B.occurrences(_questions(spark, sf), groups), E.papers(spark, sf))
 
 
 def _papers_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -631,7 +681,7 @@ def a8(spark, sf):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-@query("a10_analytics_documents", f"{X.QUESTIONS}, k AS ({_TOTALS}) SELECT session_id, total_papers, total_questions, unique_questions, repeat_rate FROM k")
+@query("a10_analytics_documents", f"{_TOTALS} SELECT session_id, total_papers, total_questions, unique_questions, repeat_rate FROM k")
 def a10(spark, sf):
     """Written as JSON documents and read again."""
     path = W.new_folder(spark, "analytics")

@@ -29,36 +29,61 @@ def normal(text: str) -> str:
     return f"trim({chain(f'trim({chain(f"lower({text})", *steps)})', (r'[^\p{L}\p{N}\p{M}_\s()]', '', True))})"
 
 
-PAPERS = "papers AS (SELECT o_custkey AS session_id, o_orderkey AS paper_id, year(o_orderdate)::INT AS year, 'Exam ' || year(o_orderdate) || ' ' || o_orderkey || '.pdf' AS filename FROM orders)"
+PAPERS = "papers AS (SELECT o_custkey AS session_id, o_orderkey AS paper_id, year(o_orderdate)::INT AS held, CASE WHEN o_orderkey % 17 <> 0 THEN year(o_orderdate)::INT END AS year, 'Exam ' || year(o_orderdate) || ' ' || o_orderkey || '.pdf' AS filename FROM orders)"
 PQ = """pq AS (SELECT l_orderkey AS paper_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice))::INT AS ordinal,
   CASE l_returnflag WHEN 'A' THEN 'Explain' WHEN 'N' THEN 'Describe' ELSE 'Compare' END || ' the ' || p_name || CASE WHEN l_linestatus = 'F' THEN '.' ELSE '' END AS text,
-  l_quantity AS marks FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  nullif(l_quantity, 13) AS marks FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 Q = f"q AS (SELECT session_id, paper_id, year, filename, ordinal, text, marks, sha256({normal('text')}) AS content_hash FROM papers JOIN pq USING (paper_id))"
 G = """g AS (SELECT session_id, content_hash, first(text ORDER BY length(text) DESC, paper_id, ordinal) AS canonical_text, count(*) AS occurrences, avg(marks) AS avg_marks, max(marks) AS max_marks,
   min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years, coalesce(max(year) - min(year), 0) AS year_span FROM q GROUP BY session_id, content_hash)"""
 TOPIC = "CASE " + " ".join(f"WHEN contains(lower(canonical_text), {q(c)}) THEN {q(c)}" for c in CHAPTERS) + f" ELSE {q(CHAPTERS[-1])} END"
-S = """s AS (SELECT session_id, count(DISTINCT year) AS s_years, count(DISTINCT paper_id) AS s_papers, max(marks) AS s_marks FROM q GROUP BY session_id),
-so AS (SELECT session_id, max(occurrences) AS s_occurrences FROM g GROUP BY session_id)"""
-F = f"""f AS (SELECT g.*, {TOPIC} AS topic, 100.0::DOUBLE * occurrences / s_occurrences AS f_freq, greatest(0.0::DOUBLE, 100.0::DOUBLE - 20.0::DOUBLE * ({CURRENT_YEAR} - last_year)) AS f_recency,
-  CASE WHEN coalesce(avg_marks, 0) = 0 THEN 50.0::DOUBLE ELSE least(100.0::DOUBLE, 100.0::DOUBLE * avg_marks / s_marks) END AS f_marks, 100.0::DOUBLE * n_years / s_years AS f_spread, 0.0::DOUBLE AS f_cluster, 50.0::DOUBLE AS f_chapter
-  FROM g JOIN s USING (session_id) JOIN so USING (session_id)),
+S = """s AS (SELECT session_id, count(DISTINCT year) AS years, count(*) AS s_papers FROM papers GROUP BY session_id),
+so AS (SELECT session_id, max(occurrences) AS occ, max(max_marks) AS mm FROM g GROUP BY session_id),
+sn AS (SELECT session_id, greatest(years, 1) AS s_years, s_papers, coalesce(occ, 1) AS s_occurrences, CASE WHEN session_id % 3 = 0 THEN 70.0::DOUBLE ELSE coalesce(nullif(mm, 0), 10.0)::DOUBLE END AS s_marks FROM s LEFT JOIN so USING (session_id))"""
+#: ix: places of groups in their sessions; sc: token-set scores of pairs of wordings x < y of `want`. A common subsequence is as long as the last number of the
+#: last row of the usual table, one row a character.
+IX = "pl AS (SELECT session_id, content_hash, min((paper_id, ordinal)) AS place FROM q GROUP BY session_id, content_hash), ix AS (SELECT session_id, content_hash, canonical_text, (row_number() OVER (PARTITION BY session_id ORDER BY place, content_hash) - 1)::INT AS idx FROM g JOIN pl USING (session_id, content_hash))"
+_SET = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda t: t <> ''))"
+_JOINED = lambda c: f"array_to_string(list_sort({c}), ' ')"
+SC = f"""tk AS (SELECT DISTINCT x, y, {_SET('x')} AS tx, {_SET('y')} AS ty FROM want),
+sp AS (SELECT x, y, {_JOINED('list_intersect(tx, ty)')} AS s, {_JOINED('list_filter(tx, lambda t: NOT list_contains(ty, t))')} AS p, {_JOINED('list_filter(ty, lambda t: NOT list_contains(tx, t))')} AS q FROM tk),
+lc AS (SELECT *, CASE WHEN p = '' OR q = '' THEN 0 ELSE list_last(list_reduce(list_transform(string_split(p, ''), lambda t: [unicode(t)::BIGINT]), lambda was, c:
+  list_reduce(list_transform(range(1, length(q) + 1), lambda t: [t::BIGINT]), lambda now, j: list_append(now, CASE WHEN unicode(q[j[1]]) = c[1] THEN was[j[1]] + 1 ELSE greatest(was[j[1] + 1], now[j[1]]) END), [0::BIGINT]),
+  list_transform(range(0, length(q) + 1), lambda t: 0::BIGINT))) END AS lcs, CASE WHEN s = '' THEN 0 ELSE 1 END AS k FROM sp),
+sc AS (SELECT x, y, CASE WHEN s <> '' AND (p = '' OR q = '') THEN 1.0::DOUBLE ELSE greatest(1 - (length(p) + length(q) - 2 * lcs)::DOUBLE / (2 * (length(s) + k) + length(p) + length(q)),
+  CASE WHEN s = '' THEN 0.0 ELSE 1 - (k + length(p))::DOUBLE / (2 * length(s) + k + length(p)) END, CASE WHEN s = '' THEN 0.0 ELSE 1 - (k + length(q))::DOUBLE / (2 * length(s) + k + length(q)) END) END AS score FROM lc)"""
+#: ed: pairs of groups with a score of 0.84 or more. Groups in order: one without a seed among its lower neighbours is a seed; the others go to their lowest seed.
+ED = f"""{IX}, want AS (SELECT DISTINCT least(a.canonical_text, b.canonical_text) AS x, greatest(a.canonical_text, b.canonical_text) AS y FROM ix a JOIN ix b ON a.session_id = b.session_id AND a.idx < b.idx), {SC},
+ed AS (SELECT a.session_id, a.idx AS i, b.idx AS j, score FROM ix a JOIN ix b ON a.session_id = b.session_id AND a.idx < b.idx JOIN sc ON x = least(a.canonical_text, b.canonical_text) AND y = greatest(a.canonical_text, b.canonical_text) WHERE score >= 0.84)"""
+CL = f"""{ED}, nb AS (SELECT session_id, j AS idx, list(i) AS lower, row_number() OVER (PARTITION BY session_id ORDER BY j) AS r FROM ed GROUP BY session_id, j),
+sd AS (SELECT session_id, 0::BIGINT AS r, []::INT[] AS joined FROM (SELECT DISTINCT session_id FROM nb)
+  UNION ALL SELECT sd.session_id, nb.r, CASE WHEN len(list_filter(nb.lower, lambda t: NOT list_contains(sd.joined, t))) > 0 THEN list_append(sd.joined, nb.idx) ELSE sd.joined END FROM sd JOIN nb ON nb.session_id = sd.session_id AND nb.r = sd.r + 1),
+fin AS (SELECT session_id, arg_max(joined, r) AS joined FROM sd GROUP BY session_id),
+cl AS (SELECT ix.session_id, ix.idx, content_hash, canonical_text, CASE WHEN list_contains(fin.joined, ix.idx) THEN list_min(list_filter(nb.lower, lambda t: NOT list_contains(fin.joined, t))) ELSE ix.idx END AS seed
+  FROM ix LEFT JOIN fin USING (session_id) LEFT JOIN nb ON nb.session_id = ix.session_id AND nb.idx = ix.idx),
+cc AS (SELECT cl.*, coalesce(ed.score, 1.0::DOUBLE) AS confidence, count(*) OVER (PARTITION BY cl.session_id, seed)::INT AS cluster_size, 'c_' || cl.session_id || '_' || seed AS cluster_id FROM cl LEFT JOIN ed ON ed.session_id = cl.session_id AND ed.i = seed AND ed.j = cl.idx)"""
+F = f"""{CL}, f AS (SELECT g.*, cc.cluster_id, cc.cluster_size, {TOPIC.replace('canonical_text', 'g.canonical_text')} AS topic, 100.0::DOUBLE * occurrences / s_occurrences AS f_freq, CASE WHEN last_year IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 100.0::DOUBLE - 20.0::DOUBLE * ({CURRENT_YEAR} - last_year)) END AS f_recency,
+  CASE WHEN coalesce(avg_marks, 0) = 0 THEN 50.0::DOUBLE ELSE least(100.0::DOUBLE, 100.0::DOUBLE * avg_marks / s_marks) END AS f_marks, 100.0::DOUBLE * n_years / s_years AS f_spread, least(100.0::DOUBLE, 25.0::DOUBLE * (cluster_size - 1)) AS f_cluster, 50.0::DOUBLE AS f_chapter
+  FROM g JOIN sn USING (session_id) JOIN cc USING (session_id, content_hash)),
 b0 AS (SELECT *, floor((0.0::DOUBLE + f_freq * 0.30::DOUBLE + f_recency * 0.25::DOUBLE + f_marks * 0.20::DOUBLE + f_spread * 0.15::DOUBLE + f_cluster * 0.07::DOUBLE + f_chapter * 0.03::DOUBLE) * 10 + 0.5) / 10 AS priority_score FROM f),
 b1 AS (SELECT *, CASE WHEN priority_score >= 85 THEN 'critical' WHEN priority_score >= 70 THEN 'very_high' WHEN priority_score >= 50 THEN 'high' WHEN priority_score >= 30 THEN 'medium' ELSE 'low' END AS priority_level,
   list_filter([CASE WHEN f_freq >= 80 THEN 'is extremely frequent across papers' WHEN f_freq >= 50 THEN 'has appeared multiple times' END,
     CASE WHEN f_recency >= 80 THEN 'was asked recently (last in ' || last_year || ')' WHEN f_recency >= 50 THEN 'was asked in recent years' END,
     CASE WHEN f_spread >= 60 THEN 'shows high consistency across multiple years' END,
-    CASE WHEN avg_marks >= 8 THEN 'carries high weightage (' || floor(avg_marks)::INT || ' marks on average)' END], lambda x: x IS NOT NULL) AS reasons FROM b0),
+    CASE WHEN avg_marks >= 8 THEN 'carries high weightage (' || floor(avg_marks)::INT || ' marks on average)' END,
+    CASE WHEN cluster_size > 1 THEN 'appears in ' || cluster_size || ' similar variations' END], lambda x: x IS NOT NULL) AS reasons FROM b0),
 bank AS (SELECT *, 'Ranked ' || CASE priority_level WHEN 'critical' THEN 'Critical' WHEN 'very_high' THEN 'Very High' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END ||
   CASE WHEN len(reasons) = 0 THEN ' based on standard frequency and spacing factors.' WHEN len(reasons) = 1 THEN ' because it ' || reasons[1] || '.'
   ELSE ' because it ' || array_to_string(reasons[1:len(reasons) - 1], ', ') || ', and ' || reasons[len(reasons)] || '.' END AS priority_reason FROM b1)"""
-QUESTIONS = f"WITH {PAPERS}, {PQ}, {Q}"
+QUESTIONS = f"WITH RECURSIVE {PAPERS}, {PQ}, {Q}"
 GROUPS = f"{QUESTIONS}, {G}"
+CLUSTERS = f"{GROUPS}, {CL}"
 BANK = f"{GROUPS}, {S}, {F}"
 
 LINES = "lines AS (SELECT doc_id, (unnest(generate_series(1, len(string_split(text, chr(10))))) - 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 PAGES = """pg AS (SELECT page_id, page_id // 5 AS paper_id, (page_id % 5 + 1)::INT AS page_no, (page_id % 2)::INT AS image_count,
-  CASE WHEN (page_id // 5) % 4 = 0 THEN '' WHEN (page_id // 5) % 4 = 1 THEN html ELSE substr(html, 1, (page_id * 37) % 400) END AS text,
-  CASE WHEN (page_id // 5) % 4 > 1 AND page_id % 3 = 0 THEN '' ELSE substr(html, 50, 120) END AS ocr_text FROM pages),
+  CASE WHEN (page_id // 5) % 4 = 0 OR ((page_id // 5) % 4 = 2 AND page_id % 2 = 0) THEN '' WHEN (page_id // 5) % 4 = 3 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' ' || url ELSE html END AS text,
+  CASE WHEN (page_id // 5) % 4 = 3 AND page_id % 3 = 0 THEN '' ELSE regexp_replace(html, '<[^>]*>', ' ', 'g') END AS ocr_text FROM pages),
 routed AS (SELECT *, (length(trim(text)) < 100 OR (image_count > 0 AND length(trim(text)) < 250)) AND trim(ocr_text) <> '' AS scanned FROM pg)"""
 
 NOISE = rf"(?i)^\s*({NOISE_STARTS})|" + "|".join(r"\s+".join(b.split()) for b in BANNERS)

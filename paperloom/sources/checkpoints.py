@@ -5,13 +5,20 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only below this many bytes, counted before the join.
+BROADCAST_BYTES = 8_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that executors share, as spark.checkpoint.dir names it; one of this machine only where that is unset."""
+    """The folder that executors share, as spark.checkpoint.dir names it. Where that is unset, one of this machine under a local master, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-"))
     return context.getCheckpointDir()
 
 
@@ -19,3 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, and still there when an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast behind a count of its rows, so best of a checkpoint; beyond the bound Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
