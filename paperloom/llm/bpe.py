@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import SLICE_BYTES, small_batches
+from paperloom.llm.common import SLICE_BYTES, resident, small_batches, trimmed
 
 #: Fixed value: the byte-level pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces that a worker keeps between batches (about 150 bytes each); beyond it the cache starts anew.
+#: Pieces that a worker keeps between batches (about 200 bytes each); beyond it the cache starts anew.
 CACHE_PIECES = 600_000
+#: Characters of a piece beyond which it isn't kept.
+LONG_PIECE = 100
+#: New pre-tokens that are merged together at a time, which bounds the index of their pairs.
+LEARNED = 20_000
 
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
@@ -137,92 +141,102 @@ def pair_indexed_ids(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return out
 
 
+class Pieces(dict[str, bytes]):
+    """Values of pieces by their text without `lead`. A piece that isn't there is put together from its pre-tokens' values."""
+
+    def __init__(self, lead: str, cache: PieceCache):
+        self.lead, self.cache = lead, cache
+
+    def __missing__(self, word: str) -> bytes:
+        piece, cache = self.lead + word, self.cache
+        # letters after at most one space are one pre-token
+        units = [piece] if word.isalpha() else cache.findall(piece)
+        value = cache.value([piece.encode()])[0] if len(units) == 1 else b"".join([cache.unit(u) for u in units])
+        if len(word) <= LONG_PIECE:
+            self[word] = value
+        return value
+
+
 class PieceCache:
-    """Values of whole texts, put together from the values of their pieces.
+    """Values of whole texts, put together from the values of their pieces, which in turn come from pre-tokens.
 
-    learn: gives the values (bytes) of a list of pieces not met before, a leading space included.
-    special: texts that count as one unit wherever they stand, with their values.
+    value: gives the values (bytes) of a list of pre-tokens. special: texts that count as one unit wherever they stand, with their values.
+    most: pieces kept. together: the new pre-tokens of a call are passed to `value` in one list (of LEARNED at most), else one by one.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], special: dict[str, bytes], most: int = CACHE_PIECES):
-        self.learn, self.special, self.most = learn, special, most
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+    def __init__(self, value: Callable[[list[bytes]], list[bytes]], special: dict[str, bytes], most: int = CACHE_PIECES, together: bool = False):
+        import regex
+
+        self.value, self.special, self.most, self.together = value, special, most, together
+        self.findall = regex.compile(PATTERN).findall
+        self.first, self.spaced = Pieces("", self), Pieces(" ", self)
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in special) + ")") if special else None
 
+    def unit(self, unit: str) -> bytes:
+        return self.spaced[unit[1:]] if unit[0] == " " else self.first[unit]
+
     def _runs(self, text: str) -> list[str]:
         if self.split_special and any(s in text for s in self.special):
             return self.split_special.split(text)
         return [text]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The value of each text, its pieces' values strung together."""
-        for cache in (self.first, self.spaced):
-            if len(cache) > self.most:
-                cache.clear()
-        first, spaced, special = self.first, self.spaced, self.special
-        parts: list[list[tuple[str, list[str]] | bytes]] = []
+    def _cut(self, run: str) -> list[str]:
+        return _CUT.split(run) if _ODD_SPACE.search(run) else run.split(" ")
+
+    def _learn(self, texts: list[str]) -> None:
+        """The pre-tokens of pieces that aren't there yet, a list at a time."""
         heads: set[str] = set()
         tails: set[str] = set()
         for text in texts:
-            mine: list[tuple[str, list[str]] | bytes] = []
+            for run in self._runs(text):
+                if run not in self.special:
+                    words = self._cut(run)
+                    heads.add(words[0])
+                    tails.update(words)
+        new: set[str] = set()
+        for lead, words in (("", heads.difference(self.first)), (" ", tails.difference(self.spaced))):
+            for word in words:
+                new.update([lead + word] if word.isalpha() else self.findall(lead + word))
+        known = [u for u in new if u and u[0] != " " and u in self.first or u[:1] == " " and u[1:] in self.spaced]
+        fresh = [u for u in new.difference(known) if len(u) <= LONG_PIECE]
+        for i in range(0, len(fresh), LEARNED):
+            part = fresh[i : i + LEARNED]
+            for u, value in zip(part, self.value([u.encode() for u in part]), strict=True):
+                if u[0] == " ":
+                    self.spaced[u[1:]] = value
+                else:
+                    self.first[u] = value
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The value of each text, its pieces' values strung together."""
+        if len(self.first) + len(self.spaced) > self.most:
+            self.first.clear()
+            self.spaced.clear()
+        if self.together:
+            self._learn(texts)
+        first, find, special, out = self.first, self.spaced.__getitem__, self.special, []
+        for text in texts:
+            values: list[bytes] = []
             for run in self._runs(text):
                 if run in special:
-                    mine.append(special[run])
+                    values.append(special[run])
                 elif run:
-                    words = _CUT.split(run) if _ODD_SPACE.search(run) else run.split(" ")
-                    head = words[0]
+                    words = self._cut(run)
+                    if words[0]:
+                        values.append(first[words[0]])
                     del words[0]
-                    if head:
-                        heads.add(head)
-                    tails.update(words)
-                    mine.append((head, words))
-            parts.append(mine)
-        new = list(heads.difference(first))
-        first.update(zip(new, self.learn(new), strict=True))
-        new = list(tails.difference(spaced))
-        spaced.update(zip(new, self.learn([" " + w for w in new]), strict=True))
-        find, out = spaced.__getitem__, []
-        for mine in parts:
-            values: list[bytes] = []
-            for part in mine:
-                if isinstance(part, bytes):
-                    values.append(part)
-                else:
-                    if part[0]:
-                        values.append(first[part[0]])
-                    values += map(find, part[1])
+                    values += map(find, words)
             out.append(b"".join(values))
         return out
 
 
-class Units:
-    """Values of pieces by way of their pre-tokens: `value` gets each distinct new pre-token once."""
-
-    def __init__(self, value: Callable[[list[bytes]], list[bytes]], most: int = CACHE_PIECES):
-        import regex
-
-        self.value, self.most = value, most
-        self.findall = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [self.findall(piece) for piece in pieces]
-        new = list({u for units in cut for u in units}.difference(self.known))
-        known = self.known
-        known.update(zip(new, self.value([u.encode() for u in new]), strict=True))
-        return [known[units[0]] if len(units) == 1 else b"".join([known[u] for u in units]) for units in cut]
-
-
 class Codec:
     """Encodes and decodes whole texts."""
 
     def __init__(self, path: str, pieces: int = CACHE_PIECES):
         self.vocabulary = v = Vocabulary(path)
         special = {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.added.items()}
-        self.cache = PieceCache(Units(lambda words: pair_indexed_ids(words, v), pieces), special, pieces)
+        self.cache = PieceCache(lambda words: pair_indexed_ids(words, v), special, pieces, together=True)
         self.table = [v.pieces.get(i, b"") for i in range(max(v.pieces) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -233,14 +247,9 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
 def codec(path: str, pieces: int = CACHE_PIECES) -> Codec:
-    """One for each worker and file, kept between tasks."""
-    if (path, pieces) not in _CODECS:
-        _CODECS[path, pieces] = Codec(path, pieces)
-    return _CODECS[path, pieces]
+    """One for each worker and file, kept between tasks of this operator."""
+    return resident(("codec", path, pieces), lambda: Codec(path, pieces))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -258,6 +267,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> I
         if at < len(lengths):
             part = batch.slice(at)
             yield part, [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+    trimmed()
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A word: a run of characters other than space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -27,6 +33,35 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task. It keeps one thing: workers live through all stages of an application, and
+    what an earlier operator has left is given up, its memory included, before another one's is made."""
+    if key not in _RESIDENT:
+        released()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]  # type: ignore[return-value]
+
+
+def released() -> None:
+    """Gives up what the worker keeps and returns free memory to the system."""
+    _RESIDENT.clear()
+    gc.collect()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Free memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder that the cluster names.
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.bpe import PieceCache, Units, Vocabulary, text_slices
-from paperloom.llm.common import small_batches
+from paperloom.llm.bpe import PieceCache, Vocabulary, text_slices
+from paperloom.llm.common import resident, small_batches
 
 #: Nodes that a worker keeps; beyond it the trie starts anew.
 MAX_NODES = 1_500_000
@@ -63,11 +63,10 @@ class Trie:
         return pieces[node]
 
 
-_COUNTERS: dict[str, PieceCache] = {}
-
-
 def counter(path: str) -> PieceCache:
-    if path not in _COUNTERS:
+    """One for each worker and file, kept between tasks of this operator."""
+
+    def make() -> PieceCache:
         vocabulary = Vocabulary(path)
         trie = Trie(zipf_scores({i: p for i, p in vocabulary.pieces.items() if i not in vocabulary.added.values()}))
 
@@ -76,8 +75,9 @@ def counter(path: str) -> PieceCache:
                 trie.clear()
             return [trie.count(w).to_bytes(4, "little", signed=True) for w in words]
 
-        _COUNTERS[path] = PieceCache(Units(value), {s: (1).to_bytes(4, "little") for s in vocabulary.added})
-    return _COUNTERS[path]
+        return PieceCache(value, {s: (1).to_bytes(4, "little") for s in vocabulary.added})
+
+    return resident(("counter", path), make)
 
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.bpe import PieceCache, Units, byte_letters, text_slices
-from paperloom.llm.common import small_batches
+from paperloom.llm.bpe import PieceCache, byte_letters, text_slices
+from paperloom.llm.common import resident, shared_folder, small_batches
 
 #: Bits of each level; the last takes what is left of 32.
 WIDTHS = (8, 8, 16)
@@ -101,26 +101,25 @@ class Shard:
         return out
 
 
-_ENCODERS: dict[str, PieceCache] = {}
-
-
 def library_encoder(path: str) -> PieceCache:
-    """Whole texts encoded by the tokenizers library's model, which gets each distinct pre-token once.
+    """Whole texts encoded by the tokenizers library's model, which gets each distinct pre-token once. One for each worker and file.
 
     The library's own pre-tokenizer keeps track of offsets, which takes most of its time; the byte-level pattern and letters are applied here instead.
     """
-    if path not in _ENCODERS:
+
+    def make() -> PieceCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, {byte: letter for letter, byte in byte_letters().items()}
+        tokenize, letters = tokenizer.model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
 
         def value(words: list[bytes]) -> list[bytes]:
-            return [array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in words]
+            return [array("I", [t.id for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in words]
 
         special = {t.content: array("I", [i]).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceCache(Units(value), special)
-    return _ENCODERS[path]
+        return PieceCache(value, special)
+
+    return resident(("library", path), make)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, key: str = "doc_id") -> None:
@@ -181,7 +180,10 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                 shard = Shard(row["levels"].as_py())
                 offsets = np.frombuffer(row["offsets"].as_py(), "<i8")
                 first, part = row["first"].as_py(), row["part"].as_py()
-                crcs = [zlib.crc32(shard.tokens(int(i), int(j)).tobytes()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                # all documents of the shard are wanted, so its chunks are read in one run; Shard.token reads one by itself
+                ids = memoryview(shard.tokens(0, int(offsets[-1])).tobytes())
+                at = (offsets * 4).tolist()
+                crcs = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [row["keys"].values, pa.array([part] * len(crcs), pa.int32()), pa.array(offsets[:-1] + first, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())],
                     names=["key", "part", "at", "n_tokens", "ids_crc32"],
@@ -197,6 +199,4 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 def store_folder(spark: SparkSession) -> str:
     """A new folder in the shared one that the cluster names for checkpoints."""
-    from paperloom.llm.common import shared_folder
-
     return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
