@@ -229,7 +229,7 @@ def _possible(pairs: DataFrame, prints: DataFrame, similarity: float, longs: int
     """The pairs that may be alike: each parity in which two sets differ is a shingle that only one of them has."""
     ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     n = ends.count()
-    bits = cut(prints.select("id", "size", "odd").join(broadcast_if_small(ends, 16, n), "id", "left_semi").dropDuplicates(["id"]))
+    bits = cut(prints.select("id", "size", "odd").join(broadcast_if_small(ends, 16, n), "id", "left_semi"))
     one, two = (broadcast_if_small(bits.select(F.col("id").alias(x), F.struct("size", "odd").alias(y)), 40 + 8 * longs, n) for x, y in (("a", "x"), ("b", "y")))
     if longs > PARITIES:
         differ = F.aggregate(F.zip_with("x.odd", "y.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -239,17 +239,44 @@ def _possible(pairs: DataFrame, prints: DataFrame, similarity: float, longs: int
     return cut(pairs.join(one, "a").join(two, "b").filter(differ <= most).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """u and v of the pairs a, b whose sets are alike by `similarity`."""
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, repeats: bool) -> DataFrame:
+    """u and v of the pairs a, b whose sets are alike by `similarity`. repeats: docs may have several rows of one id."""
     ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = cut(_shingle_sets(docs.join(broadcast_if_small(ends, 16, ends.count()), "id", "left_semi"), shingle).dropDuplicates(["id"]))
+    sets = _shingle_sets(docs.join(broadcast_if_small(ends, 16, ends.count()), "id", "left_semi"), shingle)
+    sets = cut(sets.dropDuplicates(["id"]) if repeats else sets)
     pairs = _possible(pairs, sets, similarity, MORE_PARITIES)
+    left = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = sets.join(broadcast_if_small(left, 16, left.count()), "id", "left_semi")
     both = _with_sets(_with_sets(pairs, "a", sets, "x"), "b", sets, "y")
     shared = F.size(F.array_intersect("x", "y"))
     near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9)
     return cut(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _met(places: DataFrame) -> DataFrame:
+    """The rows of places (token, id, sized) whose token stands in several rows: one shuffle, then neighbours in order are compared; no group is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, and whether its token was met before
+        known = False
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            token = whole.column(0).to_numpy(zero_copy_only=False)
+            same = token[1:] == token[:-1]
+            met = np.zeros(len(token), bool)
+            met[1:] = same
+            met[:-1] |= same
+            met[0] |= known
+            yield whole.slice(0, len(whole) - 1).filter(pa.array(met[:-1]))
+            held, known = whole.slice(len(whole) - 1), bool(met[-1])
+        if held is not None and known:
+            yield held
+
+    return places.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, sized long")
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
     """id and component (its smallest id) for rows that have a near copy. id: xxhash64 of key and text.
 
@@ -264,13 +291,17 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     ided = docs.select(F.xxhash64(F.col(key), text).alias("id"), text.alias("text"))
     small_batches(docs.sparkSession)
     prints = cut(_prefixes(ided, similarity, shingle, _common(ided, shingle)))
+    repeats = prints.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    prints = cut(prints.dropDuplicates(["id"])) if repeats else prints
     same = cut(prints.groupBy("whole", "size").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep != most"))
-    copies = cut(prints.join(broadcast_if_small(same.drop("most"), 24, same.count()), ["whole", "size"]).filter("id != rep").select("rep", "id").distinct())
+    copies = cut(prints.join(broadcast_if_small(same.drop("most"), 24, same.count()), ["whole", "size"]).filter("id != rep").select("rep", "id"))
     alone = prints.join(broadcast_if_small(copies.select("id"), 16, copies.count()), "id", "left_anti")
-    places = alone.select("id", "size", F.size("first").alias("firsts"), F.posexplode("first").alias("at", "token"))
-    shared = cut(places.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = cut(places.join(broadcast_if_small(shared, 24, shared.count()), "token"))
-    lone = cut(met.groupBy("id").agg((F.max("firsts") - F.count(F.lit(1))).alias("lone")))
+    # sized: size << 32 | place of the shingle, so that what travels with each shingle is two numbers
+    places = alone.select("id", "size", F.posexplode("first").alias("at", "token"))
+    met = cut(_met(places.select("token", "id", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("sized"))))
+    met = met.select("token", "id", F.shiftright("sized", 32).cast("int").alias("size"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+    least = F.greatest(F.lit(1), F.ceil(similarity * F.col("size") - 1e-9))
+    lone = cut(met.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")).select("id", (F.col("size") - least + 1 - F.col("n")).alias("lone")))
     central = met.join(broadcast_if_small(lone, 24, lone.count()), "id")
 
     c = F.col
@@ -284,20 +315,21 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     stars = met.alias("own").join(broadcast_if_small(hubs, 48, hubs.count()), "token").filter("own.id != hub.id").filter(room("own", "hub"))
     tried = cut(stars.select(F.least("own.id", "hub.id").alias("a"), F.greatest("own.id", "hub.id").alias("b")).distinct())
     links = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    links = links.union(_verified(_possible(tried, prints, similarity), ided, similarity, shingle))
+    links = links.union(_verified(_possible(tried, prints, similarity), ided, similarity, shingle, repeats))
 
     groups = cut(connected_components(cut(links)))
     placed = met.join(broadcast_if_small(groups, 24, groups.count()), met["id"] == groups["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.select("id", "size", "at", "token", "n", "component")
-    apart = cut(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token"))
-    open_ = cut(placed.join(broadcast_if_small(apart, 16, apart.count()), "token", "left_semi").withColumn("salts", F.ceil(F.col("n") / DEALT).cast("int")))
+    placed = placed.select("id", "size", "at", "token", "component")
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
+    apart = cut(apart.select("token", F.ceil(F.col("n") / DEALT).cast("int").alias("salts")))
+    open_ = cut(placed.join(broadcast_if_small(apart, 20, apart.count()), "token"))
     one = open_.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("one")
     two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("two")
     smaller = (c("one.size") < c("two.size")) | ((c("one.size") == c("two.size")) & (c("one.id") < c("two.id")))
     on = (c("one.token") == c("two.token")) & (c("one.salt") == c("two.salt")) & (c("one.component") != c("two.component"))
     rest = one.join(two, on & smaller & room("one", "two")).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    near = _verified(_possible(rest, prints, similarity), ided, similarity, shingle)
+    near = _verified(_possible(rest, prints, similarity), ided, similarity, shingle, repeats)
     return connected_components(cut(links.union(near))).select(F.col("node").alias("id"), "component")
 
 
