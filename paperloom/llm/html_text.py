@@ -1,10 +1,9 @@
 """Main text of web pages by two passes of block rules (operator 2).
 
-A page is cut into blocks at block-level tags; those in menus, asides, forms and the like go, and so do those outside the
-article where a page marks one. The first pass decides blocks by link density and by length with stop-word density;
-short blocks and those in between stay open. The second pass gives each open block the label of its nearest decided
-neighbours; where they differ the nearer counts, and inside an article either good one. The ends of an article
-count as decided good, the ends of a page as decided bad.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link density, length and the density of function words; short
+blocks and those in between stay open. The second pass gives each open block the label of its nearest decided neighbour. Markup only sets what the
+rules start from: elements that never hold main text go, where a page marks an article the blocks outside it go and its ends count as decided good
+neighbours, and names of classes count only as long as they leave some text.
 """
 
 from __future__ import annotations
@@ -28,6 +27,9 @@ STOP_WORDS = frozenset(
     "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über "
     "el los las y que del se con por una su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
+# Characters that play the part of function words where words aren't spaced, and the scripts that don't space them.
+FUNCTION_CHARACTERS = frozenset("的一是不了在人有我他这个们来到说和就要也你以会可と の は が を に で た し て も な だ る れ".replace(" ", ""))
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
@@ -49,6 +51,8 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+#: Parts of a name that say what a box has or lacks, not what it is.
+_ABOUT = frozenset("no non not without with has have is hide".split())
 _WORD = re.compile(r"\w+")
 
 
@@ -58,29 +62,44 @@ class Rules:
 
     short: int = 70  # characters below which a block is left open
     links: float = 0.33  # share of characters in links above which it is bad
-    stop_good: float = 0.25  # share of stop words from which a block is good
+    stop_good: float = 0.25  # share of function words from which a block is good
     stop_open: float = 0.12  # share from which it is left open
+    unspaced: float = 0.3  # share of characters of unspaced scripts from which characters count instead of words
+    unspaced_short: int = 25  # a short block in such a script
+    unspaced_good: float = 0.08  # share of function characters from which such a block is good
 
 
 @dataclass
 class Block:
     text: str
     links: float
-    apart: bool
+    apart: bool  # by an element
+    named: bool  # by the name of a class, id or role
     article: int  # number of the article element it stands in, 0: none
 
 
+def _is_named(attributes: str) -> bool:
+    """Whether a class, id or role says that an element stands apart: cookie-notice does, no-sidebar doesn't."""
+    for v in _NAMED.finditer(attributes):
+        for name in (v[1] or v[2] or v[3] or "").lower().split():
+            parts = _NAME_PART.findall(name)
+            if not APART_NAMES.isdisjoint(parts) and _ABOUT.isdisjoint(parts):
+                return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with white space made single and references decoded."""
     out: list[Block] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, apart, article
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, apart, named, article
     linked = depth = articles = 0
-    apart, article = False, 0
+    apart, named, article = False, False, 0
+    mute, mutes = "", 0  # an inline element that stands apart, and how often its name is open
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not mutes:
             decoded = html.unescape(raw) if "&" in raw else raw
             held.append(decoded)
             if depth:
@@ -91,7 +110,7 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             whole = " ".join("".join(held).split())
             if whole:
-                out.append(Block(whole, linked / len(whole), apart, article))
+                out.append(Block(whole, linked / len(whole), apart, named, article))
             held.clear()
         linked = 0
 
@@ -105,81 +124,109 @@ def blocks_of(page: str) -> list[Block]:
                 held.append(" ")
             continue
         name = name.lower()
-        if name == "a":
-            depth = 0 if close else 1
-            continue
         if name == "br":
             held.append(" ")
             continue
         if name in INLINE:
+            if name == "a":
+                depth = 0 if close else 1
+            if mutes:
+                mutes += (-1 if close else 1) if name == mute and not rest.endswith("/") else 0
+            elif not close and rest and name not in VOID and not rest.endswith("/") and (_HIDDEN.search(rest) or _is_named(rest)):
+                mute, mutes = name, 1
             continue
         flush()
-        if name in VOID or name == "p":
+        mutes = 0
+        if stack and stack[-1][0] == "p":  # the next block ends a paragraph, closed or not
+            stack.pop()
+            _, apart, named, article = stack[-1] if stack else ("", False, False, 0)
+        if name in VOID or (close and name == "p"):
             continue
         if name == "body":
             stack.clear()
-            apart, article = False, 0
+            apart, named, article = False, False, 0
             continue
         if close:
             if any(e[0] == name for e in stack):
                 while stack.pop()[0] != name:
                     pass
-                _, apart, article = stack[-1] if stack else ("", False, 0)
+                _, apart, named, article = stack[-1] if stack else ("", False, False, 0)
             continue
-        names = {p for v in _NAMED.finditer(rest) for p in _NAME_PART.findall((v[1] or v[2] or v[3] or "").lower())} if "=" in rest else set()
-        own = name in APART or bool(names & APART_NAMES) or bool(rest and _HIDDEN.search(rest)) or ((name == "header" or "header" in names) and not article)
-        apart = apart or own
+        apart = apart or name in APART or bool(rest and _HIDDEN.search(rest)) or (name == "header" and not article)
+        named = named or ("=" in rest and _is_named(rest))
         if name in ARTICLE and not apart and not article:
             articles += 1
             article = articles
         if not rest.endswith("/"):
-            stack.append((name, apart, article))
+            stack.append((name, apart, named, article))
     text(page[at:])
     flush()
     return out
 
 
-def main_text(page: str, rules: Rules = Rules()) -> str:
-    """The good blocks, joined by one space; empty if there are none."""
-    blocks = [b for b in blocks_of(page) if not b.apart]
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
+def first_pass(blocks: list[Block], rules: Rules = Rules()) -> list[bool | None]:
+    """Good, bad or open, by link density, length and density of function words.
+
+    A page none of whose longer blocks has function words of the lists is in another language; there length and links decide. If no block
+    is decided at all, as on a page of short blocks, those without links are good.
+    """
     labels: list[bool | None] = []
+    found = False
     for b in blocks:
         if b.links > rules.links:
             labels.append(False)
+            continue
+        odd = len(UNSPACED.findall(b.text))
+        if odd >= rules.unspaced * len(b.text):
+            density, short, good, low = sum(c in FUNCTION_CHARACTERS for c in b.text) / odd, rules.unspaced_short, rules.unspaced_good, rules.unspaced_good / 2
         else:
             words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if len(b.text) < rules.short:
-                labels.append(None)
-            elif stops >= rules.stop_good:
-                labels.append(True)
-            else:
-                labels.append(None if b.article or stops >= rules.stop_open else False)
-    good = []
+            density, short, good, low = sum(w in STOP_WORDS for w in words) / max(1, len(words)), rules.short, rules.stop_good, rules.stop_open
+        if len(b.text) < short:
+            labels.append(None)
+            continue
+        found = found or density >= low
+        labels.append(True if density >= good else None if density >= low or b.article else False)
+    if not found:
+        longer = [b.links <= rules.links and len(b.text) >= rules.short for b in blocks]
+        labels = [True if x else label for x, label in zip(longer, labels, strict=True)]
+    if True not in labels:
+        labels = [True if label is None else label for label in labels]
+    return labels
+
+
+def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Open blocks get the label of the nearest decided neighbour within the page or their article. The ends of an article are good neighbours, those of a page bad ones;
+    between a good and a bad one as near, a block of an article is good and another one is bad."""
     n = len(blocks)
-    before: list[tuple[int, bool]] = []  # nearest decided place at or before, and its label
-    for i in range(n):
-        edge = i == 0 or blocks[i].article != blocks[i - 1].article
-        last = (i - 1, blocks[i].article > 0) if edge else before[i - 1]
-        before.append((i, bool(labels[i])) if labels[i] is not None else last)
-    after = (n, False)
-    for i in reversed(range(n)):
-        if i == n - 1 or blocks[i].article != blocks[i + 1].article:
-            after = (i + 1, blocks[i].article > 0)
-        if labels[i] is None:
-            (p, a), (q, b2) = before[i], after
-            if a == b2 or blocks[i].article:
-                label = a or b2
-            else:
-                label = a if i - p < q - i else b2 if q - i < i - p else False
-        else:
-            label = bool(labels[i])
-            after = (i, label)
-        if label:
-            good.append(blocks[i].text)
-    return " ".join(reversed(good))
+
+    def nearest(order: range, step: int) -> list[tuple[int, bool]]:
+        out: list[tuple[int, bool]] = [(0, False)] * n
+        last = (0, False)
+        for i in order:
+            other = i - step
+            if not 0 <= other < n or blocks[other].article != blocks[i].article:
+                last = (other, blocks[i].article > 0)
+            if labels[i] is not None:
+                last = (i, bool(labels[i]))
+            out[i] = last
+        return out
+
+    before, after = nearest(range(n), 1), nearest(range(n - 1, -1, -1), -1)
+    out = []
+    for i, b in enumerate(blocks):
+        (p, left), (q, right) = before[i], after[i]
+        out.append(left if left == right or i - p < q - i else right if q - i < i - p else b.article > 0)
+    return out
+
+
+def main_text(page: str, rules: Rules = Rules()) -> str:
+    """The good blocks, joined by one space; empty if there are none."""
+    all_blocks = [b for b in blocks_of(page) if not b.apart]
+    blocks = [b for b in all_blocks if not b.named] or all_blocks
+    if any(b.article for b in all_blocks):
+        blocks = [b for b in blocks if b.article] or [b for b in all_blocks if b.article]
+    return " ".join(b.text for b, good in zip(blocks, second_pass(blocks, first_pass(blocks, rules)), strict=True) if good)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

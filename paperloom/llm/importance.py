@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling (operator 3).
 
 Two generative models of hashed n-grams are compared: one of the target (texts labelled good), one of all raw text. A text's log weight
-is its mean log ratio over its n-grams, measured from a level that labelled texts held back set. Gumbel noise is added,
-and the k largest stay, where k is the number of texts above the level: sampling without replacement in proportion to the weights.
+is its mean log ratio over its n-grams at a temperature, measured from a level that labelled texts held back set. Words that many texts labelled toxic share and target texts
+lack count against it as well. Gumbel noise is added and the k largest stay: sampling without replacement in proportion to the weights. k is
+the expected number of good texts, the sum of their odds w / (1 + w), so that texts near the level stay or go by the draw.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ MAX_LABELLED = 20_000
 SMOOTHING = 0.5
 #: N-grams that a text is taken to have besides its own, with the mean ratio of a good text: short texts decide little.
 PRIOR = 20.0
-#: Log weight a unit of mean log ratio.
-SCALE = 60.0
+#: A difference in mean log ratio that makes one unit of log weight.
+TEMPERATURE = 1 / 60
+#: Words count as marks if this share of the texts labelled toxic have them, and that is so many times (as a log) their share among target texts.
+MARK_SHARE, MARK_RATIO = 0.05, 2.0
+#: Log weight that a mark takes away, for each unit of its log ratio.
+MARK_WEIGHT = 1.5
 
-_TARGET, _GOOD, _BAD = 1, 2, 3
+_TARGET, _GOOD, _BAD, _TOXIC = 1, 2, 3, 4
 
 
 def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,37 +60,42 @@ def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         pairs[words[1:] == words[:-1]] = 0
         same = owner[1:] == owner[:-1]
         yield owner[1:][same], (pairs[same] % n).astype(np.int64) + BUCKETS
-    if len(data) > 4:
+    if len(data) > 3:
         d = data.astype(np.uint64)
         four = mixed(d[:-3] | d[1:-2] << np.uint64(8) | d[2:-1] << np.uint64(16) | d[3:] << np.uint64(24))
-        yield np.repeat(np.arange(len(texts)), lengths)[:-3], (four % n).astype(np.int64) + 2 * BUCKETS
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        inside = owner[:-3] == owner[3:]  # a text's last bytes and the space after it, but not the next text
+        yield owner[:-3][inside], (four[inside] % n).astype(np.int64) + 2 * BUCKETS
 
 
 @dataclass
 class Model:
-    """Log ratio of each bucket, target to raw."""
+    """Log ratio of each bucket, target to raw, and of marks, toxic to target (by bucket of words)."""
 
     ratios: np.ndarray
     centre: float = 0.0
+    marks: np.ndarray | None = None
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log ratio of each text, drawn to the centre by PRIOR n-grams."""
-        total, count = np.zeros(len(texts)), np.zeros(len(texts))
-        for owner, bucket in ngrams(texts):
+        """Mean log ratio of each text, drawn to the centre by PRIOR n-grams, less its marks."""
+        total, count, marked = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+        for kind, (owner, bucket) in enumerate(ngrams(texts)):
             total += np.bincount(owner, self.ratios[bucket], len(texts))
             count += np.bincount(owner, minlength=len(texts))
-        return (total + PRIOR * self.centre) / (count + PRIOR)
+            if kind == 0 and self.marks is not None:
+                marked = np.bincount(owner, self.marks[bucket], len(texts))
+        return (total + PRIOR * self.centre) / (count + PRIOR) - TEMPERATURE * MARK_WEIGHT * marked
 
 
 def _roles(labels: DataFrame, key: str) -> DataFrame:
-    """_key and role of a bounded sample of labelled texts: half of the good ones make the target, the others and the bad ones set the level."""
+    """_key and role of a bounded sample of labelled texts: half of the good ones make the target and half of the toxic ones the marks; all others set the level."""
     usable = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull())
     step = max(1, -(-usable.count() // MAX_LABELLED))
     h = F.xxhash64(F.lit(3), key)
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) != 0 if "toxic" in labels.columns else F.lit(False)
-    good = (F.col("quality") != 0) & ~toxic
-    role = F.when(good & (F.pmod(F.shiftright(h, 20), F.lit(2)) == 0), _TARGET).when(good, _GOOD).when(F.col("quality") == 0, _BAD)
-    sample = usable.filter(F.pmod(h, F.lit(step)) == 0).select(F.col(key).alias("_key"), role.alias("role")).filter("role is not null")
+    half = F.pmod(F.shiftright(h, 20), F.lit(2)) == 0
+    role = F.when(toxic & half, _TOXIC).when(toxic | (F.col("quality") == 0), _BAD).when(half, _TARGET).otherwise(_GOOD)
+    sample = usable.filter(F.pmod(h, F.lit(step)) == 0).select(F.col(key).alias("_key"), role.alias("role"))
     return sample.groupBy("_key").agg(F.min("role").alias("role"))
 
 
@@ -105,52 +115,90 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[Model,
     marked = rows.join(roles, F.col("key") == F.col("_key"), "left").select("key", "role", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
+        # raw and target n-grams, and texts of the target and toxic ones that have a word
+        sums = {n: np.zeros(KINDS * BUCKETS, np.int64) for n in ("raw", "target", "target_texts", "toxic_texts")}
+        of, some = {_TARGET: 0, _TOXIC: 0}, False
         for part, texts in _slices(batches):
-            mine = part.column(1).fill_null(0).to_numpy(zero_copy_only=False) == _TARGET
-            for owner, bucket in ngrams(texts):
-                raw += np.bincount(bucket, minlength=len(raw))
-                target += np.bincount(bucket[mine[owner]], minlength=len(raw))
-        there = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(raw[there]), pa.array(target[there])], names=["bucket", "raw", "target"])
-
-    counts = marked.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros((KINDS, BUCKETS)), np.zeros((KINDS, BUCKETS))
-    for r in counts.collect():  # KINDS * BUCKETS rows at most
-        raw.flat[r.bucket], target.flat[r.bucket] = r.raw, r.target
+            some = True
+            role = part.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            for r in of:
+                of[r] += int((role == r).sum())
+            for kind, (owner, bucket) in enumerate(ngrams(texts)):
+                sums["raw"] += np.bincount(bucket, minlength=KINDS * BUCKETS)
+                sums["target"] += np.bincount(bucket[role[owner] == _TARGET], minlength=KINDS * BUCKETS)
+                if kind == 0:
+                    for r, n in ((_TARGET, "target_texts"), (_TOXIC, "toxic_texts")):
+                        mine = role[owner] == r
+                        sums[n] += np.bincount(np.unique(owner[mine] * BUCKETS + bucket[mine]) % BUCKETS, minlength=KINDS * BUCKETS)
+        if some:
+            there = np.flatnonzero(sums["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *[pa.array(x[there]) for x in sums.values()]], names=["bucket", *sums])
+            numbers = [of[_TARGET], of[_TOXIC]]  # in a row of their own
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0]), pa.array([0]), *[pa.array([x]) for x in numbers]], names=["bucket", *sums])
+
+    names = ["raw", "target", "target_texts", "toxic_texts"]
+    counts = marked.mapInArrow(count, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    found = {n: np.zeros(KINDS * BUCKETS) for n in names}
+    n_target = n_toxic = 0
+    for r in counts.collect():  # KINDS * BUCKETS + 1 rows at most
+        if r.bucket < 0:
+            n_target, n_toxic = r.target_texts, r.toxic_texts
+        else:
+            for n in names:
+                found[n][r.bucket] = r[n]
+    model = fitted(*[found[n] for n in names], n_target, n_toxic)
+
+    held = marked.filter(F.col("role").isin(_GOOD, _BAD)).mapInArrow(lambda batches: _scored(batches, model), "role int, score double")
+    # a score that repeats, as that of a text with many rows, comes once, with the number of its rows
+    per = held.groupBy("role", "score").agg(F.count(F.lit(1)).alias("n")).orderBy("role", "score").limit(4 * MAX_LABELLED).collect()
+    good, bad = ([(r.score, r.n) for r in per if (r.role == _GOOD) == g] for g in (True, False))
+    if not good:
+        return model, -np.inf
+    model.centre = _median(good)
+    return model, _level(good, bad)
+
+
+def fitted(raw: np.ndarray, target: np.ndarray, target_texts: np.ndarray, toxic_texts: np.ndarray, n_target: int, n_toxic: int) -> Model:
+    """The model from counts of n-grams by bucket, and of labelled texts that have a word."""
+    raw, target = raw.reshape(KINDS, BUCKETS), target.reshape(KINDS, BUCKETS)
     p_raw = (raw + 1) / (raw.sum(axis=1, keepdims=True) + BUCKETS)
     p_target = (target + SMOOTHING) / (target.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    model = Model(np.log(p_target / p_raw).ravel() if target.any() else np.zeros(KINDS * BUCKETS))
+    ratios = np.log(p_target / p_raw).ravel() if target.any() else np.zeros(KINDS * BUCKETS)
+    share = (toxic_texts[:BUCKETS] + 0.5) / (n_toxic + 1)
+    over = np.log(share / ((target_texts[:BUCKETS] + 0.5) / (n_target + 1)))
+    is_mark = (toxic_texts[:BUCKETS] >= max(3, MARK_SHARE * n_toxic)) & (over > MARK_RATIO)
+    return Model(ratios, marks=np.where(is_mark, over, 0.0))
 
-    held = marked.filter(F.col("role").isin(_GOOD, _BAD)).mapInArrow(lambda batches: _scored(batches, model), "key long, role int, score double")
-    found = [(r.score, r.role == _GOOD) for r in held.select("role", "score").collect()]  # of the labelled sample only
-    good = sorted(s for s, g in found if g)
-    if not good:
-        return model, -np.inf
-    model.centre = float(np.median(good))
-    return model, _level(good, sorted(s for s, g in found if not g))
+
+def _median(counted: list[tuple[float, int]]) -> float:
+    half, seen = sum(n for _, n in counted) / 2, 0
+    for score, n in sorted(counted):
+        seen += n
+        if seen >= half:
+            return score
+    return 0.0
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for part, texts in _slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(model.scores(texts))], names=["key", "role", "score"])
+        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(model.scores(texts))], names=["role", "score"])
 
 
-def _level(good: list[float], bad: list[float]) -> float:
-    """Where most labelled texts fall on their side, a lost good text counting as five bad ones kept; the middle of the best range."""
+def _level(good: list[tuple[float, int]], bad: list[tuple[float, int]]) -> float:
+    """Where most labelled texts (score and number) fall on their side, a lost good text counting as five bad ones kept; the middle of the best range."""
     if not bad:
-        return good[0] - 1.0
-    cuts = sorted([*good, *bad])
-    cost = 5.0 * np.searchsorted(good, cuts) / len(good) + (len(bad) - np.searchsorted(bad, cuts)) / len(bad)
+        return min(good)[0] - 1.0
+    cuts = np.unique([x for x, _ in [*good, *bad]])
+    below = lambda rows: np.concatenate([[0], np.cumsum([n for _, n in sorted(rows)])])[np.searchsorted(sorted(x for x, _ in rows), cuts)] / sum(n for _, n in rows)
+    cost = 5.0 * below(good) + 1 - below(bad)
     best = np.flatnonzero(cost == cost.min())
-    low, high = cuts[max(0, int(best[0]) - 1)], cuts[int(best[-1])]
-    return (low + high) / 2
+    return float(cuts[max(0, int(best[0]) - 1)] + cuts[int(best[-1])]) / 2
 
 
 def _noisy(scores: np.ndarray, level: float, marks: np.ndarray) -> np.ndarray:
     """Log weights with Gumbel noise drawn by hash."""
     u = ((marks.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-    return SCALE * (scores - level) - np.log(-np.log(u))
+    return (scores - level) / TEMPERATURE - np.log(-np.log(np.minimum(u, 1 - 2.0**-53)))
 
 
 def weigh(docs: DataFrame, model: Model, level: float, key: str = "doc_id", seed: int = 5) -> DataFrame:
@@ -161,7 +209,7 @@ def weigh(docs: DataFrame, model: Model, level: float, key: str = "doc_id", seed
         for part, texts in _slices(batches):
             scores = model.scores(texts)
             marks = part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(SCALE * (scores - level)), pa.array(_noisy(scores, level, marks))], names=["key", "log_weight", "draw"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array((scores - level) / TEMPERATURE), pa.array(_noisy(scores, level, marks))], names=["key", "log_weight", "draw"])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(seed), F.col(key), text).alias("mark"), text.alias("text"))
@@ -205,8 +253,9 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: int =
 
 
 def _last_draw(drawn: DataFrame) -> float:
-    k = drawn.filter("log_weight >= 0").count()
-    return kth_largest(drawn, k) if k else float("inf")
+    """The k-th largest draw, where k is the expected number of good texts."""
+    k = drawn.agg(F.round(F.sum(1 / (1 + F.exp(-F.col("log_weight")))))).first()[0]
+    return kth_largest(drawn, int(k)) if k else float("inf")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: int = 5) -> DataFrame:

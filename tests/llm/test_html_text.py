@@ -1,4 +1,4 @@
-from paperloom.llm.html_text import blocks_of, extract, main_text
+from paperloom.llm.html_text import blocks_of, extract, first_pass, main_text
 from paperloom.llm.queries import QUERIES
 
 PAGE = """<!DOCTYPE html><html><head><title>Cats</title><style>p{margin:0}</style><script>var t="</p>";track(0);</script></head><body>
@@ -16,11 +16,39 @@ def test_rules_without_an_article_element():
     long = "The cat was on the mat and it was not what they had said it would be, so we left."
     page = f"<body><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><div>Menu words</div><p>{long}</p><h2>A heading</h2><p>{long}</p><p>Brief.</p><p>{long}</p><div><a href=z>{long}</a></div><div>Tail</div></body>"
     assert main_text(page) == f"{long} A heading {long} Brief. {long}"
-    assert main_text("<p>" + "zxqv " * 40 + "</p>") == ""
+    assert main_text(f"<p>{long}</p><p>" + "zxqv " * 40 + f"</p><p>{long}</p>") == f"{long} {long}"
+
+
+def test_blocks_inside_an_article_are_decided_too():
+    long = "The cat was on the mat and it was not what they had said it would be, so we left."
+    links = "".join(f"<li><a href=/{i}>Other news {i}</a></li>" for i in range(4))
+    page = f"<article><h1>Cats</h1><p>{long}</p><ul>{links}<li>More</li>{links}</ul><p>Brief.</p><p>{long}</p></article>"
+    assert main_text(page) == f"Cats {long} Brief. {long}"
+    assert [b.text for b, x in zip(blocks_of(page), first_pass(blocks_of(page))) if x is None] == ["Cats", "More", "Brief."]
+
+
+def test_adverts_and_notices_in_any_element():
+    assert main_text('<article><p>One.</p><p class="advert">Buy it.</p><p hidden>Not seen.<p>Two<span class="cookie-notice"> we <span>bake</span> them</span>.</article>') == "One. Two."
+    assert main_text("<article><p>a<b aria-hidden=true>x</b>b</p><div class=sidebar><p>no</p></div>c</article>") == "ab c"
+
+
+def test_names_of_ancestors():
+    for name in ("content no-sidebar", "has-sidebar", "with-ads", "page-without-comments"):
+        assert main_text(f'<div class="{name}"><article><p>Kept.</p></article></div>') == "Kept."
+    assert main_text('<div class="sidebar-layout"><article><p>Kept.</p><p>Too.</p></article></div>') == "Kept. Too."
+
+
+def test_other_languages():
+    chinese = "这是一个关于猫和狗的故事，他们在家里住了很多年，我们都很喜欢他们，也会和他们说话。"
+    italian = "Il gatto nero dorme sulla sedia vicino alla finestra mentre piove forte nella strada vuota."
+    menu = "<ul><li><a href=x>首页</a></li><li><a href=y>新闻</a></li></ul>"
+    assert main_text(f"<body>{menu}<h2>猫</h2><p>{chinese}</p><p>{chinese}</p><div><a href=z>{chinese}</a></div></body>") == f"{chinese} {chinese}"
+    assert main_text(f"<body><ul><li><a href=x>Uno</a></li></ul><p>{italian}</p><p>Breve.</p><p>{italian}</p></body>") == f"{italian} Breve. {italian}"
+    assert main_text("<body><p>Short.</p><p>And sweet.</p><p><a href=x>Link</a></p></body>") == "Short. And sweet."
 
 
 def test_broken_markup():
-    assert main_text("") == main_text("<") == main_text("<article>") == ""
+    assert main_text("") == main_text("<article>") == ""
     assert main_text("<article><p title='a>b\">x < y & z &amp; &am</article") == 'b">x < y & z & &am'
     assert main_text("<article><p>x < y &amp; &am") == "x < y & &am"
     assert main_text("<article><script>if (a</b>) {</article>") == ""
