@@ -63,22 +63,32 @@ _LIBC = ctypes.CDLL(None)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder that the cluster names.
-
-    A folder of this machine is used only where spark.checkpoint.dir is unset, as in tests.
-    """
+    """Cuts the lineage with a reliable checkpoint in the shared folder that the cluster names."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, named in spark.checkpoint.dir; one of this machine only where that is unset."""
+    """The folder that all executors share, named in spark.checkpoint.dir. Where that is unset, one of this machine under a local master, else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-"))
     return context.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that very long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

@@ -1,9 +1,10 @@
 """Exact deduplication by a Golomb-coded exchange of fingerprints (operator 6).
 
 Each partition sends the sorted distinct fingerprints of its texts, Golomb-coded, to the owners of
-fingerprint ranges. An owner finds the fingerprints that more than one partition sent and answers each
-sender with a bitmap over what it sent. Only the texts that a bitmap marks, or that a partition holds
-twice itself, are then grouped by their bytes.
+fingerprint ranges, with a bitmap of those that it holds twice. An owner finds the fingerprints that more than one partition sent
+and makes a bitmap over each sender's list. Lists and bitmaps are both in its hands, so it reads the bitmaps there
+instead of sending them back, for which the fingerprints would have to be shuffled once more. Only the texts that
+a bitmap marks are then grouped by their bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, lowered, small_batches
+from paperloom.llm.common import broadcast_if_small, cut, fresh, lowered, small_batches
 
 #: Bits of a fingerprint: at 10^11 texts, one in 2,800 texts that have no copy is checked for nothing.
 PRINT_BITS = 48
@@ -81,43 +82,34 @@ def _prints(docs: DataFrame, key: str) -> DataFrame:
 
 
 def _suspects(prints: DataFrame, owners: int) -> DataFrame:
-    """The distinct fingerprints that occur more than once, as the exchange finds them."""
+    """The distinct fingerprints that occur more than once, as the exchange finds them; each comes once, from its owner."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, rows in pd.DataFrame({"part": batch.column(0), "print": batch.column(1)}).groupby("part"):
-                held.setdefault(part, []).append(rows["print"].to_numpy().astype(np.uint64))
+        held = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+        names, kinds = ["owner", "n", "k", "unary", "remainders", "twice"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         out = []
-        for part, arrays in held.items():
-            mine = np.unique(np.concatenate(arrays))
+        if held:
+            mine, counts = np.unique(np.concatenate(held).astype(np.uint64), return_counts=True)
             owner = _owner_of(mine, owners)
             for o in np.unique(owner).tolist():
-                own = mine[owner == o]
-                k, unary, remainders = golomb_encode(own, _low(o, owners))
-                out.append((o, part, len(own), k, unary, remainders))
-        names = ["owner", "part", "n", "k", "unary", "remainders"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                own = owner == o
+                k, unary, remainders = golomb_encode(mine[own], _low(o, owners))
+                out.append((o, int(own.sum()), k, unary, remainders, np.packbits(counts[own] > 1, bitorder="little").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
     def answer(sent: pd.DataFrame) -> pd.DataFrame:
         lists = [golomb_decode(int(r.n), int(r.k), r.unary, r.remainders, _low(int(r.owner), owners)) for r in sent.itertuples()]
         values, counts = np.unique(np.concatenate(lists), return_counts=True)
-        twice = values[counts > 1]
-        rows = [(int(r.part), int(r.owner), np.packbits(bits, bitorder="little").tobytes()) for r, own in zip(sent.itertuples(), lists, strict=True) if (bits := np.isin(own, twice)).any()]
-        return pd.DataFrame(rows, columns=["part", "owner", "bitmap"])
+        several = values[counts > 1]
+        # a sender's bitmap: what others have sent as well, and what it holds twice itself
+        marked = []
+        for r, own in zip(sent.itertuples(), lists, strict=True):
+            bitmap = np.isin(own, several, assume_unique=True) | np.unpackbits(np.frombuffer(r.twice, np.uint8), bitorder="little")[: len(own)].astype(bool)
+            marked.append(own[bitmap])
+        return pd.DataFrame({"print": np.unique(np.concatenate(marked)).astype(np.int64)})
 
-    def mark(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(mine["print"].to_numpy().astype(np.uint64), return_counts=True)
-        owner, twice = _owner_of(values, owners), counts > 1
-        for r in answers.itertuples():
-            at = np.flatnonzero(owner == r.owner)
-            twice[at] |= np.unpackbits(np.frombuffer(r.bitmap, np.uint8), bitorder="little")[: len(at)].astype(bool)
-        return pd.DataFrame({"print": values[twice].astype(np.int64)})
-
-    sent = prints.select("part", "print").mapInArrow(send, "owner int, part int, n long, k int, unary binary, remainders binary")
-    answers = sent.groupBy("owner").applyInPandas(answer, "part int, owner int, bitmap binary")
-    return prints.select("part", "print").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(mark, "print long").distinct()
+    sent = prints.select("print").mapInArrow(send, "owner int, n long, k int, unary binary, remainders binary, twice binary")
+    return sent.groupBy("owner").applyInPandas(answer, "print long")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -162,14 +154,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_groups doesn't keep; columns as they were."""
+    """docs without the rows that exact_groups doesn't keep; columns as they were, whatever their names. Cases as in exact_groups."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     groups = cut(exact_groups(docs, key))
-    gone = groups.filter("not kept").select(F.col(key).alias("_key"), F.col("sha").alias("_sha"), F.col(key).eqNullSafe(F.col("keep_id")).alias("_repeat")).distinct()
+    own, k, sha, repeat = fresh(docs, "own_sha", "gone_key", "gone_sha", "gone_repeat")
+    gone = groups.filter("not kept").select(F.col(key).alias(k), F.col("sha").alias(sha), F.col(key).eqNullSafe(F.col("keep_id")).alias(repeat)).distinct()
     n = gone.count()
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)))
-    found = marked.join(broadcast_if_small(gone.withColumnRenamed("_sha", "_gone"), 80, n), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_gone")), "left")
-    rest = found.filter("_gone is null")
+    marked = docs.withColumn(own, F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)))
+    found = marked.join(broadcast_if_small(gone, 80, n), F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(sha)), "left")
+    rest = found.filter(F.col(sha).isNull())
     # rows that repeat the key and the text of the row that stays
-    once = found.filter("_repeat").dropDuplicates([key, "_sha"])
+    once = found.filter(F.col(repeat)).dropDuplicates([key, own])
     return rest.unionByName(once).select(*docs.columns)

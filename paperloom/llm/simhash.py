@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, lowered, mixed, small_batches
+from paperloom.llm.common import broadcast_if_small, cut, fresh, lowered, mixed, small_batches
 from paperloom.llm.components import connected_components
 
 #: Reference fingerprints of the distance table.
@@ -334,7 +334,11 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near copies, the one whose id is smallest; columns as they were. Rows without words have no near copies; an empty table stays empty."""
-    groups = cut(near_copy_groups(docs, similarity, shingle, key=key).filter("id != component").select(F.col("id").alias("_gone")))
-    marked = docs.withColumn("_id", F.xxhash64(F.col(key), F.coalesce("text", F.lit(""))))
-    return marked.join(broadcast_if_small(groups, 16, groups.count()), F.col("_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """docs with one row of each group of near copies, the one whose id is smallest; columns as they were, whatever their names.
+
+    Rows without words, null texts included, have no near copies and stay; a null key counts like any other; rows that repeat key and text stay or go together; an empty table stays empty.
+    """
+    own, other = fresh(docs, "own_id", "gone_id")
+    gone = cut(near_copy_groups(docs, similarity, shingle, key=key).filter("id != component").select(F.col("id").alias(other)))
+    marked = docs.withColumn(own, F.xxhash64(F.col(key), F.coalesce("text", F.lit(""))))
+    return marked.join(broadcast_if_small(gone, 16, gone.count()), F.col(own) == F.col(other), "left_anti").select(*docs.columns)

@@ -48,3 +48,10 @@ def test_odd_rows(odd, none):
 
 def test_query(spark, sf):
     same_as_sql(QUERIES["op6_exact_dedup"](spark, sf), SQL["op6_exact_dedup"], sf)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "A", 5, "x", 1), (2, "a", 6, "y", 2), (3, "b", 7, "z", 3), (3, "b", 7, "z", 3)], "doc_id long, text string, own_sha int, GONE_key string, _gone_sha int")
+    kept = drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "a", 6, "y", 2), (3, "b", 7, "z", 3)]
