@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD, broadcast_if_small, cut
+from paperloom.llm.common import WORD, broadcast_if_small, cut, fresh
 
 #: Documents of a source that are to share a cell of keys, about: the rows that one task sorts together.
 CELL_ROWS = 20_000
+#: Cells of a source at least.
+LEAST_CELLS = 64
 
 
 def quality_weight(text: Column) -> Column:
@@ -41,6 +43,17 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), s
     return rows.withColumn("level", level).select("source", "source_size", F.coalesce(F.least(F.col("stop"), F.col("level") * F.col("w")), F.col("stop")).alias("target"))
 
 
+def _below(drawn: DataFrame) -> Column:
+    """The share of draws that are expected below a draw, so that equal steps of it hold about as many rows each: a sum of exponential
+    distributions, one for each range of quality, weighted by its rows."""
+    level = F.round(F.log2("quality") * 2)
+    ranges = drawn.groupBy(level.alias("level")).agg(F.avg("quality").alias("q"), F.count(F.lit(1)).alias("n")).collect()  # two for each power of 2 down to 1e-6
+    whole, share = sum(r.n for r in ranges), F.lit(0.0)
+    for r in sorted(ranges, key=lambda r: r.level):
+        share = share + F.lit(r.n / whole) * (1 - F.exp(F.col("draw") * -r.q))
+    return F.least(share, F.lit(1 - 1e-12))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -59,19 +72,20 @@ def mix(
     Null sources are one source; null keys draw like others; equal keys of the draw are ordered by key and text; rows that
     repeat key and text count each. Empty and null texts take nothing. An empty table gives an empty result.
 
-    No source is sorted in one task: keys fall into cells of about CELL_ROWS documents, cells are summed up first, and each
+    No source is sorted in one task: draws fall into cells of about CELL_ROWS documents or fewer, cells are summed up first, and each
     cell is then sorted by itself.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     weight = quality if quality is not None else quality_weight(text)
     sized = docs.select(F.col(key).alias("key"), F.col("source"), F.xxhash64(F.col(key), text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), weight.alias("quality"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mark"), 11) + 0.5) / float(1 << 53)
-    drawn = cut(sized.select("key", "source", "mark", "size", (-F.log(u) / F.greatest("quality", F.lit(1e-6))).alias("draw")))
+    # 52 bits, so that adding a half is exact and the draw lies strictly between 0 and 1
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mark"), 12) + 0.5) / float(1 << 52)
+    sized = sized.withColumn("quality", F.greatest("quality", F.lit(1e-6)))
+    drawn = cut(sized.select("key", "source", "mark", "size", "quality", (-F.log(u) / F.col("quality")).alias("draw")))
     per = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n_sources, n_rows = per.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     targets = cut(source_targets(per.drop("n"), weights, share, most))
-    width = min(0.5, CELL_ROWS / max(1, 0.4 * n_rows))
-    celled = drawn.withColumn("cell", F.floor(F.log("draw") / width))
+    celled = drawn.drop("quality").withColumn("cell", F.floor(_below(drawn) * max(LEAST_CELLS, -(-n_rows // CELL_ROWS))))
     cells = celled.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     by_cell = Window.partitionBy("source").orderBy("cell")
     cells = cells.select(F.col("source").alias("s"), F.col("cell").alias("c"), (F.sum("cell_size").over(by_cell) - F.col("cell_size")).alias("cells_before"))
@@ -92,13 +106,14 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, key: str = "doc_id") -> DataFrame:
-    """docs with each row as many times as the mix takes it whole; columns as they were.
+    """docs with each row as many times as the mix takes it whole; columns as they were, whatever their names.
 
     Rows that repeat key and text are each taken as often as the one of them that is taken most.
     """
+    own, mark, n, copy = fresh(docs, "own_mark", "mix_mark", "mix_times", "mix_copy")
     plan = mix(docs, weights, share, most, whole_documents=True, seed=seed, key=key)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    plan = cut(plan.groupBy("mark").agg(F.max(times).alias("_times")).filter("_times > 0").withColumnRenamed("mark", "_mark"))
-    marked = docs.withColumn("_here", F.xxhash64(F.col(key), F.coalesce(F.col("text"), F.lit(""))))
-    taken = marked.join(broadcast_if_small(plan, 20, plan.count()), F.col("_here") == F.col("_mark"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    plan = cut(plan.groupBy("mark").agg(F.max(times).alias(n)).filter(F.col(n) > 0).withColumnRenamed("mark", mark))
+    marked = docs.withColumn(own, F.xxhash64(F.col(key), F.coalesce(F.col("text"), F.lit(""))))
+    taken = marked.join(broadcast_if_small(plan, 20, plan.count()), F.col(own) == F.col(mark))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)

@@ -1,7 +1,9 @@
+import math
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm.mixing import mix, mixed_documents
 from paperloom.llm.queries import QUERIES
@@ -87,3 +89,32 @@ def test_odd_rows(odd, none):
     verify(got, [(k, t, s) for k, t, _, s, _ in ODD], lambda s: 1)
     assert mixed_documents(odd).columns == odd.columns
     assert mix(none).count() == 0 == mixed_documents(none).count()
+
+
+def test_picks_by_a_plain_loop(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mark = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", "source", mark.alias("mark"), F.xxhash64(F.lit(17), mark).alias("h")).collect()
+    got = {r.doc_id: r for r in mix(docs).collect()}
+    by = defaultdict(list)
+    for r in rows:
+        size = words(r.text)
+        quality = 1 / (1 + 5 * len(re.findall(r"[#*$%&|<>!]", r.text or "")) / max(1, size))
+        u = ((r.h % 2**64 >> 12) + 0.5) / 2**52
+        by[r.source].append((-math.log(u) / quality, r.doc_id, size))
+    for listed in by.values():
+        whole = sum(size for _, _, size in listed)
+        target = got[listed[0][1]].target
+        epochs = int(target // whole)
+        left = math.floor(target + 0.5) - epochs * whole
+        for _, key, size in sorted(listed):
+            more = max(0, min(size, left))
+            left -= size
+            assert got[key].taken == epochs * size + more
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 1, 2), (2, "d e", "x", 3, 4), (3, "f", "y", 5, 6)], "doc_id long, text string, source string, own_mark int, _MIX_times int")
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
