@@ -2,13 +2,15 @@
 
 The distinct pre-tokens of a task go into a trie. A node's forward score, the best sum of piece scores that
 spells its path, follows from its ancestors' alone, so a prefix that many pre-tokens share is scored once. The number of
-pieces on the best path is stored where a pre-token ends; a text's count is the sum over its pre-tokens.
+pieces on the best path is stored where a pre-token ends; a text's count is the sum over its pre-tokens. Piece scores are
+log shares of pieces in all texts, split once by scores that follow from the order of the vocabulary.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,58 +41,107 @@ class Trie:
         self.children: dict[int, int] = {}
         self.best: list[float] = [0.0]
         self.pieces: list[int] = [0]
+        self.starts: list[int] = [0]  # of the last piece on the best path
 
-    def count(self, word: bytes) -> int:
-        """Pieces of the word on its best path; its new prefixes are scored on the way. Bytes that no piece covers make the count -1."""
-        children, best, pieces, scores = self.children, self.best, self.pieces, self.scores
+    def insert(self, word: bytes) -> list[int]:
+        """The nodes of the word's path; new ones are scored."""
+        children, best, pieces, starts, scores = self.children, self.best, self.pieces, self.starts, self.scores
         path, node = [0], 0
         for d, byte in enumerate(word, 1):
             edge = node << 8 | byte
             if (child := children.get(edge)) is None:
-                top, fewest = -math.inf, -1
+                top, fewest, start = -math.inf, -1, 0
                 for a in range(max(0, d - self.longest), d):
                     s = scores.get(word[a:d])
                     if s is not None:
                         before = path[a]
                         total, n = best[before] + s, pieces[before] + 1
                         if pieces[before] >= 0 and (total > top or (total == top and n < fewest)):
-                            top, fewest = total, n
+                            top, fewest, start = total, n, a
                 child = children[edge] = len(best)
                 best.append(top)
                 pieces.append(fewest)
+                starts.append(start)
             node = child
             path.append(node)
-        return pieces[node]
+        return path
+
+    def count(self, word: bytes) -> int:
+        """Pieces of the word on its best path. Bytes that no piece covers make the count -1."""
+        return self.pieces[self.insert(word)[-1]]
 
+    def split(self, word: bytes) -> list[bytes]:
+        """The pieces themselves, last first; none if no path spells the word."""
+        path, d, out = self.insert(word), len(word), []
+        while d and self.pieces[path[-1]] >= 0:
+            a = self.starts[path[d]]
+            out.append(word[a:d])
+            d = a
+        return out
 
-def counter(path: str) -> PieceCache:
-    """One for each worker and file, kept between tasks of this operator."""
 
-    def make() -> PieceCache:
-        vocabulary = Vocabulary(path)
-        trie = Trie(zipf_scores({i: p for i, p in vocabulary.pieces.items() if i not in vocabulary.added.values()}))
+def _plain_pieces(path: str) -> tuple[dict[int, bytes], dict[str, int]]:
+    """Pieces without the special tokens, and those."""
+    v = Vocabulary(path)
+    return {i: p for i, p in v.pieces.items() if i not in v.added.values()}, v.added
 
-        def value(words: list[bytes]) -> list[bytes]:
-            if len(trie.best) > MAX_NODES:
-                trie.clear()
-            return [trie.count(w).to_bytes(4, "little", signed=True) for w in words]
 
-        return PieceCache(value, {s: (1).to_bytes(4, "little") for s in vocabulary.added})
+def _trie_cache(scores: dict[bytes, float], special: dict[str, bytes], value: Callable[[Trie, bytes], bytes]) -> PieceCache:
+    trie = Trie(scores)
 
-    return resident(("counter", path), make)
+    def values(words: list[bytes]) -> list[bytes]:
+        if len(trie.best) > MAX_NODES:
+            trie.clear()
+        return [value(trie, w) for w in words]
 
+    return PieceCache(values, special)
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+
+def fit_scores(docs: DataFrame, path: str) -> dict[bytes, float]:
+    """Log shares of the vocabulary's pieces, by one round over all texts: each is split by zipf_scores, and its pieces are counted, in each task first.
+
+    Every piece counts once more than it occurs, so that none has a share of 0; without texts all shares are alike.
+    """
+    small_batches(docs.sparkSession)
+
+    def make() -> tuple[PieceCache, int]:
+        plain, added = _plain_pieces(path)
+        number = {p: i for i, p in sorted(plain.items(), reverse=True)}
+        special = {s: b"" for s in added}
+        return _trie_cache(zipf_scores(plain), special, lambda trie, w: np.array([number[p] for p in trie.split(w)], "<u4").tobytes()), max(plain) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = resident(("splitter", path), make)
+        total = np.zeros(n, np.int64)
+        for _, texts in text_slices(batches):
+            total += np.bincount(np.frombuffer(b"".join(own.of(texts)), "<u4"), minlength=n)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["piece", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = {r.piece: r.n for r in counts.collect()}  # a row for each piece of the vocabulary at most
+    plain, _ = _plain_pieces(path)
+    number = {p: i for i, p in sorted(plain.items(), reverse=True)}
+    total = math.log(sum(found.values()) + len(number))
+    return {p: math.log(found.get(i, 0) + 1) - total for p, i in number.items()}
+
+
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", scores: dict[bytes, float] | None = None) -> DataFrame:
     """key, n_pretokens and n_tokens (long) for each row, over whole texts.
 
-    path: of a byte-level vocabulary file; its special tokens count as one each. Null and empty texts have none; null keys and repeated
-    rows stay; an empty table gives an empty result; other columns are passed over. No shuffle.
+    path: of a byte-level vocabulary file; its special tokens count as one each. scores: of its pieces, by default those that fit_scores finds on docs.
+    Null and empty texts have none; null keys and repeated rows stay; an empty table gives an empty result; other columns are passed over. No texts are shuffled.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    scores = fit_scores(docs, path) if scores is None else scores
+    name = ("counter", path, uuid.uuid4().hex)
+
+    def make() -> PieceCache:
+        return _trie_cache(scores, {s: (1).to_bytes(4, "little") for s in _plain_pieces(path)[1]}, lambda trie, w: trie.count(w).to_bytes(4, "little", signed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = resident(name, make)
         for part, texts in text_slices(batches):
             values = [np.frombuffer(v, "<i4") for v in own.of(texts)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([int(v.sum()) for v in values], pa.int64())], names=["key", "n_pretokens", "n_tokens"])

@@ -1,12 +1,14 @@
+import functools
 import math
 import random
+from collections import Counter
 
 import public_tokenizers
 import regex
 
 from paperloom.llm.bpe import PATTERN, Vocabulary
 from paperloom.llm.queries import QUERIES
-from paperloom.llm.token_counts import Trie, count_tokens, zipf_scores
+from paperloom.llm.token_counts import Trie, count_tokens, fit_scores, zipf_scores
 from tests.llm.conftest import ODD
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,14 +16,18 @@ V = Vocabulary(PATH)
 SCORES = zipf_scores({i: p for i, p in V.pieces.items() if i != 50256})
 
 
-def slow(word, scores):
+def slow_split(word, scores):
     """Pieces on the best path, by a table for this word alone."""
-    best = [(0.0, 0)]
+    best = [(0.0, 0, [])]
     for d in range(1, len(word) + 1):
-        ways = [(-(best[a][0] + scores[word[a:d]]), best[a][1] + 1) for a in range(d) if word[a:d] in scores]
-        s, n = min(ways)
-        best.append((-s, n))
-    return best[-1][1]
+        ways = [(-(best[a][0] + scores[word[a:d]]), best[a][1] + 1, a) for a in range(d) if word[a:d] in scores]
+        s, n, a = min(ways)
+        best.append((-s, n, [*best[a][2], word[a:d]]))
+    return best[-1][2]
+
+
+def slow(word, scores):
+    return len(slow_split(word, scores))
 
 
 def test_trie_scores_each_prefix_once():
@@ -29,27 +35,41 @@ def test_trie_scores_each_prefix_once():
     words = ["".join(rng.choice("aetnsh ") for _ in range(rng.randint(1, 14))).encode() for _ in range(500)] + ["ñandú".encode(), "日本".encode()]
     trie = Trie(SCORES)
     assert [trie.count(w) for w in words] == [slow(w, SCORES) for w in words]
+    assert [trie.split(w)[::-1] for w in words] == [slow_split(w, SCORES) for w in words]
     assert len(trie.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
     assert math.isclose(sum(math.exp(s) for s in SCORES.values()), 1.0)
 
 
-def total(text):
-    text = (text or "").replace("<|endoftext|>", "\0")
-    parts = [p for p in text.split("\0")]
-    units = [u for p in parts for u in regex.findall(PATTERN, p)]
-    return len(units) + len(parts) - 1, sum(slow(u.encode(), SCORES) for u in units) + len(parts) - 1
+def units_of(text):
+    parts = (text or "").split("<|endoftext|>")
+    return [u.encode() for p in parts for u in regex.findall(PATTERN, p)], len(parts) - 1
+
+
+def fitted(texts):
+    """Log shares of pieces, each text split by the first scores."""
+    split = functools.cache(lambda u: slow_split(u, SCORES))
+    found = Counter(p for t in texts for u in units_of(t)[0] for p in split(u))
+    total = sum(found.values()) + len(SCORES)
+    return {p: math.log(found[p] + 1) - math.log(total) for p in SCORES}
+
+
+def verify(rows, texts):
+    scores = fitted([t for _, t in texts])
+    n = functools.cache(lambda u: slow(u, scores))
+    want = [(k, len(units) + special, sum(map(n, units)) + special) for k, t in texts for units, special in [units_of(t)]]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want))
+    return scores
 
 
 def test_odd_rows(odd, none):
-    got = sorted(repr((r.doc_id, r.n_pretokens, r.n_tokens)) for r in count_tokens(odd, PATH).collect())
-    assert got == sorted(repr((k, *total(t))) for k, t, *_ in ODD)
+    verify([tuple(r) for r in count_tokens(odd, PATH).collect()], [(k, t) for k, t, *_ in ODD])
     assert count_tokens(none, PATH).count() == 0
+    assert len(set(fit_scores(none, PATH).values())) == 1
 
 
 def test_query(spark, sf):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rows = QUERIES["op10_token_counts"](spark, sf).collect()
-    assert len(rows) == len(docs)
-    for r in rows:
-        if len(docs[r.doc_id] or "") < 20_000:
-            assert (r.n_pretokens, r.n_tokens) == total(docs[r.doc_id])
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    scores = verify([tuple(r) for r in QUERIES["op10_token_counts"](spark, sf).collect()], docs)
+    assert math.isclose(sum(math.exp(s) for s in scores.values()), 1.0)
+    found = fit_scores(spark.read.parquet(f"{sf}/documents.parquet"), PATH)
+    assert found.keys() == scores.keys() and all(math.isclose(found[p], s) for p, s in scores.items())
