@@ -14,7 +14,6 @@ Groups that are equal after the last pass are exactly the repeated windows; the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import text_slices
-from paperloom.llm.common import broadcast_if_small, cut, mixed, shared_folder, small_batches
+from paperloom.llm.common import broadcast_if_small, cut, mixed, own_folder, small_batches
 
 WINDOW = 100
 GRAM = 32
@@ -363,7 +362,7 @@ def _third_digits(rows: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key, th, spans (array of start and end, not yet merged) of texts (key, th, text) with different texts."""
-    folder = f"{shared_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
+    folder = own_folder(docs.sparkSession, "repeats") + "/second"
     second = _second_digits(_first_digits(docs, window, gram), window)
     second.select("kind", "g", F.when(F.col("kind") == _REPEAT, F.col("sh")).alias("end"), "key", "pos").write.parquet(folder)
     second = docs.sparkSession.read.parquet(folder)

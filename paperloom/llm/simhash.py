@@ -87,6 +87,14 @@ def meeting_masks(radius: int, blocks: int) -> list[int]:
     return [_signed(sum(c)) for c in combinations(masks, blocks - radius)]
 
 
+def _not_discarded(x: Column, y: Column, radius: int) -> Column:
+    """No coordinate of two rows of the distance table differs by more than the radius."""
+    keep = F.lit(True)
+    for i in range(PIVOTS):
+        keep = keep & (F.abs(x[i] - y[i]) <= radius)
+    return keep
+
+
 def links_within(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     """Links space, u, v between the distinct fingerprints of `prints` (columns space and fp), enough of them to connect all pairs within
     the radius (at most 2). Fingerprints of different spaces never meet.
@@ -99,9 +107,9 @@ def links_within(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFra
     if not 0 <= radius <= 2 < blocks:
         raise ValueError("the radius is 0, 1 or 2, and there are more blocks")
     masks = meeting_masks(radius, blocks)
-    table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()]
+    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
     places = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "place")
-    placed = prints.select("space", "fp", F.array(*table).alias("far"), places)
+    placed = prints.select("space", "fp", table.alias("far"), places)
     where = ["space", "mask", "place"]
     sizes = cut(placed.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     crowded, few = sizes.filter(F.col("n") > MEETING), sizes.filter(F.col("n") <= MEETING)
@@ -111,16 +119,16 @@ def links_within(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFra
     near: Column = F.col("a.fp") < F.col("b.fp")
     for c in where:
         near = near & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    for i in range(PIVOTS):
-        near = near & (F.abs(F.col("a.far")[i] - F.col("b.far")[i]) <= radius)
-    pairs = a.join(b, near).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    pairs = a.join(b, near & _not_discarded(F.col("a.far"), F.col("b.far"), radius)).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
     pairs = pairs.select("a.space", F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    many = placed.join(broadcast_if_small(crowded.select(*where), 32, n), where, "left_semi").select("space", "fp").distinct()
+    many = placed.join(broadcast_if_small(crowded.select(*where), 32, n), where, "left_semi").select("space", "fp", "far").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    near_values = many.select("space", "fp", F.explode(flips).alias("value"))
-    least = near_values.groupBy("space", "value").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("vs")).filter(F.size("vs") > 1)
-    shared = least.select("space", "u", F.explode("vs").alias("v")).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, radius))
-    return pairs.union(shared)
+    near_values = many.select("space", F.struct("fp", "far").alias("x"), F.explode(flips).alias("value"))
+    # at most 65 fingerprints have a value within one bit
+    least = near_values.groupBy("space", "value").agg(F.min("x").alias("u"), F.collect_list("x").alias("vs")).filter(F.size("vs") > 1)
+    shared = least.select("space", "u", F.explode("vs").alias("v")).filter(_not_discarded(F.col("u.far"), F.col("v.far"), radius))
+    shared = shared.filter(F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))).between(1, radius))
+    return pairs.union(shared.select("space", F.col("u.fp").alias("u"), F.col("v.fp").alias("v")))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4, key: str = "doc_id") -> DataFrame:

@@ -12,7 +12,6 @@ rows and leaves no half file behind.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import PieceCache, byte_letters, text_slices
-from paperloom.llm.common import resident, shared_folder, small_batches
+from paperloom.llm.common import own_folder, resident, small_batches
 
 #: Bits of each level; the last takes what is left of 32.
 WIDTHS = (8, 8, 16)
@@ -198,5 +197,5 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def store_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names for checkpoints."""
-    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    """A new folder in the shared one that the cluster names for checkpoints; it goes when the driver ends."""
+    return own_folder(spark, "tokens") + "/store"
