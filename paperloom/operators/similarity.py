@@ -138,17 +138,44 @@ def scores_in_order(groups: DataFrame, scorer: Scorer = token_set) -> DataFrame:
     return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
 
 
+#: Links of a session up to which its clusters are found in one row; beyond it in rounds over all such sessions together.
+FOLDED = 5_000
+
+
 def greedy_clusters(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """H4, H6: session_id, idx, seed and confidence for every group.
 
-    In order of idx an unassigned group seeds a cluster and takes the unassigned groups linked to it. In rounds: an undecided group
-    without a lower neighbour that is undecided or a seed becomes a seed; an undecided group joins its lowest linked seed once no
-    undecided neighbour is below that seed. All sessions advance together; each round is checkpointed.
+    In order of idx an unassigned group seeds a cluster and takes the unassigned groups linked to it: a group is a seed unless a seed is among its lower
+    neighbours, and goes to the lowest of those. A session of up to FOLDED links is one fold over its linked groups; how long its chains are makes no
+    difference. The links of larger sessions are never held together.
     """
-    both = cut(edges.select("session_id", F.col("i").alias("idx"), F.col("j").alias("other"), "score").union(edges.select("session_id", F.col("j").alias("idx"), F.col("i").alias("other"), "score")))
-    linked = both.select("session_id", "idx").distinct()
-    state = cut(linked.withColumn("seed", F.lit(None).cast("int")))
-    alone = groups.select("session_id", "idx").join(linked, ["session_id", "idx"], "left_anti").select("session_id", "idx", F.col("idx").alias("seed"), F.lit(1.0).alias("confidence"))
+    edges = cut(edges.select("session_id", "i", "j", "score"))
+    many = cut(edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FOLDED).select("session_id"))
+    n = many.count()
+    members = _folded(edges if not n else edges.join(many, "session_id", "left_anti"))
+    if n:
+        members = members.union(_in_rounds(edges.join(many, "session_id", "left_semi")))
+    seeds = members.join(edges.select("session_id", F.col("i").alias("seed"), F.col("j").alias("idx"), "score"), ["session_id", "seed", "idx"])
+    found = groups.select("session_id", "idx").join(seeds, ["session_id", "idx"], "left")
+    return found.select("session_id", "idx", F.coalesce("seed", "idx").cast("int").alias("seed"), F.coalesce("score", F.lit(1.0)).alias("confidence"))
+
+
+def _folded(edges: DataFrame) -> DataFrame:
+    """session_id, idx and seed of the groups that join a cluster, by a fold over a session's linked groups in order."""
+    lower = edges.groupBy("session_id", F.col("j").alias("idx")).agg(F.collect_list("i").alias("lower"))
+    nodes = lower.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("idx", "lower"))).alias("nodes"))
+    # a lower neighbour that hasn't joined a cluster is a seed
+    joins = lambda have, x: F.when(F.size(F.array_except(x["lower"], have)) > 0, F.array_append(have, x["idx"])).otherwise(have)
+    nodes = nodes.withColumn("joined", F.aggregate("nodes", F.array().cast("array<int>"), joins))
+    each = nodes.select("session_id", "joined", F.explode("nodes").alias("x")).filter(F.array_contains("joined", F.col("x.idx")))
+    return each.select("session_id", F.col("x.idx").alias("idx"), F.array_min(F.array_except("x.lower", "joined")).alias("seed"))
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """As _folded. In each round an undecided group without a lower neighbour that is undecided or a seed becomes a seed; an undecided
+    group joins its lowest linked seed once no undecided neighbour is below that seed. All sessions advance together; each round is checkpointed."""
+    both = cut(edges.select("session_id", F.col("i").alias("idx"), F.col("j").alias("other")).union(edges.select("session_id", F.col("j").alias("idx"), F.col("i").alias("other"))))
+    state = cut(both.select("session_id", "idx").distinct().withColumn("seed", F.lit(None).cast("int")))
     while state.filter("seed is null").limit(1).count():
         others = state.select("session_id", F.col("idx").alias("other"), F.col("seed").alias("other_seed"))
         seen = both.join(others, ["session_id", "other"])
@@ -159,9 +186,7 @@ def greedy_clusters(groups: DataFrame, edges: DataFrame) -> DataFrame:
         joins = F.col("s").isNotNull() & (F.col("s") < F.col("idx")) & (F.col("w").isNull() | (F.col("w") > F.col("s")))
         seed = F.coalesce("seed", F.when(joins, F.col("s")).when(free, F.col("idx")))
         state = cut(joined.select("session_id", "idx", seed.cast("int").alias("seed")))
-    score = both.select("session_id", "idx", F.col("other").alias("seed"), "score")
-    found = state.join(score, ["session_id", "idx", "seed"], "left").select("session_id", "idx", "seed", F.coalesce("score", F.lit(1.0)).alias("confidence"))
-    return found.union(alone)
+    return state.filter("seed != idx").select("session_id", "idx", "seed")
 
 
 def representatives(groups: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -64,17 +64,37 @@ def test_markers_and_labels(spark):
     assert [(m.type, m.value) for m in got] == [("num", 3), ("alpha_lower", 1), ("alpha_upper", 2), ("roman_lower", 4), ("roman_upper", 4), ("overlap_lower", 1), ("overlap_upper", 10), (None, None), (None, None), ("roman_lower", 20)]
 
 
-def labels(*given):
-    return [(x["sub_ord"], x["subsub_ord"], x["label"], x["warning"]) for x in segmentation.place_labels("Q1", [(i, g, False) for i, g in enumerate(given)])]
+def labels(spark, *given):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "line_no int, label string")
+    events = rows.agg(F.sort_array(F.collect_list(segmentation.label_events(F.col("label"), F.col("line_no")))).alias("events"))
+    placed = events.select(segmentation.placed_labels(F.lit("Q1"), F.col("events")).alias("placed")).first().placed
+    return [(x.sub_ord, x.subsub_ord, x.label, x.warning) for x in placed]
 
 
-def test_levels_and_repairs():
-    assert [x[:3] for x in labels("a", "i", "ii", "b")] == [(1, 0, "a"), (1, 1, "i"), (1, 2, "ii"), (2, 0, "b")]
-    assert [x[:3] for x in labels("h", "i", "j")] == [(1, 0, "h"), (2, 0, "i"), (3, 0, "j")]
-    twice = labels("a", "b", "b")
+def test_levels_and_repairs(spark):
+    assert [x[:3] for x in labels(spark, "a", "i", "ii", "b")] == [(1, 0, "a"), (1, 1, "i"), (1, 2, "ii"), (2, 0, "b")]
+    assert [x[:3] for x in labels(spark, "h", "i", "j")] == [(1, 0, "h"), (2, 0, "i"), (3, 0, "j")]
+    twice = labels(spark, "a", "b", "b")
     assert twice[2][:3] == (3, 0, "c") and "Corrected duplicate 'b' to 'c'" in twice[2][3]
-    assert labels("a", "c")[1][3] == "Warning: Missing subquestion b in Q1."
-    assert labels("c")[0][3] is None
+    assert labels(spark, "a", "c")[1][3] == "Warning: Missing subquestion b in Q1."
+    assert labels(spark, "c")[0][3] is None
+
+
+def test_labels_of_other_kinds(spark):
+    # a label of no kind opens a series that goes on with others of no kind
+    assert [x[:3] for x in labels(spark, "abc", "1", "xyz", "2")] == [(1, 0, "abc"), (1, 1, "1"), (2, 0, "xyz"), (2, 1, "2")]
+    # a third kind below opens a new lower series, whose numbers start anew
+    assert [x[:3] for x in labels(spark, "1", "a", "i", "A", "2")] == [(1, 0, "1"), (1, 1, "a"), (1, 2, "i"), (1, 3, "A"), (2, 0, "2")]
+    assert labels(spark, "i", "v")[1] == (2, 0, "v", "Warning: Missing subquestion ii, iii, iv in Q1.")
+    assert labels(spark, "w", "x")[1] == (2, 0, "x", None)
+
+
+def test_wide_gaps_make_short_warnings(spark):
+    assert labels(spark, "1", "3000000")[1][3] == "Warning: Missing subquestion 2 to 2999999 (2999998 labels) in Q1."
+    assert labels(spark, "1", "12")[1][3] == "Warning: Missing subquestion " + ", ".join(map(str, range(2, 12))) + " in Q1."
+    assert labels(spark, "1", "99999999999")[1][3] is None  # no number that fits
+    _, missing = parse(spark, "Q1. a\nQ2000000000. b")
+    assert missing == ["Warning: Missing questions Q2 to Q1999999999."]
 
 
 def parse(spark, text):

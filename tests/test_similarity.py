@@ -42,7 +42,9 @@ def test_lcs():
         assert similarity.lcs(a, b) == slow(a, b)
 
 
-def test_rounds_give_what_the_loop_gives(spark):
+@pytest.mark.parametrize("folded", [10**6, 20, 0])
+def test_clusters_are_those_of_the_loop(spark, monkeypatch, folded):
+    monkeypatch.setattr(similarity, "FOLDED", folded)
     rng = random.Random(11)
     edges, want = [], {}
     for s in range(30):
@@ -69,11 +71,46 @@ def test_two_year_session(spark):
     sizes = similarity.representatives(groups, clusters)
     rows = groups.join(clusters, ["session_id", "idx"]).join(sizes, ["session_id", "seed"]).withColumn("cluster_id", F.col("seed").cast("string"))
     contexts = spark.createDataFrame([(7, ["CPU Scheduling", "Deadlocks", "Memory Management"], 70.0)], "session_id long, chapters array<string>, total_marks double")
-    sessions = bank.denominators(qs, groups, contexts)
+    papers = qs.select("session_id", "paper_id", "year").distinct()
+    sessions = bank.denominators(papers, groups, contexts)
     found = bank.scored(bank.classified(rows, bank.topics(contexts)), sessions, 2024).orderBy("idx").collect()
     assert [r.seed for r in found] == [0, 1, 2, 0, 1, 5]
     assert [r.topic for r in found] == ["CPU Scheduling", "Deadlocks", "Memory Management"] * 2
     assert [r.priority_score for r in found] == pytest.approx([63.6, 63.6, 60.4, 68.6, 68.6, 65.4], abs=0.11)
     assert {r.priority_level for r in found} == {"high"}
-    totals = bank.session_totals(qs, rows).first()
+    totals = bank.session_totals(papers, qs, rows).first()
     assert (totals.total_papers, totals.total_questions, totals.unique_questions, totals.repeat_rate) == (2, 6, 4, 33.3)
+
+
+def test_pairs_by_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    rng = random.Random(5)
+    words = "alpha beta gamma delta gear gears bolt bolts of the".split()
+    texts = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"", "a"}
+    sessions = {s: rng.sample(sorted(texts), rng.randint(1, 40)) for s in range(4)}
+    groups = spark.createDataFrame([(s, i, t) for s, ts in sessions.items() for i, t in enumerate(ts)], "session_id long, idx int, canonical_text string")
+    want = {(s, i, j): similarity.token_set_score(min(ts[i], ts[j]), max(ts[i], ts[j])) for s, ts in sessions.items() for i in range(len(ts)) for j in range(i + 1, len(ts))}
+    for threshold in (0.84, 0.5):
+        got = {(r.session_id, r.i, r.j): r.score for r in similarity.similar_pairs(groups, threshold=threshold).collect()}
+        assert got == {k: v for k, v in want.items() if v >= threshold}
+
+
+def test_bound_is_no_less_than_the_score(spark):
+    rng = random.Random(6)
+    pairs = [tuple(" ".join("".join(rng.choice("abcé.") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 4))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    rows = df.select("x", "y", similarity.token_set_bound(F.col("x"), F.col("y")).alias("bound")).collect()
+    assert all(r.bound >= similarity.token_set_score(r.x, r.y) - 1e-9 for r in rows)
+
+
+def test_odd_sessions(spark):
+    papers = spark.createDataFrame([(1, 1, 2020), (1, 2, None), (2, 3, None)], "session_id long, paper_id long, year int")
+    qs = bank.hashed(spark.createDataFrame([(1, 1, 2020, "Explain a gear", None, 0), (1, 1, 2020, "Explain a gear", 10.0, 1), (1, 1, 2020, "Explain a gear", None, 2)], "session_id long, paper_id long, year int, text string, marks double, ordinal int"))
+    groups = bank.exact_groups(qs).withColumn("cluster_id", F.lit(None).cast("string"))
+    totals = {r.session_id: r for r in bank.session_totals(papers, qs, groups).collect()}
+    assert tuple(totals[1])[1:] == (2, 3, 1, 66.7) and tuple(totals[2])[1:] == (1, 0, 0, 0.0)
+    contexts = spark.createDataFrame([(1, ["gear"], 0.0), (2, ["gear"], None)], "session_id long, chapters array<string>, total_marks double")
+    assert {r.session_id: (r.s_years, r.s_marks) for r in bank.denominators(papers, groups, contexts).collect()} == {1: (1, 10.0), 2: (1, 10.0)}
+    topics = bank.topics(contexts)
+    weight = {r.session_id: (r.occurrences, r.marks) for r in bank.topic_weightage(bank.classified(groups, topics), topics).collect()}
+    assert weight == {1: (3, 10), 2: (0, 0)}
