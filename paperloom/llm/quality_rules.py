@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,78 +110,79 @@ class DecisionList:
         return not any(all(t.holds(row) for t in rule) for rule in self.rules)
 
 
-def _cuts(rows: list[dict[str, float]], name: str, most: int = 40) -> list[float]:
-    values = sorted(r[name] for r in rows)
-    return sorted({values[i * (len(values) - 1) // most] for i in range(most + 1)})
+def _best_threshold(x: np.ndarray, bad: np.ndarray, names: list[str], least: int) -> Threshold | None:
+    """The threshold of most information gain among all of each feature that lie between two different values and cover at least `least` bad rows."""
+    p0, n0 = int(bad.sum()), int((~bad).sum())
+    best: tuple[float, Threshold | None] = (1e-9, None)
+    for f, name in enumerate(names):
+        order = np.argsort(x[:, f], kind="stable")
+        v, b = x[order, f], bad[order]
+        cut = np.flatnonzero(v[1:] != v[:-1]) + 1
+        if not len(cut):
+            continue
+        below_p = np.cumsum(b)[cut - 1]
+        below_n = cut - below_p
+        for above, p, n in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p >= least, p * (np.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))), -1.0)
+            k = int(np.argmax(gain))
+            if gain[k] > best[0]:
+                best = (float(gain[k]), Threshold(name, above, float((v[cut[k] - 1] + v[cut[k]]) / 2)))
+    return best[1]
 
 
 def learn_list(rows: list[tuple[dict[str, float], bool]], precision: float = 0.97, max_rules: int = 12, max_terms: int = 3) -> DecisionList:
     """rows: features and whether the text is bad. Two thirds grow rules, one third prunes and accepts them.
 
-    A rule grows by the threshold of most information gain until it covers no good row, loses final thresholds
+    A rule grows by the threshold of most information gain, among all that the rows still covered leave, until it covers no good row; it loses final thresholds
     while that doesn't lower its worth on the pruning rows, and is accepted only if at least `precision` of what it
-    covers in either part is bad. No labelled rows, or rows of one class only, give an empty list.
+    covers in either part is bad. The bad rows of a rule that isn't are set aside, and growing goes on with the others. No labelled rows, or rows of one class
+    only, give an empty list.
     """
-    grow, prune = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
     found = DecisionList()
-    if not any(bad for _, bad in rows) or all(bad for _, bad in rows) or not grow or not prune:
+    bad = np.array([b for _, b in rows], bool)
+    if not bad.any() or bad.all():
         return found
-    cuts = {name: _cuts([r for r, _ in grow], name) for name in grow[0][0]}
+    names = list(rows[0][0])
+    x = np.array([[r[n] for n in names] for r, _ in rows], float)
+    pruning = np.arange(len(rows)) % 3 == 0
+    open_ = np.ones(len(rows), bool)  # neither covered by a rule nor set aside
     least = max(2, len(rows) // 1000)
 
-    def counts(part: list, rule: tuple[Threshold, ...]) -> tuple[int, int]:
-        hit = [bad for r, bad in part if all(t.holds(r) for t in rule)]
-        return sum(hit), len(hit) - sum(hit)
+    def covered(rule: tuple[Threshold, ...]) -> np.ndarray:
+        out = np.ones(len(rows), bool)
+        for t in rule:
+            v = x[:, names.index(t.feature)]
+            out &= v >= t.at if t.above else v <= t.at
+        return out
 
-    while len(found.rules) < max_rules:
+    def worth(rule: tuple[Threshold, ...]) -> float:
+        hit = covered(rule) & open_ & pruning
+        p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
+        return (p - n) / (p + n) if p + n else -1.0
+
+    for _ in range(2 * max_rules):
+        if len(found.rules) == max_rules or (open_ & bad & ~pruning).sum() < least or not (open_ & bad & pruning).any():
+            break
         rule: tuple[Threshold, ...] = ()
-        here = grow
-        while len(rule) < max_terms and any(not bad for _, bad in here):
-            p0, n0 = sum(bad for _, bad in here), sum(not bad for _, bad in here)
-            if not p0:
+        here = open_ & ~pruning
+        while len(rule) < max_terms and (here & ~bad).any():
+            t = _best_threshold(x[here], bad[here], names, least)
+            if t is None:
                 break
-            best: tuple[float, Threshold | None] = (0.0, None)
-            for name, at in cuts.items():
-                per = [[0, 0] for _ in at]
-                # rows by the cut at or below them, counted once; sums from either end give each threshold
-                for r, bad in here:
-                    v, lo, hi = r[name], 0, len(at)
-                    while lo < hi:
-                        mid = (lo + hi) // 2
-                        lo, hi = (mid + 1, hi) if at[mid] <= v else (lo, mid)
-                    per[max(0, lo - 1)][bad] += 1
-                up = [0, 0]
-                for k in reversed(range(len(at))):
-                    up = [up[0] + per[k][0], up[1] + per[k][1]]
-                    for above, (n, p) in ((True, up), (False, [n0 - up[0], p0 - up[1]])):
-                        if p < least:
-                            continue
-                        gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                        # between two cuts: rows below cut k are at most the largest value under it
-                        edge = at[k] if above else math.nextafter(at[k], -math.inf)
-                        if gain > best[0]:
-                            best = (gain, Threshold(name, above, edge))
-            if best[1] is None:
-                break
-            rule = (*rule, best[1])
-            here = [(r, bad) for r, bad in here if best[1].holds(r)]
+            rule = (*rule, t)
+            here &= covered((t,))
         if not rule:
             break
-
-        def worth(x: tuple[Threshold, ...]) -> float:
-            p, n = counts(prune, x)
-            return (p - n) / (p + n) if p + n else -1.0
-
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
-        (p, n), (gp, gn) = counts(prune, rule), counts(grow, rule)
-        if not p or p < precision * (p + n) or gp < precision * (gp + gn):
-            break
-        found.rules.append(rule)
-        grow = [(r, bad) for r, bad in grow if not all(t.holds(r) for t in rule)]
-        prune = [(r, bad) for r, bad in prune if not all(t.holds(r) for t in rule)]
-        if sum(bad for _, bad in grow) < least or not any(bad for _, bad in prune):
-            break
+        hit = covered(rule) & open_
+        parts = [((hit & part & bad).sum(), (hit & part).sum()) for part in (pruning, ~pruning)]
+        if parts[0][0] and all(p >= precision * n for p, n in parts):
+            found.rules.append(rule)
+            open_ &= ~hit
+        else:
+            open_ &= ~(hit & bad)
     return found
 
 
