@@ -191,12 +191,12 @@ def _least_shared(similarity: float, size: int) -> int:
 
 def _prefixes(docs: DataFrame, similarity: float, shingle: int, last: np.ndarray) -> DataFrame:
     """id, size, a hash of the whole set, parities of 64 * PARITIES parts of the set, and the first size - _least_shared + 1 shingles of the set, in the order of their hashes with
-    those in `last` at the end: near copies share one of these at least. Texts without words are left out."""
+    those in `last` at the end (common: how many of the first are among these): near copies share one of these at least. Texts without words are left out."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            sizes, whole, firsts = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), []
+            sizes, whole, firsts, common = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.int32)
             odd = np.zeros((len(texts), PARITIES), np.int64)
             for i, t in enumerate(texts):
                 x = shingle_set(t.encode(), shingle)
@@ -205,12 +205,13 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int, last: np.ndarray
                 if len(last) and len(x):
                     late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
                     x = np.concatenate([x[~late], x[late]])
+                    common[i] = max(0, len(x) - _least_shared(similarity, len(x)) + 1 - int((~late).sum()))
                 firsts.append(x[: len(x) - _least_shared(similarity, len(x)) + 1].view(np.int64) if len(x) else x.view(np.int64))
             odds = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), PARITIES).cast(pa.list_(pa.int64()))
-            columns = [part.column(0), pa.array(sizes), pa.array(whole), odds, pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole", "odd", "first"])
+            columns = [part.column(0), pa.array(sizes), pa.array(whole), odds, pa.array(firsts, pa.list_(pa.int64())), pa.array(common)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole", "odd", "first", "common"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, size int, whole long, odd array<long>, first array<long>").filter("size > 0")
+    return docs.select("id", "text").mapInArrow(run, "id long, size int, whole long, odd array<long>, first array<long>, common int").filter("size > 0")
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -261,28 +262,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int
     return cut(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def _met(places: DataFrame) -> DataFrame:
-    """The rows of places (token, id, sized) whose token stands in several rows: one shuffle, then neighbours in order are compared; no group is held."""
+# What travels with a shingle of a text, in one number: the size of its set, whether the shingle is a common one, and its place.
+_COMMON_BIT, _PLACE = 1 << 31, (1 << 31) - 1
+
+
+def _met(places: DataFrame, similarity: float) -> DataFrame:
+    """The rows of places (token, id, sized) that have another one of the same token and a size that leaves room for the similarity.
+
+    One shuffle; rows come in order of token and size, where the closest sizes are neighbours, so no group is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, and whether its token was met before
+        held: pa.RecordBatch | None = None  # the last row, and whether the one before it was close
         known = False
         for batch in batches:
             if not len(batch):
                 continue
             whole = batch if held is None else pa.concat_batches([held, batch])
-            token = whole.column(0).to_numpy(zero_copy_only=False)
-            same = token[1:] == token[:-1]
+            token, size = whole.column(0).to_numpy(zero_copy_only=False), whole.column(2).to_numpy(zero_copy_only=False) >> 32
+            close = (token[1:] == token[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
             met = np.zeros(len(token), bool)
-            met[1:] = same
-            met[:-1] |= same
+            met[1:] = close
+            met[:-1] |= close
             met[0] |= known
             yield whole.slice(0, len(whole) - 1).filter(pa.array(met[:-1]))
             held, known = whole.slice(len(whole) - 1), bool(met[-1])
         if held is not None and known:
             yield held
 
-    return places.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, sized long")
+    return places.repartition("token").sortWithinPartitions("token", "sized").mapInArrow(run, "token long, id long, sized long")
+
+
+def _room(x: tuple[Column, Column], y: tuple[Column, Column], similarity: float) -> Column:
+    """Whether the sizes of two sets, and the places of the first shingle that they share, leave room for the similarity. x, y: size and place."""
+    needed = similarity / (1 + similarity) * (x[0] + y[0]) - 1e-9
+    return F.least(x[0] - x[1], y[0] - y[1], x[0], y[0]) >= needed
+
+
+def _size_place(sized: Column) -> tuple[Column, Column]:
+    return F.shiftright(sized, 32), sized.bitwiseAND(F.lit(_PLACE))
+
+
+def _stars(central: DataFrame, similarity: float) -> DataFrame:
+    """a and b: the pairs of the first row of each token, by rank and id, and the others of it whose sizes and places leave room for the similarity.
+
+    central: token, id, sized, rank. Other tokens: one shuffle, rows come in order and no group is held. Common tokens, LAST at most: their first rows are found
+    by task first and broadcast.
+    """
+    needed = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple[int, ...] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            token, id_, sized = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            size, room = sized >> 32, (sized >> 32) - (sized & _PLACE)
+            start = np.ones(len(token), bool)
+            start[1:] = token[1:] != token[:-1]
+            start[0] = hub is None or hub[0] != int(token[0])
+            first = np.flatnonzero(start)
+            at = np.cumsum(start) - 1
+            # rows before the first start go on with the hub of the batch before
+            from_ = first[np.maximum(at, 0)] if len(first) else np.zeros(len(at), np.int64)
+            hubs = [np.where(at < 0, hub[k + 1] if hub else 0, column[from_]) for k, column in enumerate((id_, size, room))]
+            ok = (id_ != hubs[0]) & (np.minimum(np.minimum(room, hubs[2]), np.minimum(size, hubs[1])) >= needed * (size + hubs[1]) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_, hubs[0])[ok]), pa.array(np.maximum(id_, hubs[0])[ok])], names=["a", "b"])
+            if len(first):
+                k = int(first[-1])
+                hub = (int(token[k]), int(id_[k]), int(size[k]), int(room[k]))
+
+    common = F.col("sized").bitwiseAND(F.lit(_COMMON_BIT)) != 0
+    rare = central.filter(~common).select("token", "id", "sized", "rank").repartition("token").sortWithinPartitions("token", "rank", "id")
+    often = central.filter(common)
+    hubs = F.broadcast(cut(often.groupBy("token").agg(F.min(F.struct("rank", "id", "sized")).alias("hub"))))  # LAST rows at most
+    near = often.join(hubs, "token").filter(F.col("id") != F.col("hub.id")).filter(_room(_size_place(F.col("sized")), _size_place(F.col("hub.sized")), similarity))
+    pairs = near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+    return rare.mapInArrow(run, "a long, b long").union(pairs).distinct()
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
@@ -304,38 +360,34 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     same = cut(prints.groupBy("whole", "size").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep != most"))
     copies = cut(prints.join(broadcast_if_small(same.drop("most"), 24, same.count()), ["whole", "size"]).filter("id != rep").select("rep", "id"))
     alone = prints.join(broadcast_if_small(copies.select("id"), 16, copies.count()), "id", "left_anti")
-    # sized: size << 32 | place of the shingle, so that what travels with each shingle is two numbers
-    places = alone.select("id", "size", F.posexplode("first").alias("at", "token"))
-    met = cut(_met(places.select("token", "id", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("sized"))))
-    met = met.select("token", "id", F.shiftright("sized", 32).cast("int").alias("size"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
-    least = F.greatest(F.lit(1), F.ceil(similarity * F.col("size") - 1e-9))
-    lone = cut(met.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")).select("id", (F.col("size") - least + 1 - F.col("n")).alias("lone")))
-    central = met.join(broadcast_if_small(lone, 24, lone.count()), "id")
-
-    c = F.col
-
-    def room(x: str, y: str) -> Column:
-        """Sizes, and places of the first shared shingle, leave room for the similarity."""
-        needed = similarity / (1 + similarity) * (c(f"{x}.size") + c(f"{y}.size")) - 1e-9
-        return F.least(c(f"{x}.size") - c(f"{x}.at"), c(f"{y}.size") - c(f"{y}.at"), c(f"{x}.size"), c(f"{y}.size")) >= needed
-
-    hubs = cut(central.groupBy("token").agg(F.min(F.struct("lone", "id", "size", "at")).alias("hub")))
-    stars = met.alias("own").join(broadcast_if_small(hubs, 48, hubs.count()), "token").filter("own.id != hub.id").filter(room("own", "hub"))
-    tried = cut(stars.select(F.least("own.id", "hub.id").alias("a"), F.greatest("own.id", "hub.id").alias("b")).distinct())
+    places = alone.select("id", "size", (F.size("first") - F.col("common")).alias("rare"), F.posexplode("first").alias("at", "token"))
+    common = F.col("at") >= F.col("rare")
+    sized = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.when(common, F.lit(_COMMON_BIT)).otherwise(F.lit(0)).cast("long")).bitwiseOR(F.col("at").cast("long"))
+    # common shingles are known to be shared, so a shingle that a third of all texts have needs no look at all of its rows
+    met = _met(places.filter(~common).select("token", "id", sized.alias("sized")), similarity)
+    met = cut(met.union(places.filter(common).select("token", "id", sized.alias("sized"))))
+    lone = cut(met.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    size = F.shiftright("sized", 32)
+    firsts = size - F.greatest(F.lit(1), F.ceil(similarity * size - 1e-9)) + 1
+    central = met.join(broadcast_if_small(lone, 24, lone.count()), "id").withColumn("rank", firsts - F.col("n"))
+    tried = cut(_stars(central, similarity))
     links = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
     links = links.union(_verified(_possible(tried, prints, similarity), ided, similarity, shingle, repeats))
 
     groups = cut(connected_components(cut(links)))
     placed = met.join(broadcast_if_small(groups, 24, groups.count()), met["id"] == groups["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.select("id", "size", "at", "token", "component")
+    placed = placed.select("token", "id", "component", "sized")
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
-    apart = cut(apart.select("token", F.ceil(F.col("n") / DEALT).cast("int").alias("salts")))
-    open_ = cut(placed.join(broadcast_if_small(apart, 20, apart.count()), "token"))
+    # as many as the corpus has, so they are never broadcast here
+    open_ = placed.join(apart.select("token", F.ceil(F.col("n") / DEALT).cast("int").alias("salts")), "token")
+    open_ = cut(open_.select("token", "id", "component", "sized", "salts"))
+    c = F.col
     one = open_.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("one")
     two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("two")
-    smaller = (c("one.size") < c("two.size")) | ((c("one.size") == c("two.size")) & (c("one.id") < c("two.id")))
+    (m, _), (n, _) = x, y = _size_place(c("one.sized")), _size_place(c("two.sized"))
+    smaller = (m < n) | ((m == n) & (c("one.id") < c("two.id")))
     on = (c("one.token") == c("two.token")) & (c("one.salt") == c("two.salt")) & (c("one.component") != c("two.component"))
-    rest = one.join(two, on & smaller & room("one", "two")).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
+    rest = one.join(two, on & smaller & _room(x, y, similarity)).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     near = _verified(_possible(rest, prints, similarity), ided, similarity, shingle, repeats)
     return connected_components(cut(links.union(near))).select(F.col("node").alias("id"), "component")
