@@ -3,14 +3,14 @@
 The distinct pre-tokens of a task go into a trie. A node's forward score, the best sum of piece scores that
 spells its path, follows from its ancestors' alone, so a prefix that many pre-tokens share is scored once. The number of
 pieces on the best path is stored where a pre-token ends; a text's count is the sum over its pre-tokens. Piece scores are
-log shares of pieces in all texts, split once by scores that follow from the order of the vocabulary.
+log shares of the vocabulary's pieces in all texts, as its merges split them.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,65 +19,52 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.bpe import PieceCache, Vocabulary, text_slices
 from paperloom.llm.common import resident, small_batches
+from paperloom.llm.token_store import library_encoder
 
 #: Nodes that a worker keeps; beyond it the trie starts anew.
 MAX_NODES = 1_500_000
 
 
-def zipf_scores(pieces: dict[int, bytes]) -> dict[bytes, float]:
-    """Log probabilities by Zipf's law: piece number i has a share in proportion to 1 / (i + 1). The same bytes under two ids count once, with the better."""
-    total = math.log(sum(1 / (i + 1) for i in pieces))
-    return {piece: -math.log(i + 1) - total for i, piece in sorted(pieces.items(), reverse=True)}
-
-
 class Trie:
     """Forward scores of the prefixes of all pre-tokens inserted. Of paths with the best score the one with fewest pieces counts."""
 
     def __init__(self, scores: dict[bytes, float]):
-        self.scores, self.longest = scores, max(map(len, scores))
+        # every end of a piece, with the score if it is a piece itself: the search for the last piece goes back until no piece ends so
+        self.ends: dict[bytes, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        self.ends.update(scores)
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.best: list[float] = [0.0]
         self.pieces: list[int] = [0]
-        self.starts: list[int] = [0]  # of the last piece on the best path
 
-    def insert(self, word: bytes) -> list[int]:
-        """The nodes of the word's path; new ones are scored."""
-        children, best, pieces, starts, scores = self.children, self.best, self.pieces, self.starts, self.scores
+    def count(self, word: bytes) -> int:
+        """Pieces of the word on its best path; its new prefixes are scored on the way. Bytes that no piece covers make the count -1."""
+        children, best, pieces, ends = self.children, self.best, self.pieces, self.ends
         path, node = [0], 0
         for d, byte in enumerate(word, 1):
             edge = node << 8 | byte
             if (child := children.get(edge)) is None:
-                top, fewest, start = -math.inf, -1, 0
-                for a in range(max(0, d - self.longest), d):
-                    s = scores.get(word[a:d])
-                    if s is not None:
-                        before = path[a]
-                        total, n = best[before] + s, pieces[before] + 1
-                        if pieces[before] >= 0 and (total > top or (total == top and n < fewest)):
-                            top, fewest, start = total, n, a
+                top, fewest = -math.inf, -1
+                for a in range(d - 1, -1, -1):
+                    s = ends.get(word[a:d], 0.0)
+                    if s is None:
+                        continue
+                    if s == 0.0:  # no piece ends so; scores are below 0
+                        break
+                    before = path[a]
+                    n = pieces[before] + 1
+                    if n > 0:
+                        total = best[before] + s
+                        if total > top or (total == top and n <= fewest):
+                            top, fewest = total, n
                 child = children[edge] = len(best)
                 best.append(top)
                 pieces.append(fewest)
-                starts.append(start)
             node = child
             path.append(node)
-        return path
-
-    def count(self, word: bytes) -> int:
-        """Pieces of the word on its best path. Bytes that no piece covers make the count -1."""
-        return self.pieces[self.insert(word)[-1]]
-
-    def split(self, word: bytes) -> list[bytes]:
-        """The pieces themselves, last first; none if no path spells the word."""
-        path, d, out = self.insert(word), len(word), []
-        while d and self.pieces[path[-1]] >= 0:
-            a = self.starts[path[d]]
-            out.append(word[a:d])
-            d = a
-        return out
+        return pieces[node]
 
 
 def _plain_pieces(path: str) -> tuple[dict[int, bytes], dict[str, int]]:
@@ -86,43 +73,26 @@ def _plain_pieces(path: str) -> tuple[dict[int, bytes], dict[str, int]]:
     return {i: p for i, p in v.pieces.items() if i not in v.added.values()}, v.added
 
 
-def _trie_cache(scores: dict[bytes, float], special: dict[str, bytes], value: Callable[[Trie, bytes], bytes]) -> PieceCache:
-    trie = Trie(scores)
-
-    def values(words: list[bytes]) -> list[bytes]:
-        if len(trie.best) > MAX_NODES:
-            trie.clear()
-        return [value(trie, w) for w in words]
-
-    return PieceCache(values, special)
-
-
 def fit_scores(docs: DataFrame, path: str) -> dict[bytes, float]:
-    """Log shares of the vocabulary's pieces, by one round over all texts: each is split by zipf_scores, and its pieces are counted, in each task first.
+    """Log shares of the vocabulary's pieces in all texts, as its merges split them; pieces are counted in each task first.
 
     Every piece counts once more than it occurs, so that none has a share of 0; without texts all shares are alike.
     """
     small_batches(docs.sparkSession)
-
-    def make() -> tuple[PieceCache, int]:
-        plain, added = _plain_pieces(path)
-        number = {p: i for i, p in sorted(plain.items(), reverse=True)}
-        special = {s: b"" for s in added}
-        return _trie_cache(zipf_scores(plain), special, lambda trie, w: np.array([number[p] for p in trie.split(w)], "<u4").tobytes()), max(plain) + 1
+    plain, _ = _plain_pieces(path)
+    size = max(plain) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = resident(("splitter", path), make)
-        total = np.zeros(n, np.int64)
+        own, total = library_encoder(path), np.zeros(size, np.int64)
         for _, texts in text_slices(batches):
-            total += np.bincount(np.frombuffer(b"".join(own.of(texts)), "<u4"), minlength=n)
+            total += np.bincount(np.frombuffer(b"".join(own.of(texts)), "<u4"), minlength=size)[:size]
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["piece", "n"])
 
     counts = docs.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     found = {r.piece: r.n for r in counts.collect()}  # a row for each piece of the vocabulary at most
-    plain, _ = _plain_pieces(path)
     number = {p: i for i, p in sorted(plain.items(), reverse=True)}
-    total = math.log(sum(found.values()) + len(number))
+    total = math.log(sum(found.get(i, 0) for i in number.values()) + len(number))
     return {p: math.log(found.get(i, 0) + 1) - total for p, i in number.items()}
 
 
@@ -138,7 +108,14 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", scores: dict[b
     name = ("counter", path, uuid.uuid4().hex)
 
     def make() -> PieceCache:
-        return _trie_cache(scores, {s: (1).to_bytes(4, "little") for s in _plain_pieces(path)[1]}, lambda trie, w: trie.count(w).to_bytes(4, "little", signed=True))
+        trie = Trie(scores)
+
+        def value(words: list[bytes]) -> list[bytes]:
+            if len(trie.best) > MAX_NODES:
+                trie.clear()
+            return [trie.count(w).to_bytes(4, "little", signed=True) for w in words]
+
+        return PieceCache(value, {s: (1).to_bytes(4, "little") for s in _plain_pieces(path)[1]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = resident(name, make)

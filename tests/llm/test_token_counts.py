@@ -5,29 +5,29 @@ from collections import Counter
 
 import public_tokenizers
 import regex
+from tokenizers import Tokenizer
 
 from paperloom.llm.bpe import PATTERN, Vocabulary
 from paperloom.llm.queries import QUERIES
-from paperloom.llm.token_counts import Trie, count_tokens, fit_scores, zipf_scores
+from paperloom.llm.token_counts import Trie, count_tokens, fit_scores
 from tests.llm.conftest import ODD
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 V = Vocabulary(PATH)
-SCORES = zipf_scores({i: p for i, p in V.pieces.items() if i != 50256})
+LIBRARY = Tokenizer.from_file(PATH)
+#: Scores by the order of the vocabulary.
+WHOLE = math.log(sum(1 / (i + 1) for i in range(50256)))
+SCORES = {p: -math.log(i + 1) - WHOLE for i, p in V.pieces.items() if i != 50256}
 
 
-def slow_split(word, scores):
+def slow(word, scores):
     """Pieces on the best path, by a table for this word alone."""
-    best = [(0.0, 0, [])]
+    best = [(0.0, 0)]
     for d in range(1, len(word) + 1):
-        ways = [(-(best[a][0] + scores[word[a:d]]), best[a][1] + 1, a) for a in range(d) if word[a:d] in scores]
-        s, n, a = min(ways)
-        best.append((-s, n, [*best[a][2], word[a:d]]))
-    return best[-1][2]
-
-
-def slow(word, scores):
-    return len(slow_split(word, scores))
+        ways = [(-(best[a][0] + scores[word[a:d]]), best[a][1] + 1) for a in range(d) if word[a:d] in scores]
+        s, n = min(ways)
+        best.append((-s, n))
+    return best[-1][1]
 
 
 def test_trie_scores_each_prefix_once():
@@ -35,7 +35,6 @@ def test_trie_scores_each_prefix_once():
     words = ["".join(rng.choice("aetnsh ") for _ in range(rng.randint(1, 14))).encode() for _ in range(500)] + ["ñandú".encode(), "日本".encode()]
     trie = Trie(SCORES)
     assert [trie.count(w) for w in words] == [slow(w, SCORES) for w in words]
-    assert [trie.split(w)[::-1] for w in words] == [slow_split(w, SCORES) for w in words]
     assert len(trie.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
     assert math.isclose(sum(math.exp(s) for s in SCORES.values()), 1.0)
 
@@ -46,9 +45,8 @@ def units_of(text):
 
 
 def fitted(texts):
-    """Log shares of pieces, each text split by the first scores."""
-    split = functools.cache(lambda u: slow_split(u, SCORES))
-    found = Counter(p for t in texts for u in units_of(t)[0] for p in split(u))
+    """Log shares of pieces in what the library encodes."""
+    found = Counter(V.pieces[i] for t in texts for i in LIBRARY.encode(t or "", add_special_tokens=False).ids if i != 50256)
     total = sum(found.values()) + len(SCORES)
     return {p: math.log(found[p] + 1) - math.log(total) for p in SCORES}
 
