@@ -12,10 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import alignment, bpe, exact_dedup, html_text, importance, merkle, mixing, quality_rules, repeats, simhash, token_counts, token_store
+from paperloom.llm import alignment, bpe, exact_dedup, html_text, importance, merkle, mixing, packing, quality_rules, repeats, simhash, token_counts, token_store
+from paperloom.llm.common import cut
 from paperloom.sources.exam import spread
 
-BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_BPE, PIECE_BPE, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, capacity=4096)
+    # encoded once; the ids themselves aren't shuffled
+    rows = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(rows, ["doc_id", "piece", "ids_crc32"], capacity=4096)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     doc_id, n_chars = F.col("doc_id").cast("string"), F.col("n_chars").cast("decimal(20,0)")
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
