@@ -4,8 +4,9 @@ Each token covers a run of bytes, so a tokenizer's tokens are the rows of an inc
 products A·Bᵀ by Gustavson's scheme give the pairs of tokens that overlap. Byte offsets where tokens of both end cut the bytes into
 groups; the incidence matrices over groups, multiplied likewise, give the pairs that share a group: the links.
 
-Texts are cut before each single space that a non-space follows, where tokens of both vocabularies always end, so no group crosses a cut. The matrices are
-built for pieces between cuts that a worker hasn't met yet, many pieces in one block-diagonal matrix; a document's links are those of its pieces, added up.
+Texts are cut at single spaces, at line ends between other characters, and where letters or digits meet a mark that no piece of the second vocabulary joins
+to them. Tokens of both vocabularies always end there, so no group crosses a cut. The matrices are built for pieces between cuts that a worker hasn't met yet,
+many pieces in one block-diagonal matrix; a document's links are those of its pieces, added up.
 
 Documents are worked through in slices of a bounded size. A slice sends each of its distinct pairs once, with the number of its documents that hold it; sums over all
 slices come back to the slice, whose documents keep their pairs as places in the slice's list. So what is shuffled for the corpus-wide counts grows with
@@ -37,8 +38,11 @@ ENTRIES = 1_000_000
 #: Pieces whose matrices are built together.
 TOGETHER = 20_000
 
-_ODD = re.compile(r" (?:\s|$)")
-_CUT = re.compile(r"(?<! ) (?=\S)")
+#: White space beside white space, at an end, or other than spaces and line ends: such texts are cut at single spaces only.
+_ODD = re.compile(r"\s\s|\s$|^\s|[^\S \n]")
+_CUT = re.compile(r"(?<! )(?= \S)")
+#: Marks at which words may be cut.
+MARKS = ".,;:!?"
 
 
 class Csr:
@@ -103,24 +107,32 @@ def _summed(piece: np.ndarray, pair: np.ndarray, times: np.ndarray) -> np.ndarra
 class Pieces:
     """What a worker knows of the pieces that it has met: numbers of tokens, groups, overlaps and links, groups as text, and pairs of ids with how often they link.
 
-    A piece is kept without the space before it. A pair is a's id << 32 | b's id; pairs have numbers of their own.
+    A pair is a's id << 32 | b's id; pairs have numbers of their own.
     """
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        tokenize, letters = Tokenizer.from_file(path_a).model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
+        self.tokenize, self.letters = Tokenizer.from_file(path_a).model.tokenize, {byte: letter for letter, byte in byte_letters().items()}
         # strings of special tokens are plain text here
-        self.a = PieceCache(lambda words: [array("I", [t.id for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes() for w in words], {}, PIECES)
+        self.a = PieceCache(lambda words: [array("I", self._ids(w)).tobytes() for w in words], {}, PIECES)
         self.b = SentencePieceProcessor(model_file=path_b)
         vocabulary = Vocabulary(path_a)
         self.bytes_a = [vocabulary.pieces.get(i, b"") for i in range(max(vocabulary.pieces) + 1)]
         self.bytes_b = piece_bytes(self.b)
-        if any(" " in piece.decode("utf-8", "replace").lstrip(" ") for piece in self.bytes_b):
-            raise ValueError("a piece of the second vocabulary goes on after a space")
+        pieces = [piece.decode("utf-8", "replace") for piece in self.bytes_b]
+        if any(" " in piece.lstrip(" ") or "\n" in piece and piece != "\n" for piece in pieces):
+            raise ValueError("a piece of the second vocabulary goes on after a space or over a line's end")
+        # letters and digits that a piece joins to a mark aren't cut from it
+        tied = re.escape("".join({c for piece in pieces for c in re.findall(rf"([^\W_])[{MARKS}]", piece)}))
+        # a run that ends in another letter or digit before a mark or white space, else all up to white space
+        self.find = re.compile(rf" ?[^\s{MARKS}]*[^\W_{tied}](?![^\s{MARKS}])| ?\S+|\n").findall
+        self.lead = len(self.b.encode("\n"))
         self.len_a, self.len_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
-        self.digits_a, self.digits_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
+        # an id as text within its group and at its side's end
+        self.inner_a, self.last_a = [f"{i}," for i in range(len(self.bytes_a))], [f"{i}|" for i in range(len(self.bytes_a))]
+        self.inner_b, self.last_b = [f"{i}," for i in range(len(self.bytes_b))], [f"{i};" for i in range(len(self.bytes_b))]
         self.forget()
 
     def forget(self) -> None:
@@ -137,23 +149,28 @@ class Pieces:
     def full(self) -> bool:
         return len(self.number) > PIECES or self.chars > PIECE_CHARS
 
+    def _ids(self, word: bytes) -> list[int]:
+        return [t.id for t in self.tokenize(word.decode("latin-1").translate(self.letters))]
+
+    def _ids_a(self, piece: str) -> list[int]:
+        # letters after at most one space are one pre-token
+        if piece.lstrip(" ").isalpha():
+            return self._ids(piece.encode())
+        return np.frombuffer(self.a.of([piece])[0], "<u4").tolist()
+
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), TOGETHER):
             self._learn(words[i : i + TOGETHER])
 
     def _learn(self, words: list[str]) -> None:
-        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.a.of([" " + w for w in words])]
-        ids_b = [np.array(x, np.int64) for x in self.b.encode(words, num_threads=1)]
-        good = []
-        for w, a, b in zip(words, ids_a, ids_b, strict=True):
-            whole = (" " + w).encode()
-            good.append(b"".join([self.bytes_a[i] for i in a.tolist()]) == whole and b"".join([self.bytes_b[i] for i in b.tolist()]) == whole)
-        n = len(words)
-        of_a = np.repeat(np.arange(n), [len(x) if ok else 0 for x, ok in zip(ids_a, good, strict=True)])
-        of_b = np.repeat(np.arange(n), [len(x) if ok else 0 for x, ok in zip(ids_b, good, strict=True)])
-        empty = [np.zeros(0, np.int64)]
-        flat_a = np.concatenate([x for x, ok in zip(ids_a, good, strict=True) if ok] or empty)
-        flat_b = np.concatenate([x for x, ok in zip(ids_b, good, strict=True) if ok] or empty)
+        ids_a = [self._ids_a(w) for w in words]
+        # the library puts a space in front; of a piece without one, what follows a line's end is taken
+        found_b = self.b.encode([w[1:] if w[0] == " " else "\n" + w for w in words], num_threads=1)
+        ids_b = [x if w[0] == " " else x[self.lead :] for w, x in zip(words, found_b, strict=True)]
+        n, good = len(words), self._whole(words, ids_a, ids_b)
+        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
+        of_a, of_b = np.repeat(np.arange(n), [len(x) for x in ids_a]), np.repeat(np.arange(n), [len(x) for x in ids_b])
+        flat_a, flat_b = np.array([i for x in ids_a for i in x], np.int64), np.array([i for x in ids_b for i in x], np.int64)
         sums = np.zeros((n, 5), np.int64)
         sums[:, 0], sums[:, 1] = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
         bytes_a, bytes_b = Csr.of_lengths(self.len_a[flat_a]), Csr.of_lengths(self.len_b[flat_b])
@@ -174,20 +191,26 @@ class Pieces:
         # a piece may lie in two lots of rows
         links = _summed(*np.concatenate(found, axis=1)) if len(found) > 2 else found[-1]
         sums[~np.array(good, bool), 0] = -1
-        self._keep(words, sums, links, self._texts(n, flat_a, flat_b, group_a, group_b, piece_of_group))
-
-    def _texts(self, n: int, flat_a: np.ndarray, flat_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, piece_of_group: np.ndarray) -> list[bytes]:
-        """Each piece's groups: a1,a2|b1;a3|b2,b3"""
-        sides = []
-        for flat, group, digits in ((flat_a, group_a, self.digits_a), (flat_b, group_b, self.digits_b)):
-            text: list[str] = [""] * len(piece_of_group)
-            for g, i in zip(group.tolist(), flat.tolist(), strict=True):
-                text[g] = f"{text[g]},{digits[i]}" if text[g] else digits[i]
-            sides.append(text)
-        parts: list[list[str]] = [[] for _ in range(n)]
-        for p, x, y in zip(piece_of_group.tolist(), *sides, strict=True):
-            parts[p].append(f"{x}|{y}")
-        return [";".join(x).encode() for x in parts]
+        self._keep(words, sums, links, self._texts(flat_a, flat_b, group_a, group_b, sums[:, 0].clip(0) + sums[:, 1]))
+
+    def _whole(self, words: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether both sides give the bytes of each piece."""
+        given = [w.encode() for w in words]
+        sides = [[b"".join([names[i] for i in x]) for x in ids] for names, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        return [x == w == y for w, x, y in zip(given, *sides, strict=True)]
+
+    def _texts(self, flat_a: np.ndarray, flat_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+        """Each piece's groups: a1,a2|b1;a3|b2,b3. tokens: of both sides together, by piece."""
+        parts: list[str] = []
+        for flat, group, inner, last in ((flat_a, group_a, self.inner_a, self.last_a), (flat_b, group_b, self.inner_b, self.last_b)):
+            ends = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
+            parts += [last[i] if end else inner[i] for i, end in zip(flat.tolist(), ends.tolist(), strict=True)]
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        placed, at, out = [parts[i] for i in order.tolist()], 0, []
+        for n in tokens.tolist():
+            out.append("".join(placed[at : at + n])[:-1].encode())
+            at += n
+        return out
 
     def _keep(self, words: list[str], sums: np.ndarray, links: np.ndarray, texts: list[bytes]) -> None:
         first = len(self.groups)
@@ -203,11 +226,9 @@ class Pieces:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def words(self, text: str) -> list[str]:
-        """The pieces of a text with a space in front, each without its first space."""
-        if not _ODD.search(text) and text[0] != " ":
-            return text.split(" ")
-        parts = _CUT.split(" " + text)
-        return parts[1:] if parts[0] == "" else [parts[0][1:], *parts[1:]]
+        """The pieces of a space and the text."""
+        whole = " " + text
+        return [x for x in _CUT.split(whole) if x] if _ODD.search(text) else self.find(whole)
 
 
 def known_pieces(path_a: str, path_b: str) -> Pieces:
