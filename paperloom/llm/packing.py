@@ -37,8 +37,13 @@ WORDS = 500_000
 #: Bits of a sequence's number below its class.
 NUMBER_BITS = 40
 
-# Fixed value: the word pattern of the vocabulary file, of lower-case printable ASCII.
-UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable characters below this one are split here, all others by the library: they are in normal form, and their lower case doesn't depend on what stands around them.
+PLAIN_BELOW = "\u0180"
+_PLAIN = [c for c in map(chr, range(33, ord(PLAIN_BELOW)))]
+_LETTERS = re.escape("".join(c for c in _PLAIN if c.isalpha()))
+_NUMBERS = re.escape("".join(c for c in _PLAIN if c.isnumeric() and not c.isalpha()))
+# Fixed value: the word pattern of the vocabulary file.
+UNITS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
 class Words(dict[str, bytes]):
@@ -54,12 +59,15 @@ class Words(dict[str, bytes]):
 
     def unit(self, unit: str) -> bytes:
         if (ids := self.units.get(unit)) is None:
-            ids = array("I", [t.id for t in self.library.model.tokenize(unit.translate(self.letters))]).tobytes()
+            letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
             self.units[unit] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and not any(s in word for s in self.special):
+        if word.isalpha() and max(word) < PLAIN_BELOW:
+            ids = b"".join([self.unit(u) for u in UNITS.findall(word.lower())]) if "İ" in word else self.unit(word.lower())
+        elif word.isprintable() and max(word, default="") < PLAIN_BELOW and not any(s in word for s in self.special):
             ids = b"".join([self.unit(u) for u in UNITS.findall(word.lower())])
         else:
             ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()

@@ -58,6 +58,7 @@ def best_fit(lengths, capacity):
 def test_words_like_the_library(library):
     texts = ["", " ", "It's WE'LL 'd--'s", "á ́b", "İstanbul ΣΑΣ ﬁ", "x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|>", "tab\tnew\nline\r\x0b\x1c\x85z", "日本語 🙂🙂 12½", "A,B.C;1234 " * 30, "　wide　 nbsp"]
     rng = random.Random(3)
+    texts += [f"{c}a {c} A{c}'s{c}1" for c in map(chr, range(33, 0x260)) if c.isprintable()]
     texts += ["".join(rng.choice("aB'sdt. ,1ü\n<|>") for _ in range(80)) for _ in range(200)]
     own = Words(PATH)
     for text in texts:
