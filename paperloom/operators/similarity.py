@@ -4,61 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import LongType
 
+from paperloom.operators.candidates import by_index, jaccard_features, jaccard_meets, token_set_features, token_set_meets, tokens
 from paperloom.sources.checkpoints import broadcast_if_small, cut
 
 Scorer = Callable[[Column, Column], Column]
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a machine word of rows at a time."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for c in b:
-        u = v & where.get(c, 0)
-        v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
-
-
-def token_set_score(x: str, y: str) -> float:
-    """Token-set ratio in 0..1 of two texts; 0 if either has no tokens."""
-    a, b = set(x.split()), set(y.split())
-    if not a or not b:
-        return 0.0
-    both, only_a, only_b = a & b, a - b, b - a
-    if both and (not only_a or not only_b):
-        return 1.0
-    s, p, q = (" ".join(sorted(t)) for t in (both, only_a, only_b))
-    k = 1 if s else 0
-    apart = len(p) + len(q) - 2 * lcs(p, q)
-    score = 1 - apart / (2 * (len(s) + k) + len(p) + len(q))
-    if s:
-        score = max(score, 1 - (k + len(p)) / (2 * len(s) + k + len(p)), 1 - (k + len(q)) / (2 * len(s) + k + len(q)))
-    return score
-
-
-@F.pandas_udf(DoubleType())
-def _token_set(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for xs, ys in batches:
-        yield pd.Series([token_set_score(x or "", y or "") for x, y in zip(xs, ys, strict=True)], dtype="float64")
+def _codes(texts: list[str], width: int, filler: int) -> np.ndarray:
+    """One row of code points a text, filled up to the width."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), width), filler, "<u4")
+    out[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out
 
 
-def token_set(a: Column, b: Column) -> Column:
-    """H2"""
-    return _token_set(a, b)
+#: Letters compared at a time.
+COMPARED = 4_000_000
+
+
+def _lcs_of_like_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    words = max(1, -(-max(map(len, a)) // 64))
+    # fillers are no code points and differ, so they match nothing
+    rows, columns = _codes(a, 64 * words, 0x110000), _codes(b, max(map(len, b)), 0x110001)
+    state = np.full((len(a), words), 2**64 - 1, np.uint64)
+    for j in range(columns.shape[1]):
+        match = np.packbits(rows == columns[:, j : j + 1], axis=1, bitorder="little").view("<u8")
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(words):
+            old, hit = state[:, w], state[:, w] & match[:, w]
+            total = old + hit
+            grown = total + carry
+            carry = ((total < old) | (grown < total)).astype(np.uint64)
+            state[:, w] = grown | (old & ~match[:, w])
+    return np.bitwise_count(~state).sum(axis=1).astype(np.int64)
+
 
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of texts. A row of the usual table is kept as bits; a step takes the next letter of all second texts at once."""
+    out = np.zeros(len(a), np.int64)
+    order = sorted((k for k in range(len(a)) if a[k] and b[k]), key=lambda k: (-(-len(a[k]) // 64), len(b[k])))
+    at = 0
+    while at < len(order):
+        width = 64 * -(-len(a[order[at]]) // 64)
+        end = min(len(order), at + max(1, COMPARED // width))
+        while 64 * -(-len(a[order[end - 1]]) // 64) > width or len(b[order[end - 1]]) > 2 * len(b[order[at]]) + 8:
+            end = at + (end - at) // 2 if end - at > 1 else at + 1
+        part = order[at:end]
+        out[part] = _lcs_of_like_lengths([a[k] for k in part], [b[k] for k in part])
+        at = end
+    return out
 
-def tokens(text: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.trim(text), r"\s+", -1), ""))
+
+@F.pandas_udf(LongType())
+def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for x, y in batches:
+        yield pd.Series(lcs_lengths(x.tolist(), y.tolist()))
+
+
+# else a filter on the score would run it once more
+_lcs = _lcs.asNondeterministic()
+
+
+def token_set(a: Column, b: Column) -> Column:
+    """H2: the token-set ratio in 0..1; 0 if either text has no tokens. Built-in functions but for the common subsequence of the tokens that only one side has."""
+    x, y = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
+    joined = lambda t: F.array_join(F.array_sort(t), " ")
+    both, only_a, only_b = joined(F.array_intersect(x, y)), joined(F.array_except(x, y)), joined(F.array_except(y, x))
+    s, p, q = F.length(both), F.length(only_a), F.length(only_b)
+    k = F.when(s > 0, 1).otherwise(0)
+    by_letters = 1 - (p + q - 2 * _lcs(only_a, only_b)) / (2 * (s + k) + p + q)
+    by_tokens = F.when(s > 0, F.greatest(1 - (k + p) / (2 * s + k + p), 1 - (k + q) / (2 * s + k + q))).otherwise(0.0)
+    score = F.when((s > 0) & ((p == 0) | (q == 0)), 1.0).otherwise(F.greatest(by_letters, by_tokens))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(score)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -86,7 +109,9 @@ def _bound_of(c: Column) -> Column:
     return F.when((s > 0) & ((p == 0) | (q == 0)), 1.0).otherwise(F.greatest(by_tokens, 1 - F.greatest(F.abs(p - q), odd) / (2 * (s + k) + p + q)))
 
 
-#: Wordings of a session that meet the same number of others in one task; a larger session is dealt out in blocks of so many.
+#: Groups of a session up to which all of them meet; in a larger session an index finds the pairs that can be similar.
+SMALL = 256
+#: Without an index a larger session is dealt out in blocks of so many groups.
 BLOCK = 256
 
 
@@ -98,6 +123,10 @@ def _numbered(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scored_pairs(pairs: DataFrame, words: DataFrame, scorer: Scorer, threshold: float, bound: Scorer | None = None) -> DataFrame:
     """a, b and score of pairs of numbers of wordings at or above the threshold. bound: no less than the score; pairs whose bound is below the threshold aren't scored."""
+    pairs, cores = cut(pairs), words.sparkSession.sparkContext.defaultParallelism
+    # few pairs may lie in few partitions, but each is work
+    if pairs.rdd.getNumPartitions() < cores:
+        pairs = pairs.repartition(cores)
     small = broadcast_if_small(words, 200)
     texts = pairs.join(small.select(F.col("w").alias("a"), F.col("text").alias("x")), "a").join(small.select(F.col("w").alias("b"), F.col("text").alias("y")), "b")
     if bound is not None:
@@ -107,23 +136,52 @@ def scored_pairs(pairs: DataFrame, words: DataFrame, scorer: Scorer, threshold:
     return texts.select("a", "b", scorer(first, second).alias("score")).filter(F.col("score") >= threshold)
 
 
-def similar_pairs(groups: DataFrame, scorer: Scorer = token_set, threshold: float = 0.84, bound: Scorer | None = token_set_bound) -> DataFrame:
-    """H3: session_id, i, j (places in the session, i < j) and score of groups (session_id, idx, canonical_text) at or above the threshold.
+def _all_of_small(placed: DataFrame) -> DataFrame:
+    """session_id, i, j, a, b: all pairs of sessions that are small."""
+    one, two = placed.select("session_id", F.col("idx").alias("i"), F.col("w").alias("v")), placed.select("session_id", F.col("idx").alias("j"), "w")
+    return one.join(two, "session_id").filter("i < j").select("session_id", "i", "j", F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
-    Pairs meet as numbers: wordings recur across sessions, so each distinct pair of them is scored once, whatever sessions it comes up in. A session's
-    groups are dealt out in blocks of BLOCK, and a block meets each other one in a task of its own. bound (of the scorer; None for scorers without) prunes before Python.
-    """
-    words, placed = _numbered(groups)
-    placed = cut(placed)
-    blocks = placed.groupBy("session_id").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("blocks"))
-    many = cut(blocks.filter("blocks > 1"))
-    dealt = placed.join(broadcast_if_small(many, 16), "session_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.col("idx") % F.col("blocks"))
+
+def _all_of_large(placed: DataFrame) -> DataFrame:
+    """As _all_of_small; a session's groups are dealt out in blocks, and a block meets each other one in a task of its own."""
+    size = placed.groupBy("session_id").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("int").alias("blocks"))
+    dealt = placed.join(broadcast_if_small(cut(size), 16), "session_id").withColumn("block", F.col("idx") % F.col("blocks"))
     one = dealt.select("session_id", "idx", "w", F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q")).alias("one")
     two = dealt.select("session_id", "idx", "w", F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q")).alias("two")
     c = F.col
     met = one.join(two, ["session_id", "p", "q"]).filter((c("p") < c("q")) | (c("one.idx") < c("two.idx")))
-    pairs = met.select("session_id", F.least("one.idx", "two.idx").alias("i"), F.greatest("one.idx", "two.idx").alias("j"), F.least("one.w", "two.w").alias("a"), F.greatest("one.w", "two.w").alias("b"))
+    return met.select("session_id", F.least("one.idx", "two.idx").alias("i"), F.greatest("one.idx", "two.idx").alias("j"), F.least("one.w", "two.w").alias("a"), F.greatest("one.w", "two.w").alias("b"))
+
+
+def candidate_pairs(placed: DataFrame, words: DataFrame, threshold: float, index: tuple | None) -> DataFrame:
+    """session_id, i, j, a, b: pairs of places i < j in a session and their wordings a <= b, all pairs at or above the threshold among them.
+
+    All groups of a session of up to SMALL meet, which is no more than SMALL / 2 pairs a group. In larger sessions those meet that the index (features and the
+    condition on them, of the scorer) brings together; for a scorer without index, or a threshold below its reach, all of them.
+    """
+    sizes = cut(placed.groupBy(F.col("session_id").alias("of")).count().filter(F.col("count") > SMALL).select("of"))
+    if not sizes.count():
+        return _all_of_small(placed)
+    told = placed.join(broadcast_if_small(sizes, 16), F.col("session_id") == F.col("of"), "left").select("session_id", "idx", "w", F.col("of").isNotNull().alias("big"))
+    small, large = told.filter("not big").drop("big"), cut(told.filter("big").drop("big"))
+    features = index[0](words.join(large.select("w").distinct(), "w", "left_semi"), threshold) if index else None
+    found = _all_of_large(large) if features is None else cut(by_index(large, features, index[1], threshold))
+    return _all_of_small(small).unionByName(found)
+
+
+#: The index of each scorer: its features, and the condition on two wordings that have one in common.
+TOKEN_SET_INDEX = (token_set_features, token_set_meets)
+JACCARD_INDEX = (jaccard_features, jaccard_meets)
+
+
+def similar_pairs(groups: DataFrame, scorer: Scorer = token_set, threshold: float = 0.84, bound: Scorer | None = token_set_bound, index: tuple | None = TOKEN_SET_INDEX) -> DataFrame:
+    """H3: session_id, i, j (places in the session, i < j) and score of groups (session_id, idx, canonical_text) at or above the threshold.
+
+    Candidates meet as numbers of wordings; wordings recur across sessions, so each distinct pair of them is scored once, whatever sessions it comes up in.
+    bound and index belong to the scorer: bound prunes before it, index makes the candidates of large sessions; None for scorers without.
+    """
+    words, placed = _numbered(groups)
+    pairs = candidate_pairs(cut(placed), words, threshold, index)
     scores = cut(scored_pairs(pairs.select("a", "b").distinct(), words, scorer, threshold, bound))
     return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
 

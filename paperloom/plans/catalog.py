@@ -477,7 +477,7 @@ _JACCARD = "len(list_intersect(a.tok, b.tok)) / (len(a.tok) + len(b.tok) - len(l
 
 @query("h1_pluggable_scorer", f"{_IDX} SELECT a.session_id, a.idx AS i, b.idx AS j, {_JACCARD} AS score FROM tx a JOIN tx b ON a.session_id = b.session_id AND a.idx < b.idx WHERE {_JACCARD} >= 0.6")
 def h1(spark, sf):
-    return H.similar_pairs(_groups(spark, sf), H.token_jaccard, 0.6, bound=H.token_jaccard)
+    return H.similar_pairs(_groups(spark, sf), H.token_jaccard, 0.6, bound=None, index=H.JACCARD_INDEX)
 
 
 @query(

@@ -17,29 +17,57 @@ SESSION = [
 ]
 
 
-def test_scores():
+def lcs(a, b):
+    """Length of the longest common subsequence by the usual table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def token_set_score(x, y):
+    """The token-set ratio of two texts, one pair at a time."""
+    a, b = set(x.split()), set(y.split())
+    if not a or not b:
+        return 0.0
+    both, only_a, only_b = a & b, a - b, b - a
+    if both and (not only_a or not only_b):
+        return 1.0
+    s, p, q = (" ".join(sorted(t)) for t in (both, only_a, only_b))
+    k = 1 if s else 0
+    score = 1 - (len(p) + len(q) - 2 * lcs(p, q)) / (2 * (len(s) + k) + len(p) + len(q))
+    if s:
+        score = max(score, 1 - (k + len(p)) / (2 * len(s) + k + len(p)), 1 - (k + len(q)) / (2 * len(s) + k + len(q)))
+    return score
+
+
+def scores_of(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, x string, y string")
+    return [r.s for r in df.select("i", similarity.token_set(F.col("x"), F.col("y")).alias("s")).orderBy("i").collect()]
+
+
+def test_scores(spark):
     t = [x[2] for x in SESSION]
-    assert similarity.token_set_score(t[0], t[3]) == pytest.approx(0.9032, abs=1e-4)
-    assert similarity.token_set_score(t[1], t[4]) == pytest.approx(0.9184, abs=1e-4)
-    assert similarity.token_set_score(t[2], t[5]) == pytest.approx(0.5412, abs=1e-4)
-    assert similarity.token_set_score("a b", "b a c") == 1.0
-    assert similarity.token_set_score("", "a") == similarity.token_set_score("abc", "xyz") == 0.0
+    got = scores_of(spark, [(t[0], t[3]), (t[1], t[4]), (t[2], t[5]), ("a b", "b a c"), ("", "a"), ("abc", "xyz"), (None, "a"), (None, None), ("é\U0001f600x", "é\U0001f600y")])
+    assert got == pytest.approx([0.9032, 0.9184, 0.5412, 1.0, 0.0, 0.0, 0.0, 0.0, 2 / 3], abs=1e-4)
 
 
-def test_lcs():
-    rng = random.Random(3)
+def test_scores_like_a_plain_loop(spark):
+    rng = random.Random(8)
+    pairs = [tuple(" ".join("".join(rng.choice("abcé.") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 6))) for _ in range(2)) for _ in range(300)]
+    assert scores_of(spark, pairs) == pytest.approx([token_set_score(x, y) for x, y in pairs], abs=1e-12)
 
-    def slow(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-        return row[-1]
 
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))) for _ in range(2))
-        assert similarity.lcs(a, b) == slow(a, b)
+@pytest.mark.parametrize("compared", [1, 5_000, 4_000_000])
+def test_lcs(monkeypatch, compared):
+    monkeypatch.setattr(similarity, "COMPARED", compared)
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("abc \U0001f600") for _ in range(rng.choice((0, 3, 63, 64, 65, 150)))) for _ in range(2)) for _ in range(300)]
+    pairs += [("a" * 128, "a" * 200), ("ab" * 100, "ba" * 100)]
+    assert similarity.lcs_lengths(*map(list, zip(*pairs))).tolist() == [lcs(a, b) for a, b in pairs]
+    assert similarity.lcs_lengths([], []).tolist() == []
 
 
 @pytest.mark.parametrize("folded", [10**6, 20, 0])
@@ -82,17 +110,54 @@ def test_two_year_session(spark):
     assert (totals.total_papers, totals.total_questions, totals.unique_questions, totals.repeat_rate) == (2, 6, 4, 33.3)
 
 
-def test_pairs_by_a_plain_loop(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 7)
+def texts_of(rng, n):
+    """Wordings that share tokens, and some that differ by letters only."""
+    words = "alpha beta gamma delta gear gears bolt bolts of the explain".split()
+    texts = {"", "a"}
+    while len(texts) < n:
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            k = rng.randint(0, len(text))
+            text = text[:k] + rng.choice(("", "x", "é", ".")) + text[k + rng.randint(0, 1) :]
+        texts.add(text.strip())
+    return sorted(texts)
+
+
+@pytest.mark.parametrize(("small", "block"), [(256, 256), (0, 7), (20, 256)])
+def test_pairs_by_a_plain_loop(spark, monkeypatch, small, block):
+    monkeypatch.setattr(similarity, "SMALL", small)
+    monkeypatch.setattr(similarity, "BLOCK", block)
     rng = random.Random(5)
-    words = "alpha beta gamma delta gear gears bolt bolts of the".split()
-    texts = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"", "a"}
-    sessions = {s: rng.sample(sorted(texts), rng.randint(1, 40)) for s in range(4)}
+    texts = texts_of(rng, 120)
+    sessions = {s: rng.sample(texts, rng.randint(1, 60)) for s in range(4)}
     groups = spark.createDataFrame([(s, i, t) for s, ts in sessions.items() for i, t in enumerate(ts)], "session_id long, idx int, canonical_text string")
-    want = {(s, i, j): similarity.token_set_score(min(ts[i], ts[j]), max(ts[i], ts[j])) for s, ts in sessions.items() for i in range(len(ts)) for j in range(i + 1, len(ts))}
-    for threshold in (0.84, 0.5):
-        got = {(r.session_id, r.i, r.j): r.score for r in similarity.similar_pairs(groups, threshold=threshold).collect()}
-        assert got == {k: v for k, v in want.items() if v >= threshold}
+    want = {(s, i, j): token_set_score(min(ts[i], ts[j]), max(ts[i], ts[j])) for s, ts in sessions.items() for i in range(len(ts)) for j in range(i + 1, len(ts))}
+    for threshold, index in ((0.95, similarity.TOKEN_SET_INDEX), (0.84, similarity.TOKEN_SET_INDEX), (0.75, similarity.TOKEN_SET_INDEX), (0.5, similarity.TOKEN_SET_INDEX), (0.84, None)):
+        got = {(r.session_id, r.i, r.j): r.score for r in similarity.similar_pairs(groups, threshold=threshold, index=index).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= threshold})
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.6, 0.3])
+def test_jaccard_pairs_by_a_plain_loop(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "SMALL", 0)
+    texts = texts_of(random.Random(6), 70)
+    groups = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "session_id long, idx int, canonical_text string")
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+    got = similarity.similar_pairs(groups, similarity.token_jaccard, threshold, bound=None, index=similarity.JACCARD_INDEX)
+    assert {(r.i, r.j) for r in got.collect()} == want
+
+
+def test_index_leaves_most_pairs_out(spark):
+    rng = random.Random(7)
+    syllables = "ka lo mi ter vun sha dri po qua zel".split()
+    names = ["".join(rng.choice(syllables) for _ in range(3)) for _ in range(300)]
+    texts = sorted({f"{rng.choice(('Explain', 'Describe'))} the {rng.choice(names)} {rng.choice(names)} and its {rng.choice(names)}" for _ in range(400)})
+    groups = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "session_id long, idx int, canonical_text string")
+    assert len(texts) > similarity.SMALL
+    words, placed = similarity._numbered(groups)
+    n = similarity.candidate_pairs(placed, words, 0.84, similarity.TOKEN_SET_INDEX).count()
+    assert n < len(texts) * (len(texts) - 1) / 2 / 4
 
 
 def test_bound_is_no_less_than_the_score(spark):
@@ -100,7 +165,7 @@ def test_bound_is_no_less_than_the_score(spark):
     pairs = [tuple(" ".join("".join(rng.choice("abcé.") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 4))) for _ in range(2)) for _ in range(400)]
     df = spark.createDataFrame(pairs, "x string, y string")
     rows = df.select("x", "y", similarity.token_set_bound(F.col("x"), F.col("y")).alias("bound")).collect()
-    assert all(r.bound >= similarity.token_set_score(r.x, r.y) - 1e-9 for r in rows)
+    assert all(r.bound >= token_set_score(r.x, r.y) - 1e-9 for r in rows)
 
 
 def test_odd_sessions(spark):
