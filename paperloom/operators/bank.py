@@ -188,7 +188,27 @@ def topic_weightage(bank: DataFrame, topic_rows: DataFrame) -> DataFrame:
     rows = topic_rows.join(per, ["session_id", "topic"], "left").fillna({"n": 0, "m": 0.0})
     whole = Window.partitionBy("session_id")
     share = lambda c: F.when(F.sum(c).over(whole) > 0, to_tenth(100.0 * F.col(c) / F.sum(c).over(whole))).otherwise(0.0)
-    return rows.select("session_id", "topic", F.col("n").alias("occurrences"), F.round("m").cast("long").alias("marks"), share("n").alias("occurrence_share"), share("m").alias("marks_share"))
+    return rows.select("session_id", "topic_idx", "topic", F.col("n").alias("occurrences"), F.round("m").cast("long").alias("marks"), share("n").alias("occurrence_share"), share("m").alias("marks_share"))
+
+
+def analytics(totals: DataFrame, levels: DataFrame, weightage: DataFrame, trend: DataFrame) -> DataFrame:
+    """A10: one row a session of `totals` with all of its rollups: four totals, groups of each level, topics (most asked first, then in their order) and years in order.
+
+    levels, weightage and trend are as K4, K5 (with topic_idx) and K6 give them. A session without questions has zeros for its levels, its topics and no years.
+    """
+    spread = levels.groupBy("session_id").agg(*[F.coalesce(F.sum(F.when(F.col("level") == name, F.col("n"))), F.lit(0)).alias(name) for name in LEVELS])
+    distribution = F.struct(*[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in LEVELS]).alias("priority_distribution")
+    topic_id = F.concat_ws("_", F.lit("t"), F.col("session_id").cast("string"), F.col("topic_idx").cast("string"))
+    area = F.struct((-F.col("occurrences")).alias("rank"), "topic_idx", topic_id.alias("topic_id"), F.col("topic").alias("name"), F.col("occurrences").alias("count"), F.col("occurrence_share").alias("freq_pct"), F.col("marks_share").alias("marks_pct"))
+    areas = weightage.groupBy("session_id").agg(F.sort_array(F.collect_list(area)).alias("areas"))
+    fields = ("topic_id", "name", "count", "freq_pct", "marks_pct")
+    years = trend.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("year", F.col("occurrences").alias("count")))).alias("years"))
+    rows = totals.join(spread, "session_id", "left").join(areas, "session_id", "left").join(years, "session_id", "left")
+    return rows.select(
+        "session_id", "total_papers", F.col("total_questions").alias("total_raw_questions"), F.col("unique_questions").alias("total_unique_questions"), "repeat_rate", distribution,
+        F.coalesce(F.transform("areas", lambda a: F.struct(*[a[f].alias(f) for f in fields])), F.array()).alias("focus_areas"),
+        F.coalesce("years", F.array()).alias("year_trends"),
+    )
 
 
 def year_trend(questions: DataFrame) -> DataFrame:

@@ -603,7 +603,7 @@ def k7(spark, sf):
     SELECT session_id, topic, n AS occurrences, m AS marks, CASE WHEN sn > 0 THEN floor(100.0::DOUBLE * n / sn * 10 + 0.5) / 10 ELSE 0.0 END AS occurrence_share, CASE WHEN sm > 0 THEN floor(100.0::DOUBLE * m / sm * 10 + 0.5) / 10 ELSE 0.0 END AS marks_share FROM w""",
 )
 def k5(spark, sf):
-    return B.topic_weightage(_classified(spark, sf), B.topics(E.contexts(spark, sf)))
+    return B.topic_weightage(_classified(spark, sf), B.topics(E.contexts(spark, sf))).drop("topic_idx")
 
 
 @query("k6_year_trend", f"{X.QUESTIONS} SELECT session_id, year, count(*) AS occurrences FROM q WHERE year IS NOT NULL GROUP BY session_id, year")
@@ -681,21 +681,46 @@ def a8(spark, sf):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-@query("a10_analytics_documents", f"{_TOTALS} SELECT session_id, total_papers, total_questions, unique_questions, repeat_rate FROM k")
-def a10(spark, sf):
-    """Written as JSON documents and read again."""
-    path = W.new_folder(spark, "analytics")
-    W.session_documents(_totals(spark, sf)).write.parquet(path)
-    found = F.from_json("analytics_json", "total_papers long, total_questions long, unique_questions long, repeat_rate double")
-    return spark.read.parquet(path).select("session_id", found.alias("a")).select("session_id", "a.*")
+_TEN = lambda x, y: f"CASE WHEN {y} > 0 THEN floor(100.0::DOUBLE * {x} / {y} * 10 + 0.5) / 10 ELSE 0.0::DOUBLE END"
+_AREAS = f"""tc AS (SELECT session_id, (unnest(generate_series(1, {len(E.CHAPTERS)})) - 1)::INT AS topic_idx, unnest([{', '.join(X.q(c) for c in E.CHAPTERS)}]) AS topic FROM (SELECT DISTINCT session_id FROM papers)),
+    ao AS (SELECT tc.session_id, topic_idx, tc.topic, count(q.paper_id) AS n, coalesce(sum(q.marks), 0)::BIGINT AS m FROM tc LEFT JOIN bank b ON b.session_id = tc.session_id AND b.topic = tc.topic LEFT JOIN q ON q.session_id = b.session_id AND q.content_hash = b.content_hash GROUP BY ALL),
+    aw AS (SELECT *, sum(n) OVER (PARTITION BY session_id)::DOUBLE AS sn, sum(m) OVER (PARTITION BY session_id)::DOUBLE AS sm FROM ao),
+    al AS (SELECT session_id, string_agg('t_' || session_id || '_' || topic_idx || ':' || topic || ':' || n || ':' || ({_TEN('n', 'sn')}) || ':' || ({_TEN('m', 'sm')}), ', ' ORDER BY n DESC, topic_idx) AS focus_areas FROM aw GROUP BY session_id)"""
+_SPREAD = "pd AS (SELECT session_id, " + ", ".join(f"count(*) FILTER (priority_level = {X.q(x)}) AS {x}" for x in B.LEVELS) + " FROM bank GROUP BY session_id)"
+_TREND = "yt AS (SELECT session_id, string_agg(year || ':' || n, ', ' ORDER BY year) AS year_trends FROM (SELECT session_id, year, count(*) AS n FROM q WHERE year IS NOT NULL GROUP BY session_id, year) GROUP BY session_id)"
 
 
-@query("a11_idempotent_rebuild", f"{X.GROUPS} SELECT session_id % 8 AS slice, session_id, content_hash, occurrences FROM g")
+@query(
+    "a10_analytics_documents",
+    f"{_TOTALS.replace(X.CLUSTERS, X.BANK)}, {_SPREAD}, {_AREAS}, {_TREND} SELECT session_id, total_papers, total_questions AS total_raw_questions, unique_questions AS total_unique_questions, repeat_rate, "
+    + " || ', ' || ".join(f"'{x}:' || coalesce({x}, 0)" for x in B.LEVELS)
+    + " AS priority_distribution, focus_areas, coalesce(year_trends, '') AS year_trends FROM k LEFT JOIN pd USING (session_id) LEFT JOIN al USING (session_id) LEFT JOIN yt USING (session_id)",
+)
+def a10(spark, sf):
+    """All fields, written as one JSON document a session and read again."""
+    path, bank = W.new_folder(spark, "analytics"), cut(_bank(spark, sf))
+    topics = B.topics(E.contexts(spark, sf))
+    whole = B.analytics(B.session_totals(E.papers(spark, sf), E.questions(spark, sf), bank), B.level_distribution(bank), B.topic_weightage(bank, topics), B.year_trend(_questions(spark, sf)))
+    W.session_documents(whole).write.parquet(path)
+    levels = ", ".join(f"{x}: long" for x in B.LEVELS)
+    kinds = f"total_papers long, total_raw_questions long, total_unique_questions long, repeat_rate double, priority_distribution struct<{levels}>, focus_areas array<struct<topic_id: string, name: string, count: long, freq_pct: double, marks_pct: double>>, year_trends array<struct<year: int, count: long>>"
+    found = spark.read.parquet(path).select("session_id", F.from_json("analytics_json", kinds).alias("a")).select("session_id", "a.*")
+    text = lambda x: x.cast("string")
+    listed = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[text(x[f]) for f in fields])), ", ")
+    return found.withColumns({
+        "priority_distribution": F.concat_ws(", ", *[F.concat(F.lit(f"{x}:"), text(F.col(f"priority_distribution.{x}"))) for x in B.LEVELS]),
+        "focus_areas": listed("focus_areas", "topic_id", "name", "count", "freq_pct", "marks_pct"),
+        "year_trends": listed("year_trends", "year", "count"),
+    })
+
+
+@query("a11_idempotent_rebuild", f"{X.GROUPS} SELECT session_id % 8 AS slice, session_id, content_hash, occurrences FROM g WHERE session_id % 8 <> 2")
 def a11(spark, sf):
-    """All slices are written, then a part of them again, twice."""
-    path = W.new_folder(spark, "slices")
-    rows = B.exact_groups(_questions(spark, sf)).select((F.col("session_id") % 8).alias("slice"), "session_id", "content_hash", "occurrences")
-    W.replace_slices(rows, path, "slice")
+    """All slices are written, then three of them again, twice; one of the three has no rows any more."""
+    table = W.Slices(spark, W.new_folder(spark, "slices"), "slice")
+    rows = cut(B.exact_groups(_questions(spark, sf)).select((F.col("session_id") % 8).alias("slice"), "session_id", "content_hash", "occurrences"))
+    table.rebuild(rows, rows.select("slice"))
     for _ in range(2):
-        W.replace_slices(rows.filter("slice < 3"), path, "slice")
-    return spark.read.schema("session_id long, content_hash string, occurrences long, slice long").parquet(path)
+        table.rebuild(rows.filter("slice < 2"), rows.select("slice").filter("slice < 3"))
+    table.vacuum()
+    return table.read()

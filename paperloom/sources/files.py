@@ -37,11 +37,76 @@ def export_csv(bank: DataFrame, path: str) -> None:
     rows.select(*[F.col(c).alias(h) for c, h in CSV_HEADERS.items()]).write.option("header", True).csv(path)
 
 
-def session_documents(totals: DataFrame) -> DataFrame:
-    """A10: one JSON document a session."""
-    return totals.select("session_id", F.to_json(F.struct(*[c for c in totals.columns if c != "session_id"])).alias("analytics_json"))
+def session_documents(analytics: DataFrame) -> DataFrame:
+    """A10: one JSON document a session from its analytics."""
+    return analytics.select("session_id", F.to_json(F.struct(*[c for c in analytics.columns if c != "session_id"]), {"ignoreNullFields": "false"}).alias("analytics_json"))
 
 
-def replace_slices(rows: DataFrame, path: str, by: str) -> None:
-    """Puts the rows' slices in place of those that are there; other slices stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+class Slices:
+    """A table of slices (values of the column `by`) that are rebuilt whole: what a rebuild gives takes the place of what was there, and a slice that it leaves empty is empty.
+
+    A rebuild writes its rows as a new version beside the old ones. A manifest of all slices and their versions is then written aside and renamed into place, which is
+    the moment from which readers see all of the rebuild; until then, or if it fails, they see none of it. Of two rebuilds at a time the second one to
+    finish is refused and may be run again. Versions that no slice has any more are removed by `vacuum`.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: str):
+        self.spark, self.path, self.by = spark, path, by
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _latest(self) -> int:
+        """The number of the manifest in force; -1 before the first rebuild."""
+        folder = self._path(f"{self.path}/manifest")
+        if not self._files.exists(folder):
+            return -1
+        return max([int(x.getPath().getName()) for x in self._files.listStatus(folder)], default=-1)
+
+    def _manifest(self, number: int) -> DataFrame:
+        """The slices and the version of each."""
+        return self.spark.read.parquet(f"{self.path}/manifest/{number}")
+
+    def rebuild(self, rows: DataFrame, slices: DataFrame) -> None:
+        """Puts rows in place of all that the slices (a table with the column `by`) have; rows of other slices are passed over. A null slice is a slice."""
+        before, by = self._latest(), self.by
+        number = before + 1
+        rebuilt = slices.select(F.col(by).alias("_slice")).distinct()
+        inside = rows.join(rebuilt, F.col(by).eqNullSafe(F.col("_slice")), "left_semi")
+        aside = f"{uuid.uuid4().hex}"
+        inside.write.parquet(f"{self.path}/data/{number}-{aside}")
+        marked = rebuilt.select(F.col("_slice").alias(by), F.lit(f"{number}-{aside}").alias("version"))
+        if before >= 0:
+            kept = self._manifest(before).join(rebuilt, F.col(by).eqNullSafe(F.col("_slice")), "left_anti")
+            marked = kept.unionByName(marked)
+        marked.write.parquet(f"{self.path}/aside/{aside}")
+        self._files.mkdirs(self._path(f"{self.path}/manifest"))
+        target = self._path(f"{self.path}/manifest/{number}")
+        # a rename onto a folder that is there would move into it
+        if self._files.exists(target) or not self._files.rename(self._path(f"{self.path}/aside/{aside}"), target):
+            raise RuntimeError(f"another rebuild of {self.path} came first")
+
+    def _versions(self, number: int) -> list[str]:
+        """One name for each rebuild that still has a slice."""
+        return sorted(r.version for r in self._manifest(number).select("version").distinct().collect())
+
+    def read(self) -> DataFrame:
+        """The rows of all slices. Only versions in force are read."""
+        number = self._latest()
+        if number < 0:
+            raise ValueError(f"nothing was written to {self.path}")
+        parts = [self.spark.read.parquet(f"{self.path}/data/{v}").withColumn("_version", F.lit(v)) for v in self._versions(number)]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        live = self._manifest(number).select(F.col(self.by).alias("_slice"), "version")
+        return rows.join(live, F.col(self.by).eqNullSafe(F.col("_slice")) & (F.col("_version") == F.col("version")), "left_semi").drop("_version")
+
+    def vacuum(self) -> None:
+        """Removes versions and manifests that aren't in force; not while a reader or a rebuild is at work."""
+        number = self._latest()
+        live = set(self._versions(number))
+        for kind, kept in (("data", live), ("manifest", {str(number)}), ("aside", set())):
+            folder = self._path(f"{self.path}/{kind}")
+            for x in self._files.listStatus(folder) if self._files.exists(folder) else []:
+                if x.getPath().getName() not in kept:
+                    self._files.delete(x.getPath(), True)
