@@ -91,4 +91,4 @@ def duplicate_papers(rows: DataFrame) -> DataFrame:
 def copied_to_duplicates(results: DataFrame, originals: DataFrame) -> DataFrame:
     """G1: what was found in originals (results by paper_id), for every paper with the same content."""
     found = results.withColumnRenamed("paper_id", "original_id")
-    return originals.select("paper_id", "original_id").join(found, "original_id")
+    return originals.select("session_id", "paper_id", "original_id").join(found, "original_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions import validation as V
 from paperloom.operators import bank as B
+from paperloom.operators import extraction as Q
 from paperloom.operators import intake as I
 from paperloom.operators import quality as D
 from paperloom.operators import segmentation as C
@@ -92,19 +93,36 @@ def a6(spark, sf):
 _MAINS = "(CASE WHEN paper_id % 3 = 0 THEN (ordinal + 1) // 2 ELSE ordinal END)::BIGINT"
 _SECTION = "CASE WHEN paper_id % 2 <> 0 THEN NULL WHEN ordinal < 3 THEN 'SECTION A' ELSE 'SECTION B - Long Answer Questions' END"
 _PLAIN = "rtrim(text, '.')"
+_LEAVES = f"leaves AS (SELECT paper_id, ordinal, {_MAINS} AS main_ord, (CASE WHEN paper_id % 3 = 0 THEN 2 - ordinal % 2 ELSE 0 END)::BIGINT AS sub_ord, 'Q' || {_MAINS} || CASE WHEN paper_id % 3 <> 0 THEN '' WHEN ordinal % 2 = 1 THEN '(a)' ELSE '(b)' END AS question_number, {_PLAIN} AS text, marks, {_SECTION} AS section FROM pq)"
+
+
+def _scanned_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of the rendered papers: embedded text, scans, and embedded text with a scanned second page, by turns; some papers are blank."""
+    kind = F.col("paper_id") % 3
+    papers = E.rendered(spark, sf).withColumn("text", F.when(F.col("paper_id") % 13 == 0, "").otherwise(F.col("text")))
+    page = lambda no, text, images, scan: F.struct(F.lit(no).alias("page_no"), text.alias("text"), F.lit(images).alias("image_count"), scan.alias("ocr_text"))
+    first = page(1, F.when(kind == 1, "").otherwise(F.col("text")), 0, F.col("text"))
+    pages = F.when(kind == 2, F.array(first, page(2, F.lit(""), 1, F.lit("Page 2 of 2")))).otherwise(F.array(first))
+    return papers.select("paper_id", F.explode(pages).alias("p")).select("paper_id", "p.*")
 
 
 @query(
     "a7_extraction_report",
-    f"WITH {X.PQ} SELECT paper_id, count(DISTINCT {_MAINS}) AS questions, CASE WHEN paper_id % 2 <> 0 THEN 0 WHEN max(ordinal) >= 3 THEN 3 ELSE 1 END AS sections, 0::BIGINT AS warnings, 'text' AS method FROM pq GROUP BY paper_id",
+    f"""WITH {X.PQ}, {X.RENDERED}, {_LEAVES},
+    t AS (SELECT paper_id, CASE WHEN paper_id % 13 = 0 THEN '' ELSE text END AS text FROM rendered),
+    w AS (SELECT *, paper_id % 3 = 2 AS two, text <> '' AND (paper_id % 3 = 1 OR length(trim(text)) < 100) AS scanned FROM t),
+    n AS (SELECT paper_id, count(DISTINCT main_ord) AS questions, max(ordinal) AS last, string_agg(CASE WHEN sub_ord = 1 THEN 'Q' || main_ord || ':Answer the following, ' ELSE '' END || question_number || ':' || text || '=' || coalesce((marks::INT)::VARCHAR, '-'), ', ' ORDER BY ordinal) AS listing FROM leaves WHERE paper_id % 13 <> 0 GROUP BY paper_id)
+    SELECT paper_id, CASE WHEN two THEN 2 ELSE 1 END::BIGINT AS page_count, CASE WHEN two AND NOT scanned THEN 'hybrid' WHEN two OR scanned THEN 'ocr' ELSE 'text' END AS method, coalesce(questions, 0) AS question_count,
+    CASE WHEN last IS NULL OR paper_id % 2 <> 0 THEN 0 WHEN last >= 3 THEN 3 ELSE 1 END::BIGINT AS sections_found, coalesce(listing, '') AS questions,
+    CASE WHEN questions IS NULL AND two THEN 'No questions found. Very few questions for the number of pages.' WHEN questions IS NULL THEN 'No questions found.' WHEN two AND questions <= 1 THEN 'Very few questions for the number of pages.' ELSE '' END AS warnings,
+    text || CASE WHEN two THEN chr(10) || chr(10) || 'Page 2 of 2' ELSE '' END AS text FROM w LEFT JOIN n USING (paper_id)""",
 )
 def a7(spark, sf):
-    papers = E.rendered(spark, sf)
-    node_rows, rows = C.parsed(papers)
-    asked = node_rows.filter("sub_ord = 0").groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"))
-    sections = C.sectioned(C.paper_lines(papers)).groupBy("paper_id").agg(F.max("segment").cast("int").alias("sections"))
-    warned = rows.filter("warning is not null").select("paper_id").union(C.missing_mains(rows).select("paper_id")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("warnings"))
-    return asked.join(sections, "paper_id").join(warned, "paper_id", "left").select("paper_id", "questions", "sections", F.coalesce("warnings", F.lit(0)).cast("long").alias("warnings"), F.lit("text").alias("method"))
+    found = Q.reports(_scanned_papers(spark, sf))
+    line = lambda x: F.concat(x["number"], F.lit(":"), x["text"], F.lit("="), F.coalesce(x["marks"].cast("int").cast("string"), F.lit("-")))
+    parts = lambda x: F.concat(F.array(F.concat(x["number"], F.lit(":"), x["text"])), F.transform(x["subquestions"], line))
+    listed = F.flatten(F.transform("questions", lambda x: F.when(F.size(F.coalesce(x["subquestions"], F.array())) > 0, parts(x)).otherwise(F.array(line(x)))))
+    return found.withColumns({"questions": F.array_join(listed, ", "), "warnings": F.array_join("warnings", " ")})
 
 
 # ---- text scalars over lines of documents ------------------------------------------------------------------------
@@ -186,9 +204,6 @@ def c3(spark, sf):
     return C.mains(C.sectioned(C.paper_lines(E.rendered(spark, sf)))).filter("number is not null").select("paper_id", "number", "main_ord")
 
 
-_LEAVES = f"leaves AS (SELECT paper_id, ordinal, {_MAINS} AS main_ord, (CASE WHEN paper_id % 3 = 0 THEN 2 - ordinal % 2 ELSE 0 END)::BIGINT AS sub_ord, 'Q' || {_MAINS} || CASE WHEN paper_id % 3 <> 0 THEN '' WHEN ordinal % 2 = 1 THEN '(a)' ELSE '(b)' END AS question_number, {_PLAIN} AS text, marks, {_SECTION} AS section FROM pq)"
-
-
 # what the labels of E.LABELS are read as: second and third level, and the warnings that they raise
 _READ = (
     (("a", None), ("a", "i"), ("a", "ii"), ("b", None), ("b", "i"), ("b", "iii"), ("c", None)),
@@ -370,10 +385,21 @@ def e3(spark, sf):
     return E.questions(spark, sf).select("paper_id", "ordinal", F.when(F.col("marks") >= 10, "long").otherwise("short").alias("question_type"))
 
 
-@query("e4_row_ids", f"WITH {X.PQ}, {_LEAVES} SELECT 'rq_' || paper_id || '_' || ordinal || '_' || md5(text)[1:8] AS id, paper_id, text FROM leaves")
+def _with_rejects(text: Column) -> Column:
+    """Some questions become lines of a paper's head, which the validator rejects."""
+    return F.regexp_replace(text, "Compare the ", "Semester ")
+
+
+# the papers' questions through the validator's twin, whose lines are called documents
+_JUDGED = X.VALID.replace(X.LINES, f"{X.PQ}, {_LEAVES}, lines AS (SELECT paper_id AS doc_id, ordinal AS line_no, replace(text, 'Compare the ', 'Semester ') AS line FROM leaves)") + ", jd AS (SELECT doc_id AS paper_id, line_no AS ordinal, t AS text, confidence, status, reason, count(*) FILTER (status <> 'rejected') OVER (PARTITION BY doc_id ORDER BY line_no) AS accepted FROM valid)"
+_ROW_ID = lambda paper: f"CASE WHEN status = 'rejected' THEN 'rj_' || {paper} || '_' || jd.ordinal ELSE 'rq_' || {paper} || '_' || accepted END || '_' || md5(text)[1:8]"
+
+
+@query("e4_row_ids", f"{_JUDGED} SELECT {_ROW_ID('paper_id')} AS id, paper_id, text, status FROM jd")
 def e4(spark, sf):
-    node_rows, _ = C.parsed(E.rendered(spark, sf))
-    return C.with_row_ids(C.leaves(node_rows)).select("id", "paper_id", "text")
+    """Accepted questions count the accepted ones, rejected ones all of their paper."""
+    rows = Q.paper_questions(E.rendered(spark, sf).withColumn("text", _with_rejects(F.col("text"))))
+    return rows.select(Q.row_id().alias("id"), "paper_id", "text", "status")
 
 
 @query("f1_filename_year", f"WITH {X.PAPERS} SELECT paper_id, nullif(regexp_extract(filename, '\\b(20[0-3]\\d|199\\d)\\b', 1), '')::INT AS year FROM papers")
@@ -414,12 +440,20 @@ def f5(spark, sf):
     return I.overridden(_resolved(spark, sf), new).select("paper_id", "year")
 
 
-@query("g1_duplicate_papers", "WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS h FROM documents), o AS (SELECT *, min(doc_id) OVER (PARTITION BY source, h) AS original_id FROM d) SELECT doc_id AS paper_id, original_id, doc_id <> original_id AS is_duplicate, (SELECT len(string_split(coalesce(text, ''), chr(10))) FROM documents x WHERE x.doc_id = original_id) AS n_lines FROM o")
+@query(
+    "g1_duplicate_papers",
+    f"""{_JUDGED}, {X.PAPERS}, {X.RENDERED}, s AS (SELECT session_id, paper_id, paper_id AS source, text FROM papers JOIN rendered USING (paper_id)), al AS (SELECT * FROM s UNION ALL SELECT session_id, paper_id + 1000000000, paper_id, text FROM s WHERE paper_id % 5 = 0),
+    o AS (SELECT session_id, paper_id, source, min(paper_id) OVER (PARTITION BY session_id, text) AS original_id FROM al)
+    SELECT session_id, o.paper_id, original_id, {_ROW_ID('o.paper_id')} AS id, jd.text, marks, section, question_number, confidence, status, reason FROM o JOIN jd ON jd.paper_id = original_id
+    JOIN (SELECT paper_id, ordinal, marks, question_number, CASE WHEN sub_ord > 0 THEN first(section) OVER (PARTITION BY paper_id, main_ord ORDER BY ordinal) ELSE section END AS section FROM leaves) l ON l.paper_id = original_id AND l.ordinal = jd.ordinal""",
+)
 def g1(spark, sf):
-    docs = E.table(spark, sf, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = I.duplicate_papers(docs.withColumn("content_hash", I.content_hash(F.encode("text", "UTF-8"))))
-    parsed_once = found.filter("not is_duplicate").select("paper_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    return I.copied_to_duplicates(parsed_once, found).join(found.select("paper_id", "is_duplicate"), "paper_id").select("paper_id", "original_id", "is_duplicate", "n_lines")
+    """Every fifth paper comes twice; a copy has the original's questions, rejected ones included."""
+    sessions = E.papers(spark, sf).select("session_id", "paper_id")
+    papers = E.rendered(spark, sf).withColumn("text", _with_rejects(F.col("text"))).join(sessions, "paper_id")
+    twice = papers.filter("paper_id % 5 = 0").withColumn("paper_id", F.col("paper_id") + 1_000_000_000)
+    on, off = Q.session_questions(papers.unionByName(twice))
+    return on.unionByName(off).select("session_id", "paper_id", "original_id", "id", "text", "marks", "section", "question_number", "confidence", "status", "reason")
 
 
 # ---- groups, topics, scores ----------------------------------------------------------------------------------------------

@@ -75,6 +75,12 @@ b1 AS (SELECT *, CASE WHEN priority_score >= 85 THEN 'critical' WHEN priority_sc
 bank AS (SELECT *, 'Ranked ' || CASE priority_level WHEN 'critical' THEN 'Critical' WHEN 'very_high' THEN 'Very High' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END ||
   CASE WHEN len(reasons) = 0 THEN ' based on standard frequency and spacing factors.' WHEN len(reasons) = 1 THEN ' because it ' || reasons[1] || '.'
   ELSE ' because it ' || array_to_string(reasons[1:len(reasons) - 1], ', ') || ', and ' || reasons[len(reasons)] || '.' END AS priority_reason FROM b1)"""
+#: A page of each paper, as sources.exam.rendered makes it: a line a question, parts and sections by the paper's number.
+_N = "(CASE WHEN paper_id % 3 = 0 THEN (ordinal + 1) // 2 ELSE ordinal END)::BIGINT"
+RENDERED = f"""rl AS (SELECT paper_id, ordinal, text || CASE WHEN marks IS NULL THEN '' ELSE ' (' || marks::INT || ' marks)' END AS tail FROM pq),
+rp AS (SELECT paper_id, ordinal, CASE WHEN paper_id % 2 = 0 AND ordinal = 1 THEN 'SECTION A' || chr(10) WHEN paper_id % 2 = 0 AND ordinal = 3 THEN 'Page 2 of 3' || chr(10) || 'SECTION B' || chr(10) || 'Long Answer Questions' || chr(10) ELSE '' END
+  || CASE WHEN paper_id % 3 <> 0 THEN 'Q' || {_N} || '. ' || tail WHEN ordinal % 2 = 1 THEN 'Q' || {_N} || '. Answer the following:' || chr(10) || '(a) ' || tail ELSE '(b) ' || tail END AS line FROM rl),
+rendered AS (SELECT paper_id, string_agg(line, chr(10) ORDER BY ordinal) AS text FROM rp GROUP BY paper_id)"""
 QUESTIONS = f"WITH RECURSIVE {PAPERS}, {PQ}, {Q}"
 GROUPS = f"{QUESTIONS}, {G}"
 CLUSTERS = f"{GROUPS}, {CL}"
