@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[Model,
     model = fitted(*[found[n] for n in names], n_target, n_toxic)
 
     held = marked.filter(F.col("role").isin(_GOOD, _BAD)).mapInArrow(lambda batches: _scored(batches, model), "role int, score double")
-    # a score that repeats, as that of a text with many rows, comes once, with the number of its rows
-    per = held.groupBy("role", "score").agg(F.count(F.lit(1)).alias("n")).orderBy("role", "score").limit(4 * MAX_LABELLED).collect()
+    # a score that repeats, as that of a text with many rows, comes once, with the number of its rows; where keys repeat a sample by hash of 4 * MAX_LABELLED scores
+    per = held.groupBy("role", "score").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("role", "score")).limit(4 * MAX_LABELLED).collect()
     good, bad = ([(r.score, r.n) for r in per if (r.role == _GOOD) == g] for g in (True, False))
     if not good:
         return model, -np.inf

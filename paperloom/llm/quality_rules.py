@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import BLANK, cut
+from paperloom.llm.common import BLANK, cut, fresh
 
 #: Labelled rows that a list is learned from, about; of more, every n-th by hash of the key is taken.
 MAX_LABELLED = 20_000
@@ -187,12 +187,14 @@ def learn_list(rows: list[tuple[dict[str, float], bool]], precision: float = 0.9
 
 
 def labelled_rows(stats: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = MAX_LABELLED) -> list[tuple[dict[str, float], bool]]:
-    """Features and badness (quality 0) of labelled texts, a bounded sample by hash of the key."""
+    """Features and badness (quality 0) of labelled texts: a sample by hash of the key of about `most`, or where keys repeat one by hash of the features of 2 * `most`."""
     step = max(1, -(-labels.count() // most))
-    taken = labels.filter(F.col("quality").isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(F.col(key).alias("_key"), (F.col("quality") == 0).alias("bad"))
+    (own,) = fresh(stats, "label_key")
+    taken = labels.filter(F.col("quality").isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(F.col(key).alias(own), (F.col("quality") == 0).alias("bad"))
     names = list(features())
-    joined = stats.join(taken, F.col(key) == F.col("_key")).select("bad", *[c.alias(n) for n, c in features().items()])
-    return [({n: r[n] for n in names}, r["bad"]) for r in joined.orderBy(*names, "bad").limit(2 * most).collect()]
+    joined = stats.join(taken, F.col(key) == F.col(own)).select("bad", *[c.alias(n) for n, c in features().items()])
+    sample = joined.orderBy(F.xxhash64(*names, "bad")).limit(2 * most).collect()
+    return [({n: r[n] for n in names}, r["bad"]) for r in sorted(sample, key=lambda r: (*[r[n] for n in names], r["bad"]))]
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -377,7 +377,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 def remove_repeats(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row for each input row: key, n_bytes, spans (merged), kept (the bytes that remain).
 
-    A byte goes if a string of `window` bytes over it also starts earlier: at a smaller key, or at the same key and an earlier place. Strings are those of
+    The key is a whole number above the least long, or null. A byte goes if a string of `window` bytes over it also starts earlier: at a smaller key, or at the same key and an earlier place. Strings are those of
     the input; they don't cross documents. Null and empty texts have no bytes. A null key comes before all others. Rows that repeat a key are judged
     each by itself against what starts earlier; the same place at the same key is not earlier, so equal rows keep what either keeps. An empty table
     gives an empty result; other columns are passed over. Whole copies of an earlier text are found first, by two 64-bit hashes, and go whole.

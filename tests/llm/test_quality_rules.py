@@ -73,3 +73,15 @@ def test_odd_rows(odd, none, spark):
     assert got == sorted(repr((k, *counts(t))) for k, t, *_ in ODD)
     assert judge(none, labels).count() == 0
     assert judge(odd, labels.filter("false")).filter("kept").count() == sum(not (c[0] < 10 or 100 * c[4] > 20 * c[0]) for c in (counts(t) for _, t, *_ in ODD))
+
+
+def test_samples_where_keys_repeat(spark):
+    """Of many rows of one key a sample by hash is taken, whatever their sizes; the key may have any name."""
+    texts = [(1, " ".join(f"w{k}" for k in range(n))) for n in range(10, 90)]
+    docs = spark.createDataFrame(texts, "_key long, text string")
+    labels = spark.createDataFrame([(1, 1)], "_key long, quality int")
+    stats = text_stats(docs, "_key")
+    taken = sorted(r["n_words"] for r, _ in labelled_rows(stats, labels, "_key", most=20))
+    assert len(taken) == 40 and min(taken) < 30 and max(taken) > 70
+    assert len(labelled_rows(stats, labels, "_key")) == 80
+    assert judge(docs, labels, key="_key").count() == 80
