@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from paperloom.operators.candidates import by_index, jaccard_features, jaccard_meets, token_set_features, token_set_meets, tokens
 from paperloom.sources.checkpoints import broadcast_if_small, cut
+from paperloom.sources.files import files_of, new_folder
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -196,7 +198,7 @@ def scores_in_order(groups: DataFrame, scorer: Scorer = token_set) -> DataFrame:
     return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
 
 
-#: Links of a session up to which its clusters are found in one row; beyond it in rounds over all such sessions together.
+#: Links of a session up to which its clusters are found in one row; beyond it range by range.
 FOLDED = 5_000
 
 
@@ -212,7 +214,7 @@ def greedy_clusters(groups: DataFrame, edges: DataFrame) -> DataFrame:
     n = many.count()
     members = _folded(edges if not n else edges.join(many, "session_id", "left_anti"))
     if n:
-        members = members.union(_in_rounds(edges.join(many, "session_id", "left_semi")))
+        members = members.union(_in_ranges(edges.join(many, "session_id", "left_semi")))
     seeds = members.join(edges.select("session_id", F.col("i").alias("seed"), F.col("j").alias("idx"), "score"), ["session_id", "seed", "idx"])
     found = groups.select("session_id", "idx").join(seeds, ["session_id", "idx"], "left")
     return found.select("session_id", "idx", F.coalesce("seed", "idx").cast("int").alias("seed"), F.coalesce("score", F.lit(1.0)).alias("confidence"))
@@ -229,22 +231,43 @@ def _folded(edges: DataFrame) -> DataFrame:
     return each.select("session_id", F.col("x.idx").alias("idx"), F.array_min(F.array_except("x.lower", "joined")).alias("seed"))
 
 
-def _in_rounds(edges: DataFrame) -> DataFrame:
-    """As _folded. In each round an undecided group without a lower neighbour that is undecided or a seed becomes a seed; an undecided
-    group joins its lowest linked seed once no undecided neighbour is below that seed. All sessions advance together; each round is checkpointed."""
-    both = cut(edges.select("session_id", F.col("i").alias("idx"), F.col("j").alias("other")).union(edges.select("session_id", F.col("j").alias("idx"), F.col("i").alias("other"))))
-    state = cut(both.select("session_id", "idx").distinct().withColumn("seed", F.lit(None).cast("int")))
-    while state.filter("seed is null").limit(1).count():
-        others = state.select("session_id", F.col("idx").alias("other"), F.col("seed").alias("other_seed"))
-        seen = both.join(others, ["session_id", "other"])
-        waiting, seeds = F.col("other_seed").isNull(), F.col("other_seed") == F.col("other")
-        about = seen.groupBy("session_id", "idx").agg(F.min(F.when(waiting, F.col("other"))).alias("w"), F.min(F.when(seeds, F.col("other"))).alias("s"))
-        joined = state.join(about, ["session_id", "idx"])
-        free = (F.col("w").isNull() | (F.col("w") > F.col("idx"))) & (F.col("s").isNull() | (F.col("s") > F.col("idx")))
-        joins = F.col("s").isNotNull() & (F.col("s") < F.col("idx")) & (F.col("w").isNull() | (F.col("w") > F.col("s")))
-        seed = F.coalesce("seed", F.when(joins, F.col("s")).when(free, F.col("idx")))
-        state = cut(joined.select("session_id", "idx", seed.cast("int").alias("seed")))
-    return state.filter("seed != idx").select("session_id", "idx", "seed")
+#: Places of a session that are settled at a time.
+RANGE = 4096
+
+
+def _in_ranges(edges: DataFrame) -> DataFrame:
+    """As _folded, for sessions of any size. Places are settled in ranges, lower ones first, all sessions together; a range is a session's work for one task.
+
+    Of what lies in earlier ranges a group needs the lowest seed that it is linked to, one number; so only links within a range are held together. As many jobs as
+    there are ranges, however long the chains of links are; each range's outcome is written before the next one begins.
+    """
+    spark, kind = edges.sparkSession, edges.schema["session_id"].dataType.simpleString()
+    folder = new_folder(spark, "ranges")
+    ranged = edges.select("session_id", "i", "j", F.floor(F.col("i") / RANGE).alias("ri"), F.floor(F.col("j") / RANGE).alias("r"))
+    ranged.write.partitionBy("r").parquet(f"{folder}/links")
+    links = spark.read.parquet(f"{folder}/links")
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("j")
+        joined: dict[int, int] = {}
+        for j, i, low in zip(*(table.column(c).to_pylist() for c in ("j", "i", "low")), strict=True):
+            # a lower group that hasn't joined a cluster is a seed; low is one
+            seed = low if i is None else None if i in joined else i
+            if seed is not None:
+                joined[j] = min(seed, joined.get(j, seed))
+        return pa.table({"session_id": table.column("session_id").slice(0, 1).combine_chunks().take(pa.array([0] * len(joined), pa.int64())), "idx": pa.array(list(joined), pa.int32()), "seed": pa.array(list(joined.values()), pa.int32())})
+
+    shape = f"session_id {kind}, idx int, seed int"
+    for r in sorted(x.r for x in links.select("r").distinct().collect()):
+        now = links.filter(F.col("r") == r)
+        outer = now.filter(F.col("ri") < r)
+        if files_of(spark, f"{folder}/joined"):
+            gone = spark.read.schema(shape).parquet(f"{folder}/joined").select("session_id", F.col("idx").alias("i"))
+            outer = outer.join(gone, ["session_id", "i"], "left_anti")
+        low = outer.groupBy("session_id", "j").agg(F.min("i").alias("low")).select("session_id", "j", F.lit(None).cast("int").alias("i"), "low")
+        inner = now.filter(F.col("ri") == r).select("session_id", "j", "i", F.lit(None).cast("int").alias("low"))
+        inner.unionByName(low).groupBy("session_id").applyInArrow(settle, shape).write.mode("append").parquet(f"{folder}/joined")
+    return spark.read.schema(shape).parquet(f"{folder}/joined")
 
 
 def representatives(groups: DataFrame, clusters: DataFrame) -> DataFrame:

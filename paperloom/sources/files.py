@@ -31,6 +31,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{path}/data"
 
 
+def files_of(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def export_csv(bank: DataFrame, path: str) -> None:
     """The ranked bank under fixed headers, best first; a question without topic is Uncategorized."""
     rows = bank.withColumn("topic", F.coalesce("topic", F.lit("Uncategorized"))).orderBy(F.desc("priority_score"), "session_id", "content_hash")

@@ -70,9 +70,10 @@ def test_lcs(monkeypatch, compared):
     assert similarity.lcs_lengths([], []).tolist() == []
 
 
-@pytest.mark.parametrize("folded", [10**6, 20, 0])
-def test_clusters_are_those_of_the_loop(spark, monkeypatch, folded):
+@pytest.mark.parametrize(("folded", "places"), [(10**6, 4096), (20, 6), (0, 5), (0, 4096)])
+def test_clusters_are_those_of_the_loop(spark, monkeypatch, folded, places):
     monkeypatch.setattr(similarity, "FOLDED", folded)
+    monkeypatch.setattr(similarity, "RANGE", places)
     rng = random.Random(11)
     edges, want = [], {}
     for s in range(30):
@@ -91,6 +92,15 @@ def test_clusters_are_those_of_the_loop(spark, monkeypatch, folded):
     assert {(r.session_id, r.idx): (r.seed, r.confidence) for r in got.collect()} == want
 
 
+def test_a_long_chain_takes_few_jobs(spark):
+    """Each group is linked to the next one, so every other one is a seed; how long the chain is makes no more jobs than it has ranges."""
+    n = 40_000
+    groups = spark.range(n).select(F.lit(1).cast("long").alias("session_id"), F.col("id").cast("int").alias("idx"), F.lit("x").alias("canonical_text"))
+    edges = groups.filter(F.col("idx") < n - 1).select("session_id", F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"), F.lit(0.9).alias("score"))
+    found = similarity.greedy_clusters(groups, edges)
+    assert found.filter("seed = idx - idx % 2").count() == n == found.count()
+
+
 def test_two_year_session(spark):
     rows = [(7, p, y, t, float(m), i) for i, (p, y, t, m) in enumerate(SESSION)]
     qs = bank.hashed(spark.createDataFrame(rows, "session_id long, paper_id long, year int, text string, marks double, ordinal int"))
