@@ -48,6 +48,35 @@ def exact_groups(questions: DataFrame) -> DataFrame:
     return groups.withColumn("year_span", F.coalesce(F.col("last_year") - F.col("first_year"), F.lit(0)))
 
 
+def year_counts(questions: DataFrame) -> DataFrame:
+    """session_id, content_hash, year and n: how many questions of a group are of each year, null among them. What the years of a group follow from."""
+    return questions.groupBy("session_id", "content_hash", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def year_changes(questions: DataFrame, changes: DataFrame) -> DataFrame:
+    """what papers with another year (paper_id, year) take from the counts of years and add to them, from the questions of those papers alone."""
+    new = changes.groupBy("paper_id").agg(F.max("year").alias("_new"))
+    moved = questions.join(new, "paper_id").filter(~F.col("year").eqNullSafe(F.col("_new")))
+    steps = F.explode(F.array(F.struct(F.col("year").alias("year"), F.lit(-1).alias("n")), F.struct(F.col("_new").alias("year"), F.lit(1).alias("n"))))
+    return moved.select("session_id", "content_hash", steps.alias("x")).groupBy("session_id", "content_hash", F.col("x.year").alias("year")).agg(F.sum("x.n").alias("n"))
+
+
+def changed_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """the counts of years of the groups that changes touch, as they are now."""
+    touched = changes.select("session_id", "content_hash").distinct()
+    both = counts.join(touched, ["session_id", "content_hash"], "left_semi").unionByName(changes)
+    return both.groupBy("session_id", "content_hash", "year").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def restated_years(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """groups with first_year, last_year, n_years and year_span after their counts where they are given, all else as it was. No other group is computed again."""
+    years = counts.groupBy("session_id", "content_hash").agg(F.min("year").alias("_first"), F.max("year").alias("_last"), F.count("year").alias("_n"))
+    found = groups.join(years, ["session_id", "content_hash"], "left")
+    own = F.col("_n").isNotNull()
+    new = {"first_year": F.col("_first"), "last_year": F.col("_last"), "n_years": F.col("_n"), "year_span": F.coalesce(F.col("_last") - F.col("_first"), F.lit(0))}
+    return found.withColumns({c: F.when(own, x).otherwise(F.col(c)) for c, x in new.items()}).drop("_first", "_last", "_n")
+
+
 def occurrences(questions: DataFrame, groups: DataFrame) -> DataFrame:
     """One row a question with its group."""
     return questions.join(groups.select("session_id", "content_hash"), ["session_id", "content_hash"]).select("session_id", "content_hash", "paper_id", "ordinal", "year", "marks")

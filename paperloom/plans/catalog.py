@@ -89,6 +89,19 @@ def a6(spark, sf):
     return I.assembled(I.routed(E.page_texts(spark, sf)))
 
 
+@query(
+    "a1_a4_paper_files",
+    "SELECT 'Doc ' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' ELSE '.pdf.zip' END AS filename, (strlen(coalesce(text, '')) + 1)::BIGINT AS length, doc_id % 4 < 2 AS accepted, CASE WHEN doc_id % 4 < 2 THEN sha256(coalesce(text, '') || chr(10)) END AS content_hash FROM documents",
+)
+def a1_files(spark, sf):
+    """A folder of files of several kinds, written from the documents and read as bytes."""
+    path = W.new_folder(spark, "uploads")
+    kind = F.when(F.col("doc_id") % 4 == 0, ".pdf").when(F.col("doc_id") % 4 == 1, ".PDF").when(F.col("doc_id") % 4 == 2, ".docx").otherwise(".pdf.zip")
+    docs = E.table(spark, sf, "documents").select(F.format_string("Doc %d%s", "doc_id", kind).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("name").text(path)
+    return W.paper_files(spark, path).drop("path")
+
+
 # rendered papers must read back as the rows they came from; part papers (number 3n) ask two parts a question
 _MAINS = "(CASE WHEN paper_id % 3 = 0 THEN (ordinal + 1) // 2 ELSE ordinal END)::BIGINT"
 _SECTION = "CASE WHEN paper_id % 2 <> 0 THEN NULL WHEN ordinal < 3 THEN 'SECTION A' ELSE 'SECTION B - Long Answer Questions' END"
@@ -489,6 +502,19 @@ def g2(spark, sf):
     return B.exact_groups(_questions(spark, sf)).select("session_id", "content_hash", "occurrences")
 
 
+@query(
+    "f5_incremental_years",
+    f"{X.QUESTIONS}, nq AS (SELECT * REPLACE (CASE WHEN paper_id % 4 = 0 THEN 2022 WHEN paper_id % 17 = 0 THEN 1995 ELSE year END AS year) FROM q) SELECT session_id, content_hash, count(*) AS occurrences, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years, coalesce(max(year) - min(year), 0) AS year_span FROM nq GROUP BY session_id, content_hash",
+)
+def f5_incremental(spark, sf):
+    """Groups after years were given to papers, from the groups before and the papers' own questions."""
+    qs = _questions(spark, sf)
+    groups, counts = cut(B.exact_groups(qs)), B.year_counts(qs)
+    given = E.papers(spark, sf).select("paper_id", F.when(F.col("paper_id") % 4 == 0, 2022).when(F.col("paper_id") % 17 == 0, 1995).alias("year")).filter("year is not null")
+    now = B.restated_years(groups, B.changed_counts(counts, cut(B.year_changes(qs, given))))
+    return now.select("session_id", "content_hash", "occurrences", "first_year", "last_year", "n_years", "year_span")
+
+
 @query("g3_canonical_wording", f"{X.GROUPS} SELECT session_id, content_hash, canonical_text FROM g")
 def g3(spark, sf):
     return B.exact_groups(_questions(spark, sf)).select("session_id", "content_hash", "canonical_text")
@@ -514,6 +540,16 @@ def h1(spark, sf):
     return H.similar_pairs(_groups(spark, sf), H.token_jaccard, 0.6, bound=None, index=H.JACCARD_INDEX)
 
 
+_WORDS = "list_filter(string_split(lower(canonical_text), ' '), lambda x: x <> '')"
+_TFIDF = f"""{X.GROUPS}, {X.IX}, wd AS (SELECT session_id, idx, unnest({_WORDS}) AS t FROM ix), tf AS (SELECT session_id, idx, t, count(*) AS tf FROM wd GROUP BY ALL), df AS (SELECT session_id, t, count(*) AS df FROM tf GROUP BY ALL), sz AS (SELECT session_id, count(*) AS groups FROM ix GROUP BY session_id),
+    wt AS (SELECT tf.session_id, idx, tf.t, tf * (ln((1 + groups) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.session_id = df.session_id AND tf.t = df.t JOIN sz ON sz.session_id = tf.session_id), un AS (SELECT session_id, idx, t, w / sqrt(sum(w * w) OVER (PARTITION BY session_id, idx)) AS w FROM wt)"""
+
+
+@query("h1_tfidf_scorer", f"{_TFIDF} SELECT a.session_id, a.idx AS i, b.idx AS j, round(sum(a.w * b.w), 6) AS score FROM un a JOIN un b ON a.session_id = b.session_id AND a.t = b.t AND a.idx < b.idx GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8")
+def h1_tfidf(spark, sf):
+    return H.tfidf_pairs(_groups(spark, sf), 0.8).withColumn("score", F.round("score", 6))
+
+
 @query(
     "h2_token_set_scores",
     f"{X.GROUPS}, {X.IX}, nx AS (SELECT a.session_id, a.idx AS i, b.idx AS j, least(a.canonical_text, b.canonical_text) AS x, greatest(a.canonical_text, b.canonical_text) AS y FROM ix a JOIN ix b ON a.session_id = b.session_id AND b.idx = a.idx + 1), want AS (SELECT x, y FROM nx), {X.SC} SELECT session_id, i, j, round(score, 9) AS score FROM nx JOIN sc USING (x, y)",
