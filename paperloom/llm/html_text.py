@@ -1,9 +1,9 @@
 """Main text of web pages by two passes of block rules (operator 2).
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by link density, length and the density of function words; short
-blocks and those in between stay open. The second pass gives each open block the label of its nearest decided neighbour. Markup only sets what the
-rules start from: elements that never hold main text go, where a page marks an article the blocks outside it go and its ends count as decided good
-neighbours, and names of classes count only as long as they leave some text.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link density, length, the density of function words and the wording of notices; short
+blocks and those in between stay open. The second pass gives each open block the label of its nearest decided neighbour. The rules
+are the same inside an article element and without one. Markup sets what they start from: elements that never hold main text go, where a page marks an
+article the blocks outside it go, and names of classes count only as long as they leave some text.
 """
 
 from __future__ import annotations
@@ -51,9 +51,22 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+#: Beginnings and ends of a name's word that tell as much as the whole word.
+_NAME_ENDS = ("comment", "comments", "commentlist", "cookie", "cookies", "advert", "advertisement", "sidebar", "newsletter", "breadcrumb", "breadcrumbs", "sponsored")
+#: Short blocks that say what they are.
+_NOTICE = re.compile(
+    r"(?:advertisements?|sponsored(?: content| links?)?|promoted(?: content)?|anzeige|publicité|publicidad|annonce)[\s.:!]*\Z"
+    r"|share (?:this|on|via|with)\b|(?:tweet|share|print|email)(?:[\s|,/·•-]+(?:tweet|share|print|email|facebook|twitter|linkedin|whatsapp|pinterest|reddit))+[\s.]*\Z"
+    r"|(?:we|this (?:web)?site|our (?:web)?site|this page)(?: and our partners)? uses? cookies\b|by (?:continuing|using|browsing)\b.{0,80}\bcookies\b|accept (?:all )?cookies\b"
+    r"|wir verwenden cookies\b|nous utilisons des cookies\b|utilizamos cookies\b"
+    r"|(?:subscribe to|sign up for) (?:our|the) newsletter\b|(?:leave|post|write) a (?:comment|reply)\b|\d+ comments?[\s.:]*\Z",
+    re.I,
+)
 #: Parts of a name that say what a box has or lacks, not what it is.
 _ABOUT = frozenset("no non not without with has have is hide".split())
 _WORD = re.compile(r"\w+")
+#: Marks of sentences, lists and tables.
+_MARKS = re.compile(r"[.,;:!?|/()•·…。、，；：！？]")
 
 
 @dataclass(frozen=True)
@@ -62,6 +75,8 @@ class Rules:
 
     short: int = 70  # characters below which a block is left open
     links: float = 0.33  # share of characters in links above which it is bad
+    some_links: float = 0.1  # share above which it is bad if it has few function words; without any mark it is, too
+    notice: int = 160  # characters up to which a block may be a notice by its wording
     stop_good: float = 0.25  # share of function words from which a block is good
     stop_open: float = 0.12  # share from which it is left open
     unspaced: float = 0.3  # share of characters of unspaced scripts from which characters count instead of words
@@ -83,7 +98,8 @@ def _is_named(attributes: str) -> bool:
     for v in _NAMED.finditer(attributes):
         for name in (v[1] or v[2] or v[3] or "").lower().split():
             parts = _NAME_PART.findall(name)
-            if not APART_NAMES.isdisjoint(parts) and _ABOUT.isdisjoint(parts):
+            apart = not APART_NAMES.isdisjoint(parts) or any(p.startswith(_NAME_ENDS) or p.endswith(_NAME_ENDS) for p in parts)
+            if apart and _ABOUT.isdisjoint(parts):
                 return True
     return False
 
@@ -165,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def first_pass(blocks: list[Block], rules: Rules = Rules()) -> list[bool | None]:
-    """Good, bad or open, by link density, length and density of function words.
+    """Good, bad or open, by link density, length, density of function words and the wording of notices.
 
     A page none of whose longer blocks has function words of the lists is in another language; there length and links decide. If no block
     is decided at all, as on a page of short blocks, those without links are good.
@@ -173,7 +189,7 @@ def first_pass(blocks: list[Block], rules: Rules = Rules()) -> list[bool | None]
     labels: list[bool | None] = []
     found = False
     for b in blocks:
-        if b.links > rules.links:
+        if b.links > rules.links or (len(b.text) <= rules.notice and _NOTICE.match(b.text)):
             labels.append(False)
             continue
         odd = len(UNSPACED.findall(b.text))
@@ -186,7 +202,9 @@ def first_pass(blocks: list[Block], rules: Rules = Rules()) -> list[bool | None]
             labels.append(None)
             continue
         found = found or density >= low
-        labels.append(True if density >= good else None if density >= low or b.article else False)
+        # tables and lists have few function words as well, so links or the want of any mark have to speak against a block, too
+        against = b.links > rules.some_links or not _MARKS.search(b.text)
+        labels.append(True if density >= good else False if density < low and against else None)
     if not found:
         longer = [b.links <= rules.links and len(b.text) >= rules.short for b in blocks]
         labels = [True if x else label for x, label in zip(longer, labels, strict=True)]
@@ -196,19 +214,19 @@ def first_pass(blocks: list[Block], rules: Rules = Rules()) -> list[bool | None]
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Open blocks get the label of the nearest decided neighbour within the page or their article. The ends of an article are good neighbours, those of a page bad ones;
-    between a good and a bad one as near, a block of an article is good and another one is bad."""
+    """Open blocks get the label of the nearest decided neighbour within the page or their article. Between a good and a bad one as near, a block of an article is
+    good and another one is bad. Where nothing is decided an article is good."""
     n = len(blocks)
 
-    def nearest(order: range, step: int) -> list[tuple[int, bool]]:
-        out: list[tuple[int, bool]] = [(0, False)] * n
-        last = (0, False)
+    def nearest(order: range, step: int) -> list[tuple[int, bool | None]]:
+        out: list[tuple[int, bool | None]] = [(0, None)] * n
+        last: tuple[int, bool | None] = (0, None)
         for i in order:
             other = i - step
             if not 0 <= other < n or blocks[other].article != blocks[i].article:
-                last = (other, blocks[i].article > 0)
+                last = (other, None)
             if labels[i] is not None:
-                last = (i, bool(labels[i]))
+                last = (i, labels[i])
             out[i] = last
         return out
 
@@ -216,7 +234,11 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     out = []
     for i, b in enumerate(blocks):
         (p, left), (q, right) = before[i], after[i]
-        out.append(left if left == right or i - p < q - i else right if q - i < i - p else b.article > 0)
+        if left is None or right is None or left == right:
+            label = right if right is not None else left
+        else:
+            label = left if i - p < q - i else right if q - i < i - p else None
+        out.append(b.article > 0 if label is None else label)
     return out
 
 

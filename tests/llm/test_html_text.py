@@ -1,3 +1,4 @@
+from paperloom.llm import html_text
 from paperloom.llm.html_text import blocks_of, extract, first_pass, main_text
 from paperloom.llm.queries import QUERIES
 
@@ -27,6 +28,40 @@ def test_blocks_inside_an_article_are_decided_too():
     assert [b.text for b, x in zip(blocks_of(page), first_pass(blocks_of(page))) if x is None] == ["Cats", "More", "Brief."]
 
 
+def test_first_pass_decides_with_and_without_an_article(monkeypatch):
+    long = "The cat was on the mat and it was not what they had said it would be, so we left."
+    links = "".join(f"<li><a href=/{i}>Other news {i}</a></li>" for i in range(4))
+    table = "red | green, blue | " + "grey " * 29 + "grey"
+    body = f"<h1>Cats</h1><p>{long}</p><p>Brief.</p><p>{long}</p><p>{'zxqv ' * 60}</p><p>{long}</p><ul>{links}<li>More</li>{links}</ul><p>{long}</p><p>{table}</p><p>{long}</p>"
+    want = f"Cats {long} Brief. {long} {long} {long} {table} {long}"
+    pages = [f"<article>{body}</article>", f"<body><div>{body}</div></body>"]
+    assert [main_text(p) for p in pages] == [want, want]
+    monkeypatch.setattr(html_text, "first_pass", lambda blocks, rules: [None] * len(blocks))
+    assert want not in [main_text(p) for p in pages]
+
+
+def test_notices_by_their_wording():
+    long = "The cat was on the mat and it was not what they had said it would be, so we left."
+    for notice in ("Advertisement", "We use cookies to make this site better. Accept all cookies", "Share this on Facebook", "Tweet | Share | Print", "Sponsored content", "12 comments", "Subscribe to our newsletter"):
+        assert main_text(f"<article><p>{long}</p><p>{notice}</p><p>{long}</p></article>") == f"{long} {long}"
+        assert main_text(f"<p>{long}</p><p>{notice}</p><p>{long}</p>") == f"{long} {long}"
+    assert main_text(f"<article><p>{long}</p><p>Advertisement was new then.</p><p>Share prices fell.</p></article>") == f"{long} Advertisement was new then. Share prices fell."
+    for name in ("commentlist", "usercomments", "comment-17", "cookiebar", "topadvert"):
+        assert main_text(f'<article><p>{long}</p><div class="{name}"><p>{long}</p></div></article>') == long
+    assert main_text(f'<article><p class="commentary">{long}</p></article>') == long
+
+
+def test_pages_without_their_article_tags(spark, sf):
+    """The rules alone: at least 95 % of the text is kept, and nothing else, on four of five pages."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    fit = 0
+    for page in pages:
+        bare, whole = main_text(page.replace("<article>", "").replace("</article>", "")), main_text(page)
+        kept, rest = bare.split(), iter(whole.split())
+        fit += len(bare) >= 0.95 * len(whole) and all(w in rest for w in kept)
+    assert fit >= 0.8 * len(pages)
+
+
 def test_adverts_and_notices_in_any_element():
     assert main_text('<article><p>One.</p><p class="advert">Buy it.</p><p hidden>Not seen.<p>Two<span class="cookie-notice"> we <span>bake</span> them</span>.</article>') == "One. Two."
     assert main_text("<article><p>a<b aria-hidden=true>x</b>b</p><div class=sidebar><p>no</p></div>c</article>") == "ab c"
