@@ -54,8 +54,8 @@ REPAIRS = (
     (r"(?i)^\s*([ivx]+)[,:](?=\s|$)", "$1."),
     (r"(?i)^\s*(Q\d{1,3}):(?=\s|$)", "$1."),
     (r"\b(Question|Q)\s*[lL|]\b", "$1 1"),
-    (r"(?i)\b([1-9])o\s*(?:marks?|m)\b", "${1}0 marks"),
-    (r"([(\[]\s*\d*)[Oo](\d*\s*[)\]])", "${1}0$2"),
+    (r"(?i)\b([1-9])o\s*(?:marks?|m)\b", r"$1\0 marks"),
+    (r"([(\[]\s*\d*)[Oo](\d*\s*[)\]])", r"$1\0$2"),
     (r"^\s*l([.):,])", "1$1"),
     (r"^\s*(\d+)(?:st|nd|rd|th|[sS])(?=\s|$)", "$1."),
     (r"^\s*([ivxIVX]+)[sS](?=\s|$)", "$1."),
@@ -65,7 +65,7 @@ REPAIRS = (
 def repaired_line(line: Column) -> Column:
     """B2: numbering and marks that scanning has garbled."""
     for pattern, to in REPAIRS:
-        line = F.regexp_replace(line, pattern, to.replace("${1}0", "$1\\0"))
+        line = F.regexp_replace(line, pattern, to)
     return line
 
 

@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from paperloom.functions.text import BANNERS, GENERIC_INSTRUCTIONS, INSTRUCTIONS, NOISE_STARTS
-from paperloom.functions.validation import ABBREVIATIONS, SHORT_VERBS, TWO_WORD_VERBS, VERBS
 from paperloom.sources.exam import CHAPTERS, CURRENT_YEAR
 
+# Fixed values, spelled out here once more, so that a wrong entry on either side shows.
+BANNERS = (
+    "nitr", "national institute of technology rourkela", "best of luck", "all the best", "time allowed", "max marks", "watermark", "confidential",
+)
+NOISE_STARTS = r"page\s*[-:\s]*\d+(\s*(of|/)\s*\d+)?\s*$|pg\.?\s*\d+\s*$|registration\s*no|roll\s*no|sem(ester)?\s*exam"
+INSTRUCTIONS = (
+    r"answer\s+all\s+(the\s+)?questions", r"answer\s+any\s+(four|three|five|two|one|six)\s+questions", r"attempt\s+any", r"attempt\s+all", r"full\s+marks", r"time\s*:",
+    r"best\s+of\s+luck", r"all\s+the\s+best", r"figures\s+in\s+the\s+margin", r"candidates\s+are\s+required", r"maximum\s+marks", r"questions\s+carry\s+equal\s+marks",
+    r"write\s+answers\s+in\s+your\s+own",
+)
+GENERIC_INSTRUCTIONS = (
+    r"\b(answer|attempt)\s+(all|any|the\s+following|questions)\b", r"^\s*(answer|attempt|choose|select)\s+(the\s+following|any|all|questions|one|two|three|four|five)\b",
+    r"^\s*(answer|attempt)\s*$",
+)
+VERBS = (
+    "explain", "describe", "discuss", "compare", "differentiate", "analyze", "evaluate", "design", "calculate", "derive", "illustrate", "justify", "what", "why", "how",
+    "when", "consider", "assume", "find", "determine", "show", "prove", "solve", "define", "write", "state", "list", "sketch", "verify", "identify", "trace", "compute",
+    "formulate", "construct", "give", "elaborate", "distinguish", "summarize", "obtain",
+)
+SHORT_VERBS = (
+    "define", "explain", "list", "state", "sketch",
+)
+TWO_WORD_VERBS = (
+    "define", "explain", "list", "state", "sketch", "write",
+)
+ABBREVIATIONS = (
+    "cpu", "sram", "dram", "os", "fifo", "lru", "pcb", "mmu", "tlb", "i/o", "ram", "rom", "dma", "lan", "wan", "ip", "tcp", "udp", "sql", "xml", "dbms", "api", "acid",
+    "oop", "uml", "dns", "http", "https", "ftp", "bjt", "fet", "op-amp", "alu", "asic", "fpga", "risc", "cisc", "cs",
+)
+
 EDGE_L, EDGE_R = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 
 
@@ -98,13 +126,12 @@ REPAIR = [
     (r"(?i)^\s*([ivx]+)[,:](\s|$)", r"\1.\2"),
     (r"(?i)^\s*(Q\d{1,3}):(\s|$)", r"\1.\2"),
     (r"\b(Question|Q)\s*[lL|]\b", r"\1 1"),
-    (r"(?i)\b([1-9])o\s*(?:marks?|m)\b", r"\g0"),
-    (r"([(\[]\s*\d*)[Oo](\d*\s*[)\]])", r"\g1"),
+    (r"(?i)\b([1-9])o\s*(?:marks?|m)\b", r"\10 marks"),
+    (r"([(\[]\s*\d*)[Oo](\d*\s*[)\]])", r"\10\2"),
     (r"^\s*l([.):,])", r"1\1"),
     (r"^\s*(\d+)(?:st|nd|rd|th|[sS])(\s|$)", r"\1.\2"),
     (r"^\s*([ivxIVX]+)[sS](\s|$)", r"\1.\2"),
 ]
-REPAIR[4], REPAIR[5] = (REPAIR[4][0], r"\10 marks"), (REPAIR[5][0], r"\10\2")
 
 
 def repaired(line: str) -> str:
