@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from paperloom.operators.candidates import by_index, jaccard_features, jaccard_meets, token_set_features, token_set_meets, tokens
-from paperloom.sources.checkpoints import broadcast_if_small, cut
-from paperloom.sources.files import files_of, new_folder
+from paperloom.sources.checkpoints import BROADCAST_BYTES, broadcast_if_small, cut, new_folder
+from paperloom.sources.files import files_of
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -183,11 +183,32 @@ def similar_pairs(groups: DataFrame, scorer: Scorer = token_set, threshold: floa
     bound and index belong to the scorer: bound prunes before it, index makes the candidates of large sessions; None for scorers without.
     """
     words, placed = _numbered(groups)
-    pairs = candidate_pairs(cut(placed), words, threshold, index)
+    placed = cut(placed)
+    n, met = words.count(), placed.groupBy("session_id").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    if n * (n - 1) / 2 <= (met or 0):
+        return _by_wording(words, placed, scorer, threshold, bound, index)
+    pairs = candidate_pairs(placed, words, threshold, index)
     scores = cut(scored_pairs(pairs.select("a", "b").distinct(), words, scorer, threshold, bound))
     return pairs.join(broadcast_if_small(scores, 40), ["a", "b"]).select("session_id", "i", "j", "score")
 
 
+def _by_wording(words: DataFrame, placed: DataFrame, scorer: Scorer, threshold: float, bound: Scorer | None, index: tuple | None) -> DataFrame:
+    """As similar_pairs, where there are fewer pairs of wordings than sessions have pairs of groups: wordings are scored as if they were one session, however many sessions have them.
+
+    Groups then meet those of their session whose wording is known to be similar; no other pair is written or sent.
+    """
+    ids = words.select(F.lit(0).alias("session_id"), F.col("w").alias("idx"), "w")
+    alone = words.select(F.col("w").alias("a"), F.col("w").alias("b"))
+    scores = cut(scored_pairs(candidate_pairs(ids, words, threshold, index).select("a", "b").union(alone).distinct(), words, scorer, threshold, bound))
+    sizes = placed.groupBy("session_id").count().agg(F.max("count")).first()[0]
+    if sizes <= SMALL and scores.count() * 40 <= BROADCAST_BYTES:
+        return _all_of_small(placed).join(F.broadcast(scores), ["a", "b"]).select("session_id", "i", "j", "score")
+    one = placed.select("session_id", F.col("idx").alias("p"), F.col("w").alias("a")).join(broadcast_if_small(scores, 40), "a")
+    two = placed.select("session_id", F.col("idx").alias("q"), F.col("w").alias("b"))
+    both = one.join(two, ["session_id", "b"]).filter((F.col("p") < F.col("q")) | ((F.col("a") != F.col("b")) & (F.col("p") > F.col("q"))))
+    return both.select("session_id", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "score")
+
+
 def tfidf_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
     """H1: session_id, i, j and score of groups of a session whose tf-idf vectors have a cosine at or above the threshold (above 0).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Under the folder that executors share; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/data"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, and still there when an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Written to the folder that executors share and read again: computed once, and still there when an executor is lost.
+
+    Columns that repeat few values (wordings and their hashes) take a few bits a row, where a checkpoint of rows holds them all in full.
+    """
+    path = new_folder(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.sources.checkpoints import shared_folder
+from paperloom.sources.checkpoints import new_folder
 
 # Headers of the export.
 CSV_HEADERS = {
@@ -21,16 +21,6 @@ CSV_HEADERS = {
 }
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Under the folder that executors share; it goes when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return f"{path}/data"
-
-
 def files_of(spark: SparkSession, path: str) -> bool:
     """Whether anything has been written there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

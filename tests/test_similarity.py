@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import bank, similarity
+from paperloom.sources import checkpoints
 
 SESSION = [
     (1, 2023, "Explain Round Robin CPU scheduling algorithm with an example", 10),
@@ -189,3 +190,33 @@ def test_odd_sessions(spark):
     topics = bank.topics(contexts)
     weight = {r.session_id: (r.occurrences, r.marks) for r in bank.topic_weightage(bank.classified(groups, topics), topics).collect()}
     assert weight == {1: (3, 10), 2: (0, 0)}
+
+
+@pytest.mark.parametrize("small", [256, 3])
+def test_wordings_of_many_sessions_are_scored_once(spark, monkeypatch, small):
+    """Sessions with the same few wordings: wordings meet once, and each session has the pairs that it had by itself."""
+    monkeypatch.setattr(similarity, "SMALL", small)
+    texts = ["explain the red bolt", "explain the red bolts", "bolt red the explain", "describe a cold ring", "describe the cold ring", "list all gears"]
+    rows = [(s, k, texts[(k + s) % len(texts)]) for s in range(12) for k in range(3 + s % 4)]
+    groups = spark.createDataFrame(rows, "session_id long, idx int, canonical_text string")
+    seen, scored = [], similarity.scored_pairs
+    monkeypatch.setattr(similarity, "scored_pairs", lambda pairs, *more: seen.append(pairs.count()) or scored(pairs, *more))
+    got = sorted((r.session_id, r.i, r.j, round(r.score, 9)) for r in similarity.similar_pairs(groups).collect())
+    want = []
+    for s in range(12):
+        mine = [(k, t) for x, k, t in rows if x == s]
+        want += [(s, i, j, round(token_set_score(min(x, y), max(x, y)), 9)) for i, x in mine for j, y in mine if i < j and token_set_score(x, y) >= 0.84]
+    assert got == sorted(want) and got
+    assert seen[0] <= len(texts) * (len(texts) + 1) // 2
+
+
+def test_cut_holds_repeated_values_once(spark):
+    """What is written for a result that is read again grows by bits a row where wordings and hashes repeat."""
+    rows = spark.range(50_000, numPartitions=1).select(F.sha2((F.col("id") % 7).cast("string"), 256).alias("content_hash"), F.concat(F.lit("Explain the bolt "), F.col("id") % 7).alias("text"))
+    found = checkpoints.cut(rows)
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoints.shared_folder(spark))
+    before = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    again = checkpoints.cut(rows)
+    after = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    assert found.count() == again.count() == 50_000 and found.schema == rows.schema
+    assert after - before < 50_000 * 10
