@@ -58,7 +58,8 @@ def reports(pages: DataFrame) -> DataFrame:
     """
     whole = cut(intake.assembled(intake.routed(pages)).select("paper_id", "full_text", "method", "page_count"))
     papers = whole.select("paper_id", F.col("full_text").alias("text"))
-    node_rows, rows = segmentation.parsed(papers)
+    rows = cut(segmentation.parsed_lines(papers))
+    node_rows = cut(segmentation.nodes(rows))
     inline = rows.filter("warning is not null").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "warning"))).alias("inline"))
     few = segmentation.sanity_warnings(whole, node_rows).select("paper_id", "questions", F.col("warnings").alias("few"))
     gaps = segmentation.missing_mains(rows).withColumnRenamed("warning", "gap")
