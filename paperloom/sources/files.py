@@ -30,7 +30,7 @@ def files_of(spark: SparkSession, path: str) -> bool:
 def paper_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """A1, A4: path, filename, length, accepted (the name ends in the suffix, in any case) and content_hash (SHA-256 of the bytes; null for rejects) of every file below a folder.
 
-    A file that a writer of Spark's has named goes by its folder's name, and of `name=value` the value counts. Bytes are hashed where they are read, and those of rejects aren't read.
+    A file that a writer of Spark's has named goes by its folder's name, and of `name=value` the value counts. Files are listed and opened once; bytes are hashed where they are read, and neither sent nor joined.
     Files without any bytes hold no paper; Spark's source passes over them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -38,11 +38,8 @@ def paper_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataF
     last = F.regexp_extract(F.regexp_replace("path", r"/part-[^/]*$", ""), r"([^/]*)$", 1)
     # values in names of folders are escaped, other names aren't
     name = F.when(value != "", F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))).otherwise(last)
-    named = lambda rows: rows.withColumn("filename", name).withColumn("accepted", F.lower("filename").endswith(suffix))
-    listed = named(files.load(folder).select("path", "length"))
-    bytes_of = named(files.load(folder).select("path", "content")).filter("accepted")
-    hashed = bytes_of.select("path", F.sha2("content", 256).alias("content_hash"))
-    return listed.join(hashed, "path", "left").select("path", "filename", "length", "accepted", "content_hash")
+    found = files.load(folder).select("path", "length", "content").withColumn("filename", name).withColumn("accepted", F.lower("filename").endswith(suffix))
+    return found.select("path", "filename", "length", "accepted", F.when(F.col("accepted"), F.sha2("content", 256)).alias("content_hash"))
 
 
 def export_csv(bank: DataFrame, path: str) -> None:

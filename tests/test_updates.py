@@ -72,3 +72,13 @@ def test_tfidf_by_a_plain_loop(spark, threshold):
     got = {(r.session_id, r.i, r.j): r.score for r in similarity.tfidf_pairs(groups, threshold).collect()}
     assert got == pytest.approx(want)
     assert similarity.tfidf_pairs(groups.filter(F.lit(False)), threshold).count() == 0
+
+
+def test_paper_files_are_read_in_one_pass(spark, tmp_path):
+    """One scan of the folder: nothing is joined or shuffled, rejects have no hash."""
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "b.txt").write_bytes(b"two")
+    found = paper_files(spark, str(tmp_path))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Exchange" not in text
+    assert sorted((r.filename, r.accepted, r.content_hash is None) for r in found.collect()) == [("a.pdf", True, False), ("b.txt", False, True)]
