@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Banner texts that mark a line as noise; callers may pass their own.
@@ -42,10 +42,26 @@ MARKS_BRACKETED = r"(?i)([(\[]\s*(\d+)\s*(?:marks?|m)?\s*[)\]])"
 MARKS_BARE = r"(?i)\b(\d+)\s*(?:marks?|m)\b"
 
 
+def at_start(text: Column | str, pattern: str, group: int = 0) -> Column:
+    """What a pattern that begins with ^ takes of a text, or one of its groups; empty if nothing. An empty match at the start ends the search there, where it would go on through the text."""
+    return F.regexp_extract(text, f"{pattern}|^", group)
+
+
 def is_noise_line(line: Column, banners: tuple[str, ...] = BANNERS) -> Column:
     """B1: footers, banners, roll numbers and the like."""
-    anywhere = "|".join(r"\s+".join(b.split()) for b in banners)
-    return F.trim(line).rlike(rf"(?i)^\s*({NOISE_STARTS})" + (rf"|{anywhere}" if banners else ""))
+    line = F.trim(line)
+    noise = at_start(line, rf"(?i)^\s*({NOISE_STARTS})") != ""
+    if not banners:
+        return noise
+    anywhere = line.rlike("(?i)" + "|".join(r"\s+".join(b.split()) for b in banners))
+    firsts = {b.split()[0].lower() for b in banners if b.strip()}
+    if len(firsts) == len({b.split()[0] for b in banners if b.strip()}) and all(b.strip() for b in banners) and all(w.isascii() and w.isalnum() for w in firsts):
+        # a line without the first word of any banner has none of them
+        worded = F.lit(False)
+        for word in sorted(firsts):
+            worded = worded | F.lower(line).contains(word)
+        anywhere = worded & anywhere
+    return noise | anywhere
 
 
 # Repairs in the order in which they apply.
@@ -62,21 +78,28 @@ REPAIRS = (
 )
 
 
+# What a line has that any of the repairs can match: at its start, or anywhere.
+REPAIRED_START, REPAIRED = r"^\s*(?:[0-9ivxIVX]+[,:sS]|\d+(?:st|nd|rd|th)|[qQ]\d+:|l[.):,])", r"[Qn]\s*[lL|]|[1-9][oO]|[(\[]\s*\d*[Oo]"
+
+
 def repaired_line(line: Column) -> Column:
-    """B2: numbering and marks that scanning has garbled."""
+    """B2: numbering and marks that scanning has garbled. Most lines need no repair, which two patterns tell; the others go through all repairs."""
+    repaired = line
     for pattern, to in REPAIRS:
-        line = F.regexp_replace(line, pattern, to)
-    return line
+        repaired = F.regexp_replace(repaired, pattern, to)
+    return F.when((at_start(line, REPAIRED_START) != "") | line.rlike(REPAIRED), repaired).otherwise(line)
 
 
 def cleaned_question(text: Column) -> Column:
     """One line, without stray marks, repeated punctuation or double spaces; null is empty."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\n\r]", " ")
+    given = text = F.translate(F.coalesce(text, F.lit("")), "\n\r", "  ")
     text = F.regexp_replace(text, r"\s+[\\|_~^]\s+", " ")
     text = F.regexp_replace(text, r"^[\\|_~^]\s+|\s+[\\|_~^]$", " ")
     for mark, least in ((".", 3), ("?", 2), ("!", 2), ("-", 3)):
         text = F.regexp_replace(text, rf"[{mark}]{{{least},}}", mark)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(text, r"\s+", " ")
+    # without stray marks, repeats and white space other than single spaces there is nothing to clean
+    return F.trim(F.when(given.rlike(r"[\\|_~^\t\x0B\f]|([.?!\- ])\1"), text).otherwise(given))
 
 
 def normal_number(number: Column) -> Column:
@@ -108,11 +131,32 @@ def marks(text: Column) -> Column:
     return F.struct(value.alias("value"), F.when(product != "", a).alias("a"), F.when(product != "", b).alias("b"), pattern.alias("pattern"), rest.alias("rest"))
 
 
+def with_marks(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """B7 as a column of rows: what marks gives, by steps that are columns of their own, so each pattern is sought once, and only where those before it aren't found."""
+    steps = [f"_{name}_{k}" for k in range(3)]
+    # no pattern is without a digit
+    rows = rows.withColumn(steps[0], F.when(F.col(text).rlike(r"[0-9]"), F.regexp_extract(text, MARKS_PRODUCT, 1)))
+    for before, now, pattern, group in ((steps[0], steps[1], MARKS_BRACKETED, 1), (steps[1], steps[2], MARKS_BARE, 0)):
+        rows = rows.withColumn(now, F.when(F.col(before) == "", F.regexp_extract(text, pattern, group)).otherwise(F.col(before)))
+    # a pattern found reads by itself as it does in its text
+    found = F.nullif(F.col(steps[2]), F.lit(""))
+    own = marks(found)
+    rest = F.when(found.isNull(), F.col(text)).otherwise(F.replace(F.col(text), found, F.lit("")))
+    return rows.withColumn(name, F.struct(own["value"].alias("value"), own["a"].alias("a"), own["b"].alias("b"), found.alias("pattern"), rest.alias("rest"))).drop(*steps)
+
+
+#: Each instruction, generic ones included, has one of these words; texts without any aren't matched with the patterns.
+INSTRUCTION_WORDS = ("answer", "attempt", "full", "time", "best", "figures", "candidates", "maximum", "questions", "choose", "select")
+
+
 def is_instruction(text: Column) -> Column:
     """Generic "answer/attempt any ..." texts, and blank ones."""
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     bounded = "|".join(rf"\b{p}\b" for p in INSTRUCTIONS)
-    return (low == "") | low.rlike("(?U)" + bounded + "|" + "|".join(GENERIC_INSTRUCTIONS))
+    worded = F.lit(False)
+    for word in INSTRUCTION_WORDS:
+        worded = worded | low.contains(word)
+    return (low == "") | (worded & low.rlike("(?U)" + bounded + "|" + "|".join(GENERIC_INSTRUCTIONS)))
 
 
 def marker(label: Column) -> Column:

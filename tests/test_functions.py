@@ -121,3 +121,39 @@ def test_noisy_paper(spark):
     assert [x[2] for x in found][:3] == [10.0, 10.0, 20.0]
     assert {x[3] for x in found} == {"SECTION A - Short Answer Questions", "SECTION B - Long Answer Questions"}
     assert missing == ["Warning: Missing question Q3."]
+
+
+ODD = ["", " ", "Q1. Explain the ring. (5 marks)", "[2 x 7] a (3) b 4 marks", "two (3m) and [2x7]", "10 m", "x5 marksy", "see (4 ) or 5m.", "1o marks (1O)", "l. one", "Q12: a", "iv, b", "2nd c", "3s d", "xs e", "Question l f", "Ql g",
+    "a  b\tc\n\rd", "a | b ~ c", "_ a ^", "wait... what?? no!! --- yes", "..", "\x0ba\x0c", "Page 2 of 3", " roll no 7", "All  the Best!", "MAX marks 70", "Section exam NITR", "Answer all the questions", "the best of luck to all", "Choose any one", "selects", "time : 3 h"]
+
+
+def test_gates_change_nothing(spark):
+    """Texts that a gate keeps from patterns are as the patterns would leave them."""
+
+    def repaired(x):
+        for pattern, to in T.REPAIRS:
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    def cleaned(x):
+        x = F.regexp_replace(x, r"[\n\r]", " ")
+        x = F.regexp_replace(F.regexp_replace(x, r"\s+[\\|_~^]\s+", " "), r"^[\\|_~^]\s+|\s+[\\|_~^]$", " ")
+        for mark, least in ((".", 3), ("?", 2), ("!", 2), ("-", 3)):
+            x = F.regexp_replace(x, rf"[{mark}]{{{least},}}", mark)
+        return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    noise = lambda x: F.trim(x).rlike(rf"(?i)^\s*({T.NOISE_STARTS})|" + "|".join(r"\s+".join(b.split()) for b in T.BANNERS))
+    for plain, gated in ((repaired, T.repaired_line), (cleaned, T.cleaned_question), (noise, T.is_noise_line)):
+        assert values(spark, ODD, plain) == values(spark, ODD, gated)
+    assert all(any(word in p for word in T.INSTRUCTION_WORDS) for p in T.INSTRUCTIONS)
+    for x in ("answer all", "attempt the following", " choose any", "select one", "answer"):
+        assert values(spark, [x], T.is_instruction) == [True]
+
+
+def test_marks_are_sought_once(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD], "x string").repartition(2).withColumn("n", F.rand())
+    both = T.with_marks(rows.withColumn("y", F.concat("x", F.lit(""))), "y", "m").withColumn("want", T.marks(F.col("y")))
+    assert all(r.m == r.want for r in both.collect())
+    found = T.with_marks(rows, "x", "m").select("m.value", "m.a", "m.b", "m.pattern", "m.rest")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"regexp_extract(x") == 3
