@@ -213,24 +213,33 @@ def tfidf_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
     """H1: session_id, i, j and score of groups of a session whose tf-idf vectors have a cosine at or above the threshold (above 0).
 
     A scorer with statistics of the session: a token's weight is its count times ln((1 + groups) / (1 + groups that have it)) + 1, and vectors have length 1. With tokens
-    rarest first, a pair's first common token stands where the rest of either vector is still as long as the threshold, so pairs meet on those tokens only.
+    rarest first, a pair's first common token stands where the rest of either vector is still as long as the threshold, so pairs meet on those tokens only: in
+    sessions of up to SMALL groups where they lie, in larger ones by a join on the token.
     """
     words = F.array_remove(F.split(F.trim(F.lower("canonical_text")), r"\s+", -1), "")
-    counts = groups.select("session_id", "idx", F.explode(words).alias("t")).groupBy("session_id", "idx", "t").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("session_id", "t").agg(F.count(F.lit(1)).alias("df"))
-    size = groups.groupBy("session_id").agg(F.count(F.lit(1)).alias("groups"))
+    # groups are dealt out by session once, which holds for all windows, groups and the meeting of small sessions
+    dealt = groups.select("session_id", "idx", words.alias("words")).repartition("session_id")
+    session, word = Window.partitionBy("session_id"), Window.partitionBy("session_id", "t")
+    counts = dealt.withColumn("groups", F.count(F.lit(1)).over(session)).select("session_id", "idx", "groups", "words", F.explode(F.array_distinct("words")).alias("t"))
+    counts = counts.select("session_id", "idx", "groups", "t", F.size(F.filter("words", lambda x: x == F.col("t"))).alias("tf")).withColumn("df", F.count(F.lit(1)).over(word))
     weight = F.col("tf") * (F.log((1 + F.col("groups")) / (1 + F.col("df"))) + 1)
     entry = F.struct("df", "t", weight.alias("w"))
-    whole = counts.join(df, ["session_id", "t"]).join(size, "session_id").groupBy("session_id", "idx").agg(F.sort_array(F.collect_list(entry)).alias("v"))
+    whole = counts.groupBy("session_id", "idx").agg(F.first("groups").alias("groups"), F.sort_array(F.collect_list(entry)).alias("v"))
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
     unit = whole.withColumn("long", F.sqrt(square(F.col("v"))))
-    unit = cut(unit.select("session_id", "idx", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["t"].alias("t"), (x["w"] / F.col("long")).alias("w"))).alias("v")))
+    unit = unit.select("session_id", "idx", "groups", F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["t"].alias("t"), (x["w"] / F.col("long")).alias("w"))).alias("v"))
     rest = lambda i: square(F.slice("v", i + 1, F.size("v")))
     early = F.filter(F.transform("v", lambda x, i: F.struct(x["t"].alias("t"), rest(i).alias("rest"))), lambda x: x["rest"] >= threshold * threshold - 1e-9)
-    heads = unit.select("session_id", "idx", F.explode(early).alias("x")).select("session_id", "idx", "x.t")
-    met = heads.withColumnRenamed("idx", "i").join(heads.withColumnRenamed("idx", "j"), ["session_id", "t"]).filter("i < j").select("session_id", "i", "j").distinct()
-    vector = unit.select("session_id", "idx", F.map_from_entries(F.transform("v", lambda x: F.struct(x["t"], x["w"]))).alias("m"))
-    both = met.join(vector.select("session_id", F.col("idx").alias("i"), F.col("m").alias("x")), ["session_id", "i"]).join(vector.select("session_id", F.col("idx").alias("j"), F.col("m").alias("y")), ["session_id", "j"])
+    unit = unit.select("session_id", "idx", "groups", F.transform(early, lambda x: x["t"]).alias("heads"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["t"], x["w"]))).alias("m"))
+    i, j = (unit.select("session_id", F.col("idx").alias(at), F.col("heads").alias(f"heads_{at}"), F.col("m").alias(m), "groups") for at, m in (("i", "x"), ("j", "y")))
+    both = i.filter(F.col("groups") <= SMALL).drop("groups").join(j.filter(F.col("groups") <= SMALL).drop("groups").hint("merge"), "session_id").filter((F.col("i") < F.col("j")) & F.arrays_overlap("heads_i", "heads_j"))
+    both = both.select("session_id", "i", "j", "x", "y")
+    if groups.groupBy("session_id").count().filter(F.col("count") > SMALL).limit(1).count():
+        large = cut(unit.filter(F.col("groups") > SMALL).drop("groups"))
+        heads = large.select("session_id", "idx", F.explode("heads").alias("t"))
+        met = heads.withColumnRenamed("idx", "i").join(heads.withColumnRenamed("idx", "j"), ["session_id", "t"]).filter("i < j").select("session_id", "i", "j").distinct()
+        with_x = met.join(large.select("session_id", F.col("idx").alias("i"), F.col("m").alias("x")), ["session_id", "i"])
+        both = both.unionByName(with_x.join(large.select("session_id", F.col("idx").alias("j"), F.col("m").alias("y")), ["session_id", "j"]))
     score = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
     return both.select("session_id", "i", "j", score.alias("score")).filter(F.col("score") >= threshold)
 

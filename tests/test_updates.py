@@ -74,6 +74,20 @@ def test_tfidf_by_a_plain_loop(spark, threshold):
     assert similarity.tfidf_pairs(groups.filter(F.lit(False)), threshold).count() == 0
 
 
+@pytest.mark.parametrize("small", [256, 5])
+def test_tfidf_deals_groups_out_once(spark, monkeypatch, small):
+    """Sessions up to SMALL meet where they were dealt to, so no vector or pair is shuffled; larger ones give the same pairs."""
+    monkeypatch.setattr(similarity, "SMALL", small)
+    texts = ["the red bolt", "the red bolt the", "red bolt", "a gear", "the gear a", "gear", "bolt gear"]
+    groups = spark.createDataFrame([(s, i, t) for s in (1, 2) for i, t in enumerate(texts[: 7 if s == 1 else 4])], "session_id long, idx int, canonical_text string")
+    found = similarity.tfidf_pairs(groups, 0.7)
+    if small == 256:
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the same one for both sides
+    got = sorted((r.session_id, r.i, r.j, round(r.score, 9)) for r in found.collect())
+    monkeypatch.setattr(similarity, "SMALL", 256)
+    assert got and got == sorted((r.session_id, r.i, r.j, round(r.score, 9)) for r in similarity.tfidf_pairs(groups, 0.7).collect())
+
+
 def test_paper_files_are_read_in_one_pass(spark, tmp_path):
     """One scan of the folder: nothing is joined or shuffled, rejects have no hash."""
     (tmp_path / "a.pdf").write_bytes(b"one")
