@@ -271,11 +271,14 @@ def filtered(bank: DataFrame, level: str | None = None, topic: str | None = None
 def timeline(bank: DataFrame, occurrence_rows: DataFrame, paper_rows: DataFrame) -> DataFrame:
     """For each group the occurrences of its cluster, by year; one row an occurrence.
 
-    Groups meet occurrences on their cluster's id, so no group is asked for by itself.
+    Groups meet occurrences on their cluster's id, so no group is asked for by itself. Occurrences that have their paper's filename with them bring it along;
+    others meet the papers before they are multiplied.
     """
     clusters = bank.select("session_id", "content_hash", F.coalesce("cluster_id", "content_hash").alias("cluster"))
-    inside = occurrence_rows.join(clusters, ["session_id", "content_hash"]).select("session_id", "cluster", "paper_id", "ordinal", "year", "marks")
-    return clusters.join(inside, ["session_id", "cluster"]).join(paper_rows.select("paper_id", "filename"), "paper_id").select("session_id", "content_hash", "filename", "ordinal", "year", "marks")
+    if "filename" not in occurrence_rows.columns:
+        occurrence_rows = occurrence_rows.join(paper_rows.select("paper_id", "filename"), "paper_id")
+    inside = occurrence_rows.join(clusters, ["session_id", "content_hash"]).select("session_id", "cluster", "filename", "ordinal", "year", "marks")
+    return clusters.join(inside, ["session_id", "cluster"]).select("session_id", "content_hash", "filename", "ordinal", "year", "marks")
 
 
 def session_status(paper_rows: DataFrame) -> DataFrame:

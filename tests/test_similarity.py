@@ -220,3 +220,14 @@ def test_cut_holds_repeated_values_once(spark):
     after = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     assert found.count() == again.count() == 50_000 and found.schema == rows.schema
     assert after - before < 50_000 * 10
+
+
+def test_timeline_brings_filenames_along(spark):
+    """Occurrences that have a filename aren't joined to the papers; others give the same rows."""
+    qs = spark.createDataFrame([(1, "x", 7, 1, 2020, 5.0, "a.pdf"), (1, "y", 8, 2, None, None, "b.pdf"), (2, "x", 9, 1, 2021, 1.0, "c.pdf")], "session_id long, content_hash string, paper_id long, ordinal int, year int, marks double, filename string")
+    groups = qs.select("session_id", "content_hash", F.when(F.col("session_id") == 1, "c1").alias("cluster_id")).distinct()
+    papers = qs.select("paper_id", "filename")
+    one, two = bank.timeline(groups, qs, papers), bank.timeline(groups, qs.drop("filename"), papers)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count() == 5
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert (joins(one), joins(two)) == (2, 3)
