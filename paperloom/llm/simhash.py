@@ -190,16 +190,17 @@ def _least_shared(similarity: float, size: int) -> int:
 
 
 def _prefixes(docs: DataFrame, similarity: float, shingle: int, last: np.ndarray) -> DataFrame:
-    """id, size, a hash of the whole set, parities of 64 * PARITIES parts of the set, and the first size - _least_shared + 1 shingles of the set, in the order of their hashes with
+    """id, size, a hash of the whole set, the SimHash fingerprint, parities of 64 * PARITIES parts of the set, and the first size - _least_shared + 1 shingles of the set, in the order of their hashes with
     those in `last` at the end (common: how many of the first are among these): near copies share one of these at least. Texts without words are left out."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             sizes, whole, firsts, common = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.int32)
-            odd = np.zeros((len(texts), PARITIES), np.int64)
+            odd, prints = np.zeros((len(texts), PARITIES), np.int64), np.zeros(len(texts), np.uint64)
             for i, t in enumerate(texts):
                 x = shingle_set(t.encode(), shingle)
+                prints[i] = fingerprint(t.encode()) if len(x) else 0
                 sizes[i], whole[i] = len(x), np.uint64(xxhash.xxh64_intdigest(x.tobytes())).view(np.int64)
                 odd[i] = _parities(x, PARITIES)
                 if len(last) and len(x):
@@ -208,10 +209,10 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int, last: np.ndarray
                     common[i] = max(0, len(x) - _least_shared(similarity, len(x)) + 1 - int((~late).sum()))
                 firsts.append(x[: len(x) - _least_shared(similarity, len(x)) + 1].view(np.int64) if len(x) else x.view(np.int64))
             odds = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), PARITIES).cast(pa.list_(pa.int64()))
-            columns = [part.column(0), pa.array(sizes), pa.array(whole), odds, pa.array(firsts, pa.list_(pa.int64())), pa.array(common)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole", "odd", "first", "common"])
+            columns = [part.column(0), pa.array(sizes), pa.array(whole), pa.array(prints.view(np.int64)), odds, pa.array(firsts, pa.list_(pa.int64())), pa.array(common)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "whole", "fp", "odd", "first", "common"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, size int, whole long, odd array<long>, first array<long>, common int").filter("size > 0")
+    return docs.select("id", "text").mapInArrow(run, "id long, size int, whole long, fp long, odd array<long>, first array<long>, common int").filter("size > 0")
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -341,13 +342,37 @@ def _stars(central: DataFrame, similarity: float) -> DataFrame:
     return rare.mapInArrow(run, "a long, b long").union(pairs).distinct()
 
 
+def simhash_pairs(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
+    """a < b: pairs of ids (prints: id, fp) that connect all whose fingerprints are one or link within the radius, by pivot distance tables.
+
+    A fingerprint's texts meet the one of them with the smallest id; linked fingerprints' smallest ids meet each other.
+    """
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    n = classes.count()
+    least = broadcast_if_small(classes, 24, n)
+    links = cut(links_within(classes.select(F.lit(0).alias("space"), "fp"), radius, blocks))
+    u, v = (least.select(F.col("fp").alias(end), F.col("least").alias(to)) for end, to in (("u", "p"), ("v", "q")))
+    between = links.join(u, "u").join(v, "v").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    within = prints.join(least, "fp").filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return between.union(within).distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs a, b that are not in one group (groups: node, component) yet."""
+    n = groups.count()
+    p, q = (broadcast_if_small(groups.select(F.col("node").alias(end), F.col("component").alias(to)), 24, n) for end, to in (("a", "p"), ("b", "q")))
+    return pairs.join(p, "a", "left").join(q, "b", "left").filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
     """id and component (its smallest id) for rows that have a near copy. id: xxhash64 of key and text.
 
     Two texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more; groups are the
-    connected components of all such pairs, and no pair is missed. Near copies share a shingle among the first of both sets
-    in a common order (prefix filter), so only texts that share such a shingle, and whose sizes and places of it leave room
-    for the similarity, are candidates. Texts of equal sets are one. First each text is verified against one text of each shared shingle,
+    connected components of all such pairs, and no pair is missed. Texts of equal sets are one. Candidates come by SimHash pivot distance tables
+    first, as in near_groups; each is verified by its sets, and what they find is grouped. Fingerprints within the radius miss some pairs just above the
+    similarity, so the rest follows exactly: near copies share a shingle among the first of both sets
+    in a common order (prefix filter), so only texts that share such a shingle, are not in one group yet, and whose sizes and places of it leave room
+    for the similarity, are candidates. First each text is verified against one text of each shared shingle,
     the one with the fewest shingles of its own; then all candidates that are not in one group by then are verified as well. A pair that is
     never verified is in one group already. Rows that repeat key and text are one.
     """
@@ -360,6 +385,12 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     same = cut(prints.groupBy("whole", "size").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep != most"))
     copies = cut(prints.join(broadcast_if_small(same.drop("most"), 24, same.count()), ["whole", "size"]).filter("id != rep").select("rep", "id"))
     alone = prints.join(broadcast_if_small(copies.select("id"), 16, copies.count()), "id", "left_anti")
+
+    links = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    alike = cut(simhash_pairs(alone.select("id", "fp")))
+    links = links.union(_verified(_possible(alike, prints, similarity), ided, similarity, shingle, repeats))
+    groups = cut(connected_components(cut(links)))
+
     places = alone.select("id", "size", (F.size("first") - F.col("common")).alias("rare"), F.posexplode("first").alias("at", "token"))
     common = F.col("at") >= F.col("rare")
     sized = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.when(common, F.lit(_COMMON_BIT)).otherwise(F.lit(0)).cast("long")).bitwiseOR(F.col("at").cast("long"))
@@ -370,8 +401,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     size = F.shiftright("sized", 32)
     firsts = size - F.greatest(F.lit(1), F.ceil(similarity * size - 1e-9)) + 1
     central = met.join(broadcast_if_small(lone, 24, lone.count()), "id").withColumn("rank", firsts - F.col("n"))
-    tried = cut(_stars(central, similarity))
-    links = copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    tried = cut(_apart(_stars(central, similarity), groups))
     links = links.union(_verified(_possible(tried, prints, similarity), ided, similarity, shingle, repeats))
 
     groups = cut(connected_components(cut(links)))
@@ -388,7 +418,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     smaller = (m < n) | ((m == n) & (c("one.id") < c("two.id")))
     on = (c("one.token") == c("two.token")) & (c("one.salt") == c("two.salt")) & (c("one.component") != c("two.component"))
     rest = one.join(two, on & smaller & _room(x, y, similarity)).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(tried.union(alike), ["a", "b"], "left_anti"))
     near = _verified(_possible(rest, prints, similarity), ided, similarity, shingle, repeats)
     return connected_components(cut(links.union(near))).select(F.col("node").alias("id"), "component")
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
+from paperloom.llm import simhash
 from paperloom.llm.components import connected_components
 from paperloom.llm.queries import QUERIES
 from paperloom.llm.simhash import drop_near_copies, fingerprint, links_within, near_groups
@@ -170,3 +171,18 @@ def test_all_near_copies_just_above_the_similarity(spark, seed):
         parent[root(a)] = root(b)
     kept = [r.doc_id for r in drop_near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()]
     assert sorted(root(i) for i in kept) == sorted(i for i in range(len(sets)) if root(i) == i)
+
+
+def test_pipeline_candidates_come_by_fingerprints(spark, monkeypatch):
+    """The pairs that the pipeline's step verifies first are those that pivot tables link; without room for others, near copies within the radius still go."""
+    rng = random.Random(5)
+    texts = [[f"t{t}w{i}" for i in range(300)] for t in range(20)]
+    texts += [[*words[:k], "new", *words[k + 1 :]] for words in texts for k in (rng.randrange(10, 290),)]
+    prints = [slow_fingerprint(" ".join(w)) for w in texts]
+    linked = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert len(linked) >= 5
+    ids = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, fp long")
+    assert {(r.a, r.b) for r in simhash.simhash_pairs(ids).collect()} == linked
+    monkeypatch.setattr(simhash, "_met", lambda places, similarity: places.limit(0))  # no shingle is shared, so no other candidates
+    kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert len(kept) == len(texts) - len(linked) and not any({a, b} <= kept for a, b in linked)
