@@ -108,12 +108,15 @@ def normal_number(number: Column) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    """The form in which wordings are compared."""
-    text = F.lower(F.coalesce(text, F.lit("")))
+    """The form in which wordings are compared. Words of a to z with a space between them, and points at the end only, lose the points and nothing else."""
+    low = text = F.lower(F.coalesce(text, F.lit("")))
     for prefix in PREFIXES:
         text = F.regexp_replace(text, prefix, "")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.trim(F.regexp_replace(text, r"(?U)[^\w\s()]", ""))
+    text = F.trim(F.regexp_replace(text, r"(?U)[^\w\s()]", ""))
+    body = F.rtrim(low, F.lit("."))
+    plain = body.contains(" ") & ~body.rlike("[^a-z ]") & ~body.contains("  ") & ~body.startswith(" ") & ~body.endswith(" ")
+    return F.when(plain, body).otherwise(text)
 
 
 def text_hash(normal: Column) -> Column:

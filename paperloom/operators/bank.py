@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import normal_text, text_hash
+from paperloom.sources.checkpoints import cut
 
 LEVELS = ("critical", "very_high", "high", "medium", "low")
 # Chapters of a session without any, and keyword packs by the word that a chapter's name contains.
@@ -102,15 +103,38 @@ def classified(groups: DataFrame, topic_rows: DataFrame) -> DataFrame:
 
     A session's topics travel as one array, so each group is scored in place and groups aren't multiplied.
     """
+    return _with_topic(groups.join(_topic_lists(topic_rows), "session_id"))
+
+
+def _topic_lists(topic_rows: DataFrame) -> DataFrame:
+    """session_id and its topics with their keywords, in order, as one array."""
     entry = F.struct("topic_idx", "topic", topic_keywords(F.col("topic")).alias("keywords"))
-    per = topic_rows.groupBy("session_id").agg(F.sort_array(F.collect_list(entry)).alias("_topics"))
+    return topic_rows.groupBy("session_id").agg(F.sort_array(F.collect_list(entry)).alias("_topics"))
+
+
+#: Pairs of a list of topics and a wording up to which each pair is looked at once, whatever groups have it.
+JUDGED = 50_000
+
+
+def judged_topics(topic_rows: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """For sessions that share lists of topics: session_id and topic_list, a number; and the topic of each topic_list and wording (text) as canonical_text. None beyond JUDGED pairs."""
+    per = _topic_lists(topic_rows)
+    lists = cut(per.select("_topics").distinct().withColumn("topic_list", F.monotonically_increasing_id()))
+    if lists.count() * words.count() > JUDGED:
+        return None
+    pairs = lists.crossJoin(words.select(F.col("text").alias("canonical_text")))
+    return per.join(F.broadcast(lists), "_topics").select("session_id", "topic_list"), cut(_with_topic(pairs).select("topic_list", "canonical_text", "topic"))
+
+
+def _with_topic(joined: DataFrame) -> DataFrame:
+    """I3-I5 for rows with canonical_text and the topics of their session."""
     low = F.lower("canonical_text")
     # the greatest of (matches, earlier first)
     scored = F.transform("_topics", lambda t: F.struct(F.size(F.filter(t["keywords"], lambda k: low.contains(k))).alias("n"), (-t["topic_idx"]).alias("early"), t["topic"].alias("topic")))
     best = F.array_max(scored)
     named = F.get(F.filter("_topics", lambda t: low.contains(F.lower(t["topic"]))), F.lit(0))["topic"]
     last = F.element_at("_topics", -1)["topic"]
-    joined = groups.join(per, "session_id").withColumn("_best", best)
+    joined = joined.withColumn("_best", best)
     topic = F.when(F.col("_best")["n"] > 0, F.col("_best")["topic"]).otherwise(F.coalesce(named, last))
     return joined.withColumn("topic", topic).drop("_topics", "_best")
 
@@ -118,14 +142,37 @@ def classified(groups: DataFrame, topic_rows: DataFrame) -> DataFrame:
 def denominators(papers: DataFrame, groups: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """Of each session of papers the distinct known years, papers, most occurrences of a group, and marks: total_marks of the context if above 0, else the most of any
     group. Papers and sessions without questions count as well."""
-    base = papers.groupBy("session_id").agg(F.count_distinct("year").alias("s_years"), F.count(F.lit(1)).alias("s_papers"))
+    base = paper_counts(papers)
     most = groups.groupBy("session_id").agg(F.max("occurrences").alias("s_occurrences"), F.max("max_marks").alias("s_marks"))
     rows = base.join(most, "session_id", "left")
     if contexts is not None:
-        given = contexts.select("session_id", F.when(F.col("total_marks") > 0, F.col("total_marks")).alias("_total"))
-        rows = rows.join(given, "session_id", "left").withColumn("s_marks", F.coalesce("_total", "s_marks")).drop("_total")
+        rows = rows.join(_given_marks(contexts), "session_id", "left").withColumn("s_marks", F.coalesce("_total", "s_marks")).drop("_total")
+    return rows.select("session_id", *_positive())
+
+
+def paper_counts(papers: DataFrame) -> DataFrame:
+    """Distinct known years and papers of each session."""
+    return papers.groupBy("session_id").agg(F.count_distinct("year").alias("s_years"), F.count(F.lit(1)).alias("s_papers"))
+
+
+def _given_marks(contexts: DataFrame) -> DataFrame:
+    return contexts.select("session_id", F.when(F.col("total_marks") > 0, F.col("total_marks")).alias("_total"))
+
+
+def _positive() -> list[Column]:
+    """J1's columns, each with what stands for none or zero."""
     positive = lambda c, d: F.when(F.col(c) > 0, F.col(c)).otherwise(d)
-    return rows.select("session_id", *[positive(c, F.lit(d)).alias(c) for c, d in (("s_years", 1), ("s_papers", 1), ("s_occurrences", 1), ("s_marks", 10.0))])
+    return [positive(c, F.lit(d)).alias(c) for c, d in (("s_years", 1), ("s_papers", 1), ("s_occurrences", 1), ("s_marks", 10.0))]
+
+
+def with_denominators(groups: DataFrame, papers: DataFrame, contexts: DataFrame, *more: DataFrame) -> DataFrame:
+    """Groups with their session's denominators, and with the columns that `more` has of sessions. Groups are dealt out by session once; what follows from a session's groups is a window over them."""
+    session = Window.partitionBy("session_id")
+    rows = groups.repartition("session_id").join(paper_counts(papers), "session_id").join(_given_marks(contexts), "session_id", "left")
+    for of in more:
+        rows = rows.join(of, "session_id")
+    rows = rows.withColumns({"s_occurrences": F.max("occurrences").over(session), "s_marks": F.coalesce("_total", F.max("max_marks").over(session))})
+    return rows.select(*groups.columns, *_positive(), *[c for of in more for c in of.columns if c != "session_id"])
 
 
 def in_clusters(groups: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -185,9 +232,9 @@ def explanation() -> Column:
     return F.when(n > 0, F.concat(F.lit("Ranked "), name, F.lit(" because it "), because, F.lit("."))).otherwise(none)
 
 
-def scored(groups: DataFrame, sessions: DataFrame, current_year: int) -> DataFrame:
-    """J2-J11 for groups with cluster_size and a session's denominators."""
-    rows = factors(groups.join(sessions, "session_id"), current_year).withColumn("priority_score", score())
+def scored(groups: DataFrame, sessions: DataFrame | None, current_year: int) -> DataFrame:
+    """J2-J11 for groups with cluster_size and a session's denominators; None if groups have these already."""
+    rows = factors(groups if sessions is None else groups.join(sessions, "session_id"), current_year).withColumn("priority_score", score())
     rows = rows.withColumn("priority_level", level(F.col("priority_score")))
     return rows.withColumn("priority_reason", explanation())
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -326,6 +327,109 @@ def _in_ranges(edges: DataFrame) -> DataFrame:
     return spark.read.schema(shape).parquet(f"{folder}/joined")
 
 
+#: Wordings up to which their scores are one table that every task has; no session has more groups than there are wordings.
+TABLE = 2_048
+#: Groups that a worker clusters at a time; a session is never parted.
+TOGETHER = 40_000
+
+
+def wordings(texts: DataFrame) -> DataFrame:
+    """w and text: the distinct texts of the column `text`, nulls aside."""
+    return cut(texts.select("text").filter("text is not null").distinct().withColumn("w", F.monotonically_increasing_id()))
+
+
+def score_table(words: DataFrame, scorer: Scorer = token_set, threshold: float = 0.84, bound: Scorer | None = token_set_bound, index: tuple | None = TOKEN_SET_INDEX) -> dict[str, dict[str, float]] | None:
+    """For each wording that has similar ones these and their scores; None if there are more than TABLE wordings or BROADCAST_BYTES of scores, which groups have to meet by joins."""
+    if words.count() > TABLE:
+        return None
+    ids = words.select(F.lit(0).alias("session_id"), F.col("w").alias("idx"), "w")
+    scores = cut(scored_pairs(candidate_pairs(ids, words, threshold, index).select("a", "b").distinct(), words, scorer, threshold, bound))
+    if scores.count() * 40 > BROADCAST_BYTES:
+        return None
+    text = {r.w: r.text for r in words.collect()}  # TABLE rows at most
+    table: dict[str, dict[str, float]] = {}
+    for r in scores.collect():  # BROADCAST_BYTES at most
+        for a, b in ((r.a, r.b), (r.b, r.a)):
+            table.setdefault(text[a], {})[text[b]] = r.score
+    return table
+
+
+def seeds_of(places: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The seeds of sessions' groups. places: a row a session, the number of each group's wording in order, filled up with one that has no links; links: a matrix of wordings."""
+    seeds = np.full(places.shape, -1, np.int32)
+    for i in range(places.shape[1]):
+        own = np.flatnonzero(seeds[:, i] < 0)
+        seeds[own, i] = i
+        later = seeds[own, i + 1 :]
+        later[links[places[own, i, None], places[own, i + 1 :]] & (later < 0)] = i
+        seeds[own, i + 1 :] = later
+    return seeds
+
+
+def clustered_by_table(groups: DataFrame, table: dict[str, dict[str, float]]) -> DataFrame:
+    """Groups (session_id, content_hash, canonical_text, place and others, place last seen here) with idx, seed, confidence, cluster_id and cluster_size,
+    as indexed, greedy_clusters and bank.in_clusters give them.
+
+    Scores come from a score_table of all wordings, so no pair of groups is made, joined or sent: groups are dealt out by session once, and a task settles its sessions as
+    they come in order, one place of many sessions at a time. Groups of a session differ in wording, so it has TABLE at most. Sessions without a key have no groups.
+    """
+    known = list(table)
+    number = {text: i for i, text in enumerate(known)}
+    scores = {(number[a], number[b]): score for a, near in table.items() for b, score in near.items()}
+    names = [c for c in groups.columns if c != "place"]
+    text_at, session_at = names.index("canonical_text"), names.index("session_id")
+    shape = ", ".join(f"`{c}` {groups.schema[c].dataType.simpleString()}" for c in names) + ", idx int, seed int, confidence double, cluster_size int"
+
+    def settled(rows: pa.Table, starts: np.ndarray, matrix: np.ndarray) -> pa.Table:
+        coded = rows.column(text_at).combine_chunks().dictionary_encode()
+        codes = np.array([number.get(t, len(known)) for t in coded.dictionary.to_pylist()] + [len(known)])
+        word = codes[coded.indices.fill_null(len(codes) - 1).to_numpy(zero_copy_only=False)]
+        sizes = np.diff(np.append(starts, len(word)))
+        idx = np.arange(len(word)) - np.repeat(starts, sizes)
+        seed, linked = np.zeros(len(word), np.int32), matrix > 0
+        width = 1
+        while width // 2 < sizes.max():
+            # sessions of like sizes, so that few places are filled up
+            some = np.flatnonzero((sizes <= width) & (sizes > width // 2))
+            there = np.arange(width) < sizes[some, None]
+            at = (starts[some, None] + np.arange(width))[there]
+            places = np.full(there.shape, len(known))
+            places[there] = word[at]
+            seed[at] = seeds_of(places, linked)[there]
+            width *= 2
+        head = np.repeat(starts, sizes) + seed
+        confidence = np.where(seed == idx, 1.0, matrix[word[head], word])
+        size = np.bincount(head, minlength=len(word))[head]
+        for name, column in (("idx", idx.astype(np.int32)), ("seed", seed), ("confidence", confidence), ("cluster_size", size.astype(np.int32))):
+            rows = rows.append_column(name, pa.array(column))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.zeros((len(known) + 1, len(known) + 1))
+        for (a, b), score in scores.items():
+            matrix[a, b] = score
+        held: list[pa.RecordBatch] = []
+        ended = False
+        while not ended:
+            batch = next(batches, None)
+            ended = batch is None
+            held += [] if ended else [batch]
+            if not held or not ended and sum(map(len, held)) < TOGETHER:
+                continue
+            rows = pa.Table.from_batches(held)
+            session = rows.column(session_at).combine_chunks()
+            starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(session[1:], session[:-1]).to_numpy(zero_copy_only=False)])) if len(rows) else np.zeros(0, np.int64)
+            # the last session may go on in the next batch
+            end = len(rows) if ended or not len(starts) else int(starts[-1])
+            if end:
+                yield from settled(rows.slice(0, end), starts[starts < end], matrix).to_batches()
+            held = rows.slice(end).to_batches()
+
+    dealt = groups.filter("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "place", "content_hash")
+    found = dealt.select(*names).mapInArrow(run, shape)
+    return found.withColumn("cluster_id", F.concat_ws("_", F.lit("c"), F.col("session_id").cast("string"), F.col("seed").cast("string")))
+
+
 def representatives(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     """H5: session_id, seed, representative (the longest wording; the seed, then the earlier, among those as long) and size."""
     rows = clusters.join(groups.select("session_id", "idx", "canonical_text"), ["session_id", "idx"])

@@ -157,3 +157,21 @@ def test_marks_are_sought_once(spark):
     found = T.with_marks(rows, "x", "m").select("m.value", "m.a", "m.b", "m.pattern", "m.rest")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"regexp_extract(x") == 3
+
+
+def test_plain_wordings_are_as_by_all_patterns(spark):
+    """The way for plain words gives what the patterns give."""
+    import re
+
+    texts = ["Explain the red rod.", "explain", "explain.", "a. b", "a b..", "a b ..", " a b", "a b ", "a  b", "q 3 a b", "q a b", "(a) b c", "a) b c", "a-b c", "a\tb", "a b.\n", "a b. c", ".", ". a b", "", "Ärger mit b", "x y?", "İ a", "a b . ."]
+    got = [r.n for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", T.normal_text(F.col("t")).alias("n")).orderBy("i").collect()]
+
+    def plain(x):
+        x = x.lower()
+        for p in T.PREFIXES:
+            x = re.sub(p, "", x)
+        x = re.sub(r"\s+", " ", x).strip(" ")
+        return re.sub(r"[^\w\s()]", "", x).strip(" ")
+
+    at = texts.index("İ a")
+    assert [x for i, x in enumerate(got) if i != at] == [plain(x) for i, x in enumerate(texts) if i != at]
