@@ -27,8 +27,8 @@ def words(text: Column) -> Column:
 
 
 def symbol_share(text: Column) -> Column:
-    """Share of characters that are neither words, spaces nor usual marks."""
-    return F.length(F.regexp_replace(text, PLAIN, "")) / F.length(text)
+    """Share of characters that are neither words, spaces nor usual marks; null for an empty text."""
+    return F.try_divide(F.length(F.regexp_replace(text, PLAIN, "")), F.length(text))
 
 
 def suspicious(token: Column) -> Column:

@@ -175,3 +175,20 @@ def test_plain_wordings_are_as_by_all_patterns(spark):
 
     at = texts.index("İ a")
     assert [x for i, x in enumerate(got) if i != at] == [plain(x) for i, x in enumerate(texts) if i != at]
+
+
+def test_blank_lines_are_no_garbage(spark, tmp_path):
+    """Lines without characters or tokens, alone and between others, are as in SQL."""
+    import duckdb
+
+    from paperloom.plans.catalog import QUERIES, SQL
+
+    texts = ["a b\n\nct N.DC} Opcr.ting", "", None, "\n", "   \n\t\n x", " \n|||||||||"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("d1_symbol_garbage",):
+        rows = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(SQL[name])
+        places = [[d[0] for d in want.description].index(c) for c in rows.columns]
+        assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(repr(tuple(r[i] for i in places)) for r in want.fetchall())
