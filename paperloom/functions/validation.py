@@ -44,8 +44,8 @@ def suspicious(token: Column) -> Column:
 
 
 def suspicious_share(tokens: Column) -> Column:
-    """Share of suspicious tokens."""
-    return F.size(F.filter(tokens, suspicious)) / F.size(tokens)
+    """Share of suspicious tokens; null for none."""
+    return F.try_divide(F.size(F.filter(tokens, suspicious)), F.size(tokens))
 
 
 def blacklist(text: Column) -> Column:

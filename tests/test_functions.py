@@ -178,7 +178,7 @@ def test_plain_wordings_are_as_by_all_patterns(spark):
 
 
 def test_blank_lines_are_no_garbage(spark, tmp_path):
-    """Lines without characters or tokens, alone and between others, are as in SQL."""
+    """Lines without characters or tokens, alone and between others, are as in SQL."""
     import duckdb
 
     from paperloom.plans.catalog import QUERIES, SQL
@@ -187,7 +187,7 @@ def test_blank_lines_are_no_garbage(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("d1_symbol_garbage",):
+    for name in ("d1_symbol_garbage", "d2_token_garbage", "d8_validator"):
         rows = QUERIES[name](spark, str(tmp_path))
         want = con.execute(SQL[name])
         places = [[d[0] for d in want.description].index(c) for c in rows.columns]
