@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import bank, similarity
-from paperloom.sources.files import new_folder, paper_files
+from paperloom.sources import files
+from paperloom.sources.files import new_folder, paper_files, write_texts
 
 
 def test_years_by_retraction_are_those_of_a_rebuild(spark):
@@ -96,3 +97,26 @@ def test_paper_files_are_read_in_one_pass(spark, tmp_path):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "Exchange" not in text
     assert sorted((r.filename, r.accepted, r.content_hash is None) for r in found.collect()) == [("a.pdf", True, False), ("b.txt", False, True)]
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_texts_are_one_file_each(spark, monkeypatch, most):
+    """A paper takes one file, not a folder and a checksum as well; equal names are files of their own, and what an attempt left aside isn't read."""
+    monkeypatch.setattr(files, "FOLDER_FILES", most)
+    path = new_folder(spark, "texts")
+    given = [(f"Doc {i % 40}.pdf", f"é {i % 40}\n") for i in range(50)] + [("a%2B =1.PDF", ""), ("x.docx", "no")]
+    write_texts(spark.createDataFrame(given, "name string, text string").repartition(3), path)
+    root = Path(path.removeprefix("file:"))
+    (root / "_0-left").mkdir()
+    (root / "_0-left" / "Doc 1.pdf").write_text("half")
+    below = [x for x in root.rglob("*") if "_0-left" not in str(x)]
+    assert sum(x.is_file() for x in below) == len(given)
+    assert most == 3 or sum(x.is_dir() for x in below) <= 9
+    want = [(name, len(text.encode()) + 1, name.lower().endswith(".pdf"), hashlib.sha256(f"{text}\n".encode()).hexdigest() if name != "x.docx" else None) for name, text in given]
+    assert sorted(map(repr, ((r.filename, r.length, r.accepted, r.content_hash) for r in paper_files(spark, path).collect()))) == sorted(map(repr, want))
+    # a store that only Spark opens has the same rows of names that differ
+    monkeypatch.setattr(files, "_local", lambda spark, folder: None)
+    assert sorted(r.content_hash or "" for r in paper_files(spark, path).collect()) == sorted(x[3] or "" for x in want)
+    other = new_folder(spark, "texts")
+    write_texts(spark.createDataFrame(given[:40], "name string, text string"), other)
+    assert sorted(map(repr, ((r.filename, r.length, r.accepted, r.content_hash) for r in paper_files(spark, other).collect()))) == sorted(map(repr, want[:40]))
