@@ -29,6 +29,33 @@ def hashed(questions: DataFrame) -> DataFrame:
     return questions.withColumn("content_hash", text_hash(normal_text(F.col("text"))))
 
 
+#: Papers of a session up to which its questions are dealt out to one task as they are; those of larger sessions combine before they are sent.
+DEALT = 20_000
+
+
+def coded_wordings(words: DataFrame) -> DataFrame:
+    """A row for each text of `words` (w, text) and for the null text: text, w (-1 for null), content_hash and g, a number for each content_hash."""
+    spark = words.sparkSession
+    none = spark.range(1).select(F.lit(-1).cast("long").alias("w"), F.lit(None).cast("string").alias("text"))
+    return hashed(words.select("w", "text").union(none)).withColumn("g", F.min("w").over(Window.partitionBy("content_hash")))
+
+
+def coded(questions: DataFrame, codes: DataFrame) -> DataFrame:
+    """Questions with w and g of their texts in place of text, where all texts are among the codes, so that wordings travel as numbers."""
+    known = F.broadcast(codes.select(F.col("text").alias("_text"), "w", "g"))
+    return questions.join(known, F.col("text").eqNullSafe(F.col("_text"))).drop("text", "_text")
+
+
+def few_papers(papers: DataFrame) -> bool:
+    """Whether no session has more than DEALT papers."""
+    return (papers.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0) <= DEALT
+
+
+def dealt_by_session(questions: DataFrame, codes: DataFrame) -> DataFrame:
+    """Coded questions, dealt out by session once and given back text and content_hash there. Whatever groups or windows follow within sessions take no other shuffle."""
+    return questions.repartition("session_id").join(F.broadcast(codes.drop("g")), "w").drop("w", "g")
+
+
 def exact_groups(questions: DataFrame) -> DataFrame:
     """One row for each session and content_hash, with the longest wording (the earliest of those as long) and statistics.
 
@@ -49,6 +76,12 @@ def exact_groups(questions: DataFrame) -> DataFrame:
     return groups.withColumn("year_span", F.coalesce(F.col("last_year") - F.col("first_year"), F.lit(0)))
 
 
+def exact_groups_of_years(questions: DataFrame) -> DataFrame:
+    """G2-G4 without wordings and marks: occurrences and years of each session_id and content_hash."""
+    groups = questions.groupBy("session_id", "content_hash").agg(F.count(F.lit(1)).alias("occurrences"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.size(F.collect_set("year")).cast("long").alias("n_years"))
+    return groups.withColumn("year_span", F.coalesce(F.col("last_year") - F.col("first_year"), F.lit(0)))
+
+
 def year_counts(questions: DataFrame) -> DataFrame:
     """session_id, content_hash, year and n: how many questions of a group are of each year, null among them. What the years of a group follow from."""
     return questions.groupBy("session_id", "content_hash", "year").agg(F.count(F.lit(1)).alias("n"))
