@@ -34,10 +34,10 @@ DEALT = 20_000
 
 
 def coded_wordings(words: DataFrame) -> DataFrame:
-    """A row for each text of `words` (w, text) and for the null text: text, w (-1 for null), content_hash and g, a number for each content_hash."""
-    spark = words.sparkSession
-    none = spark.range(1).select(F.lit(-1).cast("long").alias("w"), F.lit(None).cast("string").alias("text"))
-    return hashed(words.select("w", "text").union(none)).withColumn("g", F.min("w").over(Window.partitionBy("content_hash")))
+    """A row for each text of `words` and for the null text: text, content_hash, and numbers w of the text and g of the content_hash, both in the order of content_hash. Of few texts, as one task orders them."""
+    none = words.sparkSession.range(1).select(F.lit(None).cast("string").alias("text"))
+    numbers = Window.orderBy("content_hash", "text")
+    return hashed(words.select("text").union(none)).withColumn("w", F.row_number().over(numbers)).withColumn("g", F.min("w").over(Window.partitionBy("content_hash")))
 
 
 def coded(questions: DataFrame, codes: DataFrame) -> DataFrame:
@@ -266,10 +266,13 @@ def explanation() -> Column:
 
 
 def scored(groups: DataFrame, sessions: DataFrame | None, current_year: int) -> DataFrame:
-    """J2-J11 for groups with cluster_size and a session's denominators; None if groups have these already."""
-    rows = factors(groups if sessions is None else groups.join(sessions, "session_id"), current_year).withColumn("priority_score", score())
-    rows = rows.withColumn("priority_level", level(F.col("priority_score")))
-    return rows.withColumn("priority_reason", explanation())
+    """J2-J9 for groups with cluster_size and a session's denominators; None if groups have these already."""
+    return factors(groups if sessions is None else groups.join(sessions, "session_id"), current_year).withColumn("priority_score", score())
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """Scored groups with priority_level and priority_reason."""
+    return rows.withColumn("priority_level", level(F.col("priority_score"))).withColumn("priority_reason", explanation())
 
 
 def session_totals(papers: DataFrame, questions: DataFrame, groups: DataFrame) -> DataFrame:

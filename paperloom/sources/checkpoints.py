@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only below this many bytes, counted before the join.
 BROADCAST_BYTES = 8_000_000
 
+#: Spark's setting by which the shuffle files of a query are removed when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that executors share, as spark.checkpoint.dir names it. Where that is unset, one of this machine under a local master, else an error."""
@@ -38,9 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
 
     Columns that repeat few values (wordings and their hashes) take a few bits a row, where a checkpoint of rows holds them all in full.
     """
-    path = new_folder(df.sparkSession, "cut")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "cut")
+    # what was shuffled on the way isn't read again; else it stays until the driver happens to collect its garbage
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

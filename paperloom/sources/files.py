@@ -6,7 +6,7 @@ import hashlib
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.sources.checkpoints import new_folder
+from paperloom.sources.checkpoints import cut, new_folder
 
 # Headers of the export.
 CSV_HEADERS = {
@@ -168,10 +168,23 @@ def paper_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataF
     return found.select("path", "filename", "length", "accepted").mapInArrow(_hashed, f"{columns}, content_hash string")
 
 
-def export_csv(bank: DataFrame, path: str) -> None:
-    """The ranked bank under fixed headers, best first; a question without topic is Uncategorized."""
-    rows = bank.withColumn("topic", F.coalesce("topic", F.lit("Uncategorized"))).orderBy(F.desc("priority_score"), "session_id", "content_hash")
-    rows.select(*[F.col(c).alias(h) for c, h in CSV_HEADERS.items()]).write.option("header", True).csv(path)
+def export_csv(bank: DataFrame, path: str, late: Callable[[DataFrame], DataFrame] = lambda rows: rows, codes: DataFrame | None = None) -> None:
+    """The ranked bank under fixed headers, best first; a question without topic is Uncategorized.
+
+    late adds the columns that follow from a row's others; rows are sorted without them. codes: all wordings (text) and their numbers (w) in the order of content_hash, if they are few; rows
+    then have numbers in place of wordings and hashes while they are sorted.
+    """
+    rows = bank.withColumn("topic", F.coalesce("topic", F.lit("Uncategorized")))
+    if codes is not None:
+        # a sort reads its rows twice, so they are written first, with numbers for wordings
+        known = F.broadcast(codes.select(F.col("text").alias("_text"), F.col("w").alias("_w")))
+        rows = cut(rows.join(known, F.col("canonical_text").eqNullSafe(F.col("_text"))).drop("canonical_text", "content_hash", "_text"))
+        order = (F.desc("priority_score"), F.asc("session_id"), F.asc("_w"))
+        # as orderBy, but that wordings come back before a task sorts: Spark drops a sort below a join
+        rows = rows.repartitionByRange(*order).join(known, "_w").sortWithinPartitions(*order).withColumnRenamed("_text", "canonical_text")
+    else:
+        rows = rows.orderBy(F.desc("priority_score"), "session_id", "content_hash")
+    late(rows).select(*[F.col(c).alias(h) for c, h in CSV_HEADERS.items()]).write.option("header", True).csv(path)
 
 
 def session_documents(analytics: DataFrame) -> DataFrame:

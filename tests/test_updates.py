@@ -160,3 +160,48 @@ def test_wordings_come_back_from_their_numbers(spark):
     assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(session_id") == 1
     assert sorted(map(repr, groups.select("session_id", "content_hash", "canonical_text", "occurrences", "n_years").collect())) == sorted(map(repr, bank.exact_groups(whole).select("session_id", "content_hash", "canonical_text", "occurrences", "n_years").collect()))
     assert bank.few_papers(qs.select("session_id"))
+
+
+@pytest.mark.parametrize("table", [2048, 0])
+def test_export_is_in_order(spark, sf, monkeypatch, table):
+    """The files one after the other are the rows of SQL in its order, by numbers of wordings and without; levels and reasons aren't sorted along."""
+    import csv
+
+    import duckdb
+
+    from paperloom.operators import similarity as H
+    from paperloom.plans import catalog
+
+    monkeypatch.setattr(H, "TABLE", table)
+    put, written = files.export_csv, []
+
+    def export(bank, path, late, codes):
+        assert (codes is None) == (table == 0) and {"priority_level", "priority_reason"}.isdisjoint(bank.columns)
+        written.append(path)
+        put(bank, path, late, codes)
+
+    monkeypatch.setattr(files, "export_csv", export)
+    catalog.QUERIES["a8_csv_export"](spark, sf)
+    got = []
+    for part in sorted(Path(written[0].removeprefix("file:")).glob("part-*.csv")):
+        with open(part, newline="") as lines:
+            got += [(r["Question Wording"], r["Priority Level"], float(r["Priority Score (0-100)"]), float(r["Average Marks"] or "nan"), int(r["Occurrence Count"]), r["Topic/Chapter"], r["Priority Analysis Reason"]) for r in csv.DictReader(lines)]
+    con = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    want = con.execute(f"{catalog.SQL['a8_csv_export']} ORDER BY priority_score DESC, session_id, content_hash").fetchall()
+    plain = lambda r: repr(tuple("nan" if x is None or x != x else round(x, 9) if isinstance(x, float) else x for x in r))
+    assert list(map(plain, got)) == list(map(plain, want))
+
+
+def test_cut_leaves_no_shuffle(spark, tmp_path):
+    """Shuffle files of what is cut go when it is written, and the session's setting is as it was."""
+    from paperloom.sources import checkpoints
+
+    before = spark.conf.get(checkpoints.CLEANUP, None)
+    kept = lambda: {x for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for x in Path(str(top)).rglob("shuffle_*.data")}
+    there = kept()
+    rows = checkpoints.cut(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert rows.agg(F.sum("count")).first()[0] == 1000
+    assert not {x for x in kept() - there if x.stat().st_size > 1000}
+    assert spark.conf.get(checkpoints.CLEANUP, None) == before
