@@ -44,31 +44,16 @@ def session_questions(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return quality.split(copies)
 
 
-def section_counts(papers: DataFrame) -> DataFrame:
-    """paper_id and the number of section headers."""
-    rows = segmentation.sectioned(segmentation.paper_lines(papers))
-    return rows.groupBy("paper_id").agg(F.count_if("is_header").alias("sections"))
-
-
 def reports(pages: DataFrame) -> DataFrame:
     """One row for each paper of `pages` (paper_id, page_no, text, image_count, ocr_text): page_count, method, question_count, sections_found, questions (nested), warnings, text.
 
     Papers without questions, sections or any text have their row too, with zeros and empty lists. Warnings are those of the parser in order of the lines, that of missing numbers,
-    and those of too few questions.
+    and those of too few questions. Lines are read, matched and sent once; only papers are written.
     """
     whole = cut(intake.assembled(intake.routed(pages)).select("paper_id", "full_text", "method", "page_count"))
-    papers = whole.select("paper_id", F.col("full_text").alias("text"))
-    rows = cut(segmentation.parsed_lines(papers))
-    node_rows = cut(segmentation.nodes(rows))
-    inline = rows.filter("warning is not null").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "warning"))).alias("inline"))
-    few = segmentation.sanity_warnings(whole, node_rows).select("paper_id", "questions", F.col("warnings").alias("few"))
-    gaps = segmentation.missing_mains(rows).withColumnRenamed("warning", "gap")
-    report = whole.join(few.withColumnRenamed("questions", "question_count"), "paper_id")
-    for part in (section_counts(papers), segmentation.nested(node_rows), inline, gaps):
-        report = report.join(part, "paper_id", "left")
-    empty = F.array().cast("array<string>")
-    warnings = F.concat(F.coalesce(F.transform("inline", lambda x: x["warning"]), empty), F.array_compact(F.array("gap")), "few")
+    report = whole.join(segmentation.outlined(whole.select("paper_id", F.col("full_text").alias("text"))), "paper_id", "left")
+    report = report.withColumns({"questions": F.coalesce("questions", F.array()), "warnings": F.coalesce("warnings", F.array().cast("array<string>"))}).withColumn("n", F.size("questions").cast("long"))
     return report.select(
-        "paper_id", F.col("page_count").alias("page_count"), "method", "question_count", F.coalesce("sections", F.lit(0)).alias("sections_found"),
-        F.coalesce("questions", F.array()).alias("questions"), warnings.alias("warnings"), F.col("full_text").alias("text"),
+        "paper_id", F.col("page_count").alias("page_count"), "method", F.col("n").alias("question_count"), F.coalesce("sections", F.lit(0)).alias("sections_found"),
+        "questions", F.concat("warnings", segmentation.few_questions(F.col("page_count"), F.col("n"))).alias("warnings"), F.col("full_text").alias("text"),
     )
