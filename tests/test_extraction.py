@@ -43,3 +43,32 @@ def test_reports(spark):
         assert (blank.page_count, blank.method, blank.question_count, blank.sections_found, blank.questions) == (pages, "text", 0, 0, [])
         assert blank.warnings[0] == "No questions found." and len(blank.warnings) == pages
     assert (found[4].method, found[4].question_count, found[4].warnings) == ("ocr", 1, [])
+
+
+def test_papers_are_read_in_one_pass(spark):
+    """Headers without questions, labels outside of questions, warnings and gaps come with the questions: one parse and one join, and what was found by steps of their own."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import segmentation as S
+
+    rng = random.Random(3)
+    lines = ["SECTION A", "SECTION B", "(a) x", "(b) y", "(b) z", "(i) u", "more of it", "", "Page 2 of 3", "Short Answer Questions"]
+    texts = ["SECTION A\n(a) alone\n(b) too\nSECTION B", "\n\n", "no question\n(c) at all", "Page 1 of 2"]
+    texts += ["\n".join(rng.choice(lines) if rng.random() < 0.6 else f"Q{rng.randint(1, 12)}. Explain it. ({rng.randint(1, 9)} marks)" for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    papers = spark.createDataFrame(list(enumerate(texts)), "paper_id long, text string")
+    pages = papers.select("paper_id", F.lit(1).alias("page_no"), "text", F.lit(0).alias("image_count"), F.lit("").alias("ocr_text"))
+    found = extraction.reports(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("MergeJoin") + plan.count("HashJoin") == 1
+    got = {r.paper_id: r for r in found.collect()}
+    node_rows, rows = S.parsed(papers)
+    by = lambda df, column: {r.paper_id: r[column] for r in df.collect()}
+    sections = by(S.sectioned(S.paper_lines(papers)).groupBy("paper_id").agg(F.count_if("is_header").alias("n")), "n")
+    inline = by(rows.filter("warning is not null").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "warning"))).alias("w")), "w")
+    gaps, nested, few = by(S.missing_mains(rows), "warning"), by(S.nested(node_rows), "questions"), by(S.sanity_warnings(papers.select("paper_id", F.lit(1).alias("page_count")), node_rows), "warnings")
+    assert len(gaps) > 5 and len(inline) > 2 and set(got) == set(range(len(texts)))
+    for i, r in got.items():
+        assert (r.questions, r.question_count, r.sections_found, r.text) == (nested.get(i, []), len(nested.get(i, [])), sections.get(i, 0), texts[i])
+        assert r.warnings == [w.warning for w in inline.get(i, [])] + ([gaps[i]] if i in gaps else []) + few[i]
